@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, sql
+from . import decontaminate, line_dedup, packing, sql, topk
 from ._shared import table
 
 
@@ -18,11 +19,20 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the ranks are the vocabulary of byte_bpe_50k.json and give the same ids
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), window=1024, end_id=0)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.apply_keep(docs, line_dedup.keep_bitmaps(docs, min_chars=20, min_docs=3))
     return kept.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("line_dedup.kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op7_line_dedup)}
-ORACLE_SQL = {"op1_decontamination": sql.DECONTAMINATION, "op7_line_dedup": sql.LINE_DEDUP}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_top_k, op5_packing, op7_line_dedup)}
+ORACLE_SQL = {"op1_decontamination": sql.DECONTAMINATION, "op3_top_k": sql.TOP_K, "op7_line_dedup": sql.LINE_DEDUP}
