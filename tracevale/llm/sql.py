@@ -50,3 +50,13 @@ r AS (SELECT doc_id AS node, doc_id AS reached FROM w UNION SELECT e.v, r.reache
 SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.reached) AS component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.node = w.doc_id GROUP BY w.doc_id
 """
+
+SUBSTRING_DEDUP = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, o, sha256(array_to_string(w[o:o + 19], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS o FROM w WHERE len(w) >= 20)),
+late AS (SELECT doc_id, o FROM (SELECT doc_id, o, row_number() OVER (PARTITION BY k ORDER BY doc_id, o) AS n FROM g) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(o, o + 20)) AS p FROM late),
+kept AS (SELECT doc_id, list(x.w[x.p] ORDER BY x.p) AS kept, count(*) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM w) x ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
