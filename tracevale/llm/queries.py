@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_join, packing, quality_crf, sql, substring_dedup, topk
+from . import decontaminate, html_extract, license_scan, line_dedup, ngram_join, packing, quality_crf, sql, substring_dedup, topk, warc
 from ._shared import table
 
 
@@ -55,5 +55,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("line_dedup.kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_top_k, op4_substring_dedup, op5_packing, op6_quality_classifier, op7_line_dedup)}
-ORACLE_SQL = {"op1_decontamination": sql.DECONTAMINATION, "op2_ngram_jaccard_join": sql.NGRAM_JOIN, "op3_top_k": sql.TOP_K, "op4_substring_dedup": sql.SUBSTRING_DEDUP, "op7_line_dedup": sql.LINE_DEDUP}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"), least_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_top_k, op4_substring_dedup, op5_packing, op6_quality_classifier, op7_line_dedup, op8_warc, op9_html_extraction, op10_license_scan)}
+ORACLE_SQL = {"op1_decontamination": sql.DECONTAMINATION, "op2_ngram_jaccard_join": sql.NGRAM_JOIN, "op3_top_k": sql.TOP_K, "op4_substring_dedup": sql.SUBSTRING_DEDUP, "op7_line_dedup": sql.LINE_DEDUP, "op9_html_extraction": sql.HTML_EXTRACTION, "op10_license_scan": sql.license_scan()}

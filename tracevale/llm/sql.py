@@ -1,5 +1,7 @@
 """DuckDB SQL for the operators' queries, where SQL can say it."""
 
+from .license_scan import EQUAL, NOTICES, TEXTS, digests
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WS = r"[\x20\x09-\x0D]"
 
@@ -60,3 +62,35 @@ kept AS (SELECT doc_id, list(x.w[x.p] ORDER BY x.p) AS kept, count(*) AS n FROM
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """
+
+# the pages' articles hold headings and paragraphs of plain text only
+HTML_EXTRACTION = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS h FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(h, '</?(p|h1)>'), lambda x: regexp_replace(x, '</?b>', '', 'g')) AS b FROM a),
+t AS (SELECT page_id, url, list_transform(b, lambda x: trim(regexp_replace(html_unescape_plain(x), '\s+', ' ', 'g'))) AS b FROM b)
+SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text, length(array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10))) AS n_chars FROM t
+""".replace("html_unescape_plain(x)", "replace(replace(replace(replace(replace(x, '<br>', ' '), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")
+
+
+def _values(pairs: list[tuple[str, str]]) -> str:
+    return ", ".join(f"('{d}', '{name}')" for d, name in pairs)
+
+
+def license_scan() -> str:
+    def form(x: str) -> str:
+        x = f"regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?m)^[ \\t]*(?:copyright|\\(c\\)|©)[^\\n]*$', ' ', 'g')"
+        x = f"regexp_replace({x}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')"
+        for a, b in EQUAL.items():
+            x = f"regexp_replace({x}, '\\b{a}\\b', '{b}', 'g')" if a != b else x
+        return f"trim({x})"
+
+    notices = [(d, NOTICES[t]) for d, t in digests({t: t for t in NOTICES})]
+    return f"""
+WITH known(digest, license_id) AS (VALUES {_values(digests(TEXTS) + notices)}),
+notice(digest, license_id) AS (VALUES {_values(notices)}),
+d AS (SELECT doc_id, sha256({form("coalesce(text, '')")}) AS digest FROM documents),
+l AS (SELECT doc_id, sha256({form("line")}) AS digest FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+n AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids, count(*) AS n FROM l JOIN (SELECT DISTINCT * FROM notice) USING (digest) GROUP BY doc_id)
+SELECT doc_id, d.digest AS canonical_sha256, license_id, coalesce(ids, '') AS notice_ids, coalesce(n, 0) AS n_notices
+FROM d LEFT JOIN (SELECT DISTINCT * FROM known) USING (digest) LEFT JOIN n USING (doc_id)
+"""
