@@ -1,4 +1,6 @@
 """The catalogue of queries over the driver's tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans.catalogue import QUERIES
+from .plans.oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
