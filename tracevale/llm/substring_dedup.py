@@ -7,8 +7,8 @@ A window's suffixes are filed under its anchor, the run of ANCHOR words in it wi
 equal anchors at equal places, and few places are anchors. Anchors that occur once are dropped. The others are prefixes
 that split what is left into groups, each with one tree, kept down to depth `window`: a node that deep is a repeated
 string of maximal interest, and its first leaf stays. A group of over GROUP_ROWS rows doesn't fit in memory's share and
-takes longer prefixes, up to the whole window: then a leaf's first start comes from an ordinary aggregate, which no
-frequent passage can make one task's work.
+takes longer prefixes: first all words of an anchor's windows together, then whole windows. There a node's first start
+comes from an ordinary aggregate, which no frequent passage can make one task's work.
 
 Defined cases: null and empty texts have no words; texts of fewer words than a window lose none; a null doc_id is smaller
 than any other; rows that share a doc_id are versions of one document, so a window at the same start in both stays in
@@ -17,6 +17,8 @@ both. Other columns aren't read.
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,24 +107,32 @@ def segments(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     return d.mapInArrow(run, "key long, doc long, row long, start int, words binary")
 
 
-def whole_windows(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(key, key2, doc, row, start): for each wanted anchor of a large group its windows, named by 128 bits of hash."""
+def hashed_segments(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """(seg, seg2, doc, row, start, windows): for each wanted anchor of a large group the 128-bit hash of all the words of
+    its windows, and that of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
             for doc, row, text, at, large in zip(*batch.columns, strict=True):
-                words = text.as_py().encode().split()
+                doc, row, words = doc.as_py(), row.as_py(), text.as_py().encode().split()
                 if len(words) < window:
                     continue
                 h = hashes.of(words)
-                start = np.flatnonzero(np.isin(anchors(h, window)[1], at.values.to_numpy()[large.values.to_numpy(zero_copy_only=False)]))
-                key, key2 = (signed(runs(x, window)[start]) for x in (h, mix(h + np.uint64(1))))
-                same = [np.full(len(start), x.as_py(), np.int64) for x in (doc, row)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, key2, *same, start.astype(np.int32))], ["key", "key2", "doc", "row", "start"])
+                place = anchors(h, window)[1]
+                at = at.values.to_numpy()[large.values.to_numpy(zero_copy_only=False)]
+                both = [signed(runs(x, window)) for x in (h, mix(h + np.uint64(1)))]
+                for a, b in zip(np.searchsorted(place, at).tolist(), np.searchsorted(place, at, "right").tolist(), strict=True):
+                    if b > a:
+                        name = hashlib.blake2b(both[0][a:b].tobytes() + both[1][a:b].tobytes(), digest_size=16).digest()
+                        for column, x in zip(out, (*struct.unpack("<qq", name), doc, row, a, both[0][a:b].tolist(), both[1][a:b].tolist()), strict=True):
+                            column.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["seg", "seg2", "doc", "row", "start", "key", "key2"])
 
     d = rows.join(wanted.where(F.exists("large", lambda x: x)), "row").select("doc", "row", "text", "at", "large")
-    return d.mapInArrow(run, "key long, key2 long, doc long, row long, start int")
+    return d.mapInArrow(run, "seg long, seg2 long, doc long, row long, start int, key array<long>, key2 array<long>")
 
 
 class Tree:
@@ -168,9 +178,16 @@ def repeats_in_groups(found: DataFrame, window: int) -> DataFrame:
 
 
 def repeats_in_large_groups(found: DataFrame, window: int) -> DataFrame:
-    first = found.groupBy("key", "key2").agg(F.min(F.struct("doc", "start")).alias("first"))
-    late = found.join(first, ["key", "key2"]).where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-    return late.select("doc", "row", "start", (F.col("start") + window).alias("end"))
+    """The same for large groups: of equal segments all but the first go whole; the windows of the first ones, few for
+    each frequent passage, are then compared one by one."""
+    starts_first = (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start"))
+    judged = found.join(found.groupBy("seg", "seg2").agg(F.min(F.struct("doc", "start")).alias("first")), ["seg", "seg2"])
+    late = judged.where(~starts_first).select("doc", "row", "start", (F.col("start") + F.size("key") + window - 1).alias("end"))
+    w = judged.where(starts_first).select("doc", "row", "start", F.posexplode(F.arrays_zip("key", "key2")).alias("i", "k"))
+    w = w.select(F.col("k.key").alias("key"), F.col("k.key2").alias("key2"), "doc", "row", (F.col("start") + F.col("i")).alias("start"))
+    first = w.groupBy("key", "key2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = w.join(first, ["key", "key2"]).where(~starts_first)
+    return late.unionByName(again.select("doc", "row", "start", (F.col("start") + window).alias("end")))
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -181,7 +198,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     wanted = materialize(wanted.select("row", F.col("x.at").alias("at"), F.col("x.large").alias("large")))
     spans = repeats_in_groups(segments(rows, wanted, window), window)
     if wanted.where(F.exists("large", lambda x: x)).limit(1).count():
-        spans = spans.unionByName(repeats_in_large_groups(whole_windows(rows, wanted, window), window))
+        spans = spans.unionByName(repeats_in_large_groups(hashed_segments(rows, wanted, window), window))
     spans = spans.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = spans.select(F.col("doc").alias("doc_s"), F.col("row").alias("row"), "spans")
 
