@@ -9,6 +9,7 @@ frequent; it decides the work only, never the result.
 
 Overlaps are counted exactly on whole sets: pair by pair for the rows of shingles in few classes, and for frequent
 shingles by products of blocks of at most about BLOCK classes each, whose links leave the task as a spanning forest.
+Before that, small signatures of the sets bound their difference from below and drop what can't link.
 
 Defined cases: documents without words or text have an empty set and link with nothing; a null doc_id is a document
 without a name, whose component is that of its class or null; repeated rows are copies. Other columns aren't read.
@@ -29,7 +30,7 @@ from .components import components
 #: Up to so many classes a shingle's row is joined with itself; rows beyond are cut into blocks of about BLOCK classes.
 SHORT_ROW, BLOCK = 48, 256
 #: One in SAMPLE documents shows frequent shingles; those it shows at least SHOWN times, and at most FREQUENT of them, go last.
-SAMPLE, SHOWN, FREQUENT = 16, 6, 200_000
+SAMPLE, SHOWN, FREQUENT = 8, 3, 500_000
 BITS = np.uint64(2**62 - 1)
 
 
@@ -68,20 +69,42 @@ def class_of(s: np.ndarray) -> int:
     return int(signed(mix(mix((s & BITS) + np.uint64(1)).sum(keepdims=True)))[0]) if len(s) else 0
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Parities of how many hashes fall on each bit of a bitmap of at least 512 bits and twice the set's size."""
+    bits = max(512, 1 << (2 * len(s)).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differences(x: np.ndarray, y: np.ndarray) -> int:
+    """At least so many hashes are in just one of two sets, by their signatures (64-bit words)."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def may_link(n: int, differ: int, percent: int) -> bool:
+    """Whether sets of n elements together that differ in at least `differ` can be similar enough."""
+    return (100 + percent) * (n - differ) >= 2 * percent * n
+
+
 def document_classes(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, class) of every row."""
+    """(doc_id, n_shingles, class, sig) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingles(shingle)
         for batch in batches:
-            n, c = [], []
+            n, c, sig = [], [], []
             for text in batch.column(1):
                 s = of(text.as_py())
                 n.append(len(s))
                 c.append(class_of(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "n_shingles", "class"])
+                sig.append(signature(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "class", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long, sig binary")
 
 
 def frequent_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -91,12 +114,12 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingles(shingle)
         for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(of(t.as_py())))], ["s"])
+            sets = [of(t.as_py()) for t in batch.column(0)]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sets)))], ["s"])
 
     n = text.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= SHOWN)
-    rows = n.orderBy(F.desc("count"), "s").limit(FREQUENT).select("s").collect()
-    return np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    return n.orderBy(F.desc("count"), "s").limit(FREQUENT).select("s").toArrow()["s"].to_numpy().astype(np.int64).view(np.uint64)
 
 
 def prefixes(docs: DataFrame, shingle: int, percent: int, last: np.ndarray) -> DataFrame:
@@ -120,7 +143,7 @@ def prefixes(docs: DataFrame, shingle: int, percent: int, last: np.ndarray) -> D
     return docs.select("text").mapInArrow(run, "s long, class long, n int, at int")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int, last: np.ndarray) -> DataFrame:
+def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(class, set) for the rows (doc_id, class) of `wanted`; a set is its hashes as bytes."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted, 500_000), "doc_id")
 
@@ -142,6 +165,18 @@ def _of_bytes(x: pa.Scalar) -> np.ndarray:
     return np.frombuffer(x.as_buffer(), np.uint64)
 
 
+def possible_pairs(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that can link by their sizes and signatures."""
+    left, right = (sigs.select(F.col("class").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}")) for k in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_link(n, differences(_of_bytes(x), _of_bytes(y)), percent) for n, x, y in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
 def pair_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link."""
     left, right = (sets.select(F.col("class").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
@@ -177,11 +212,44 @@ def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
-def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within the rows of frequent shingles (s, class, rows of s), as a forest of each pair of blocks."""
+def block_pairs(members: DataFrame) -> DataFrame:
+    """(s, i, j, block, class): the rows (s, class, classes of s), each for all pairs of blocks of its shingle that it is in."""
     m = members.withColumn("blocks", F.ceil(F.col("classes") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("s", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class").join(sets, "class")
+    return m.select("s", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class")
+
+
+def possible_members(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The rows of `members` (s, class) that can link with another of the same shingle."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        sig = [_of_bytes(x) for x in t["sig"]]
+        n, short = t["n"].to_numpy(), min(map(len, sig))
+        folded = np.empty((len(sig), short), np.uint64)
+        for k, x in enumerate(sig):
+            folded[k] = np.bitwise_xor.reduce(x.reshape(-1, short), axis=0)
+        able = np.zeros(len(sig), bool)
+        for k in range(len(sig)):
+            total = n[k] + n
+            differ = np.bitwise_count(folded[k] ^ folded).sum(axis=1)
+            maybe = ((100 + percent) * (total - differ) >= 2 * percent * total) & (100 * np.minimum(n[k], n) >= percent * np.maximum(n[k], n))
+            maybe[k] = False
+            if short < len(sig[k]):
+                for other in np.flatnonzero(maybe):
+                    if may_link(int(total[other]), differences(sig[k], sig[other]), percent):
+                        able[k] = True
+                        break
+            else:
+                able[k] = maybe.any()
+        return t.select(["s", "class"]).filter(pa.array(able))
+
+    m = block_pairs(members).join(sigs, "class").select("s", "i", "j", "class", "n", "sig")
+    return m.groupBy("s", "i", "j").applyInArrow(compare, "s long, class long").distinct()
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within the rows of frequent shingles (s, class, classes of s), as a forest of each pair of blocks."""
+    m = block_pairs(members).join(sets, "class")
 
     def product(t: pa.Table) -> pa.Table:
         names, block = t["class"].to_numpy(), t["block"].to_numpy()
@@ -215,8 +283,7 @@ def similar_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent:
     # rows of the matrix with equal members are multiplied once, for the first of them in the order
     heads = p.groupBy("classes", "same").agg(F.min("s").alias("s")).select("s")
     p = materialize(p.join(heads, "s", "left_semi").drop("same"))
-    name = classes.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    sets = whole_sets(docs, materialize(name.join(p.select("class").distinct(), "class", "left_semi")), shingle, last)
+    sigs = materialize(classes.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
 
     few = p.where(F.col("classes") <= SHORT_ROW)
     a, b = (few.select("s", F.col("class").alias(k), F.col("n").alias(f"n_{k}"), F.col("at").alias(f"at_{k}")) for k in "ab")
@@ -224,7 +291,14 @@ def similar_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent:
     # 100 * overlap >= percent * (n_a + n_b - overlap), where at most this much overlap is left after the first shared shingle
     left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     pairs = a.join(b, "s").where(sizes & ((100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b")))).select("a", "b").distinct()
+    pairs = materialize(possible_pairs(pairs, sigs, percent))
+
     many = p.where(F.col("classes") > SHORT_ROW).select("s", "class", "classes")
+    many = possible_members(many, sigs, percent).withColumn("classes", F.count(F.lit(1)).over(row)).where("classes > 1")
+    many = materialize(many)
+
+    met = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(many.select("class")).distinct()
+    sets = whole_sets(docs, materialize(sigs.select("doc_id", "class").join(met, "class", "left_semi")), shingle)
     return pair_links(pairs, sets, percent).unionByName(block_links(many, sets, percent))
 
 
