@@ -1,0 +1,298 @@
+"""Each operator against a plain version, on small tables with nulls, empty and repeated rows, ties and clashing names."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tracevale.llm import components, decontaminate, html_extract, license_scan, line_dedup, ngram_join, packing, quality_crf, substring_dedup, topk, warc
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def text(seed, n):
+    return " ".join(np.random.default_rng(seed).choice(WORDS, n))
+
+
+BASE = text(1, 60)
+ROWS = [
+    (1, BASE), (2, BASE), (3, BASE.replace(" ", "\n", 3)), (4, text(2, 30) + " " + BASE[:200]), (5, None), (6, ""), (7, "one"), (8, "one two"), (9, "ONE Two"),
+    (10, text(3, 80) + " x"), (11, text(3, 80) + " y"), (12, "a b " * 40), (13, "  \n\n"), (None, BASE), (14, "é ß Ç\n" + "Long enough line to count here\n" * 3), (15, "long enough LINE to count here \nb"),
+    (16, "\tlong enough line to count here"), (17, text(9, 3000)), (17, text(9, 3000)),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "k", "w", 0) for i, t in ROWS]
+    return spark.createDataFrame(rows, "doc_id long, text string, key string, row string, class int").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+def by_id(df, *columns):
+    return sorted((tuple(r[c] for c in ("doc_id", *columns)) for r in df.collect()), key=repr)
+
+
+# 1
+def leaks(rows, items, window):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = lambda t: pattern.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    out = []
+    for i, t in rows:
+        w, hit, ids = words(t), set(), set()
+        for item, it in items:
+            v = words(it)
+            n = min(window, len(v))
+            for s in range(len(w) - n + 1 if n else 0):
+                if any(w[s : s + n] == v[o : o + n] for o in range(len(v) - n + 1)):
+                    hit |= set(range(s, s + n))
+                    ids |= {str(item)} - {"None"}
+        out.append((i, len(w), sorted(hit), sorted(ids)))
+    return sorted(out, key=repr)
+
+
+def test_decontamination(spark, docs, empty):
+    items = [(1, BASE[20:180]), (2, "two"), (2, "Two"), (3, None), (4, "!!"), (None, "ONE"), (5, "a b a b a b a b a b a b"), (6, "zz yy")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.phrase_matches(docs, table)
+    assert got.columns == [*docs.columns, "leak"]
+    assert sorted(((r.doc_id, r.leak.n_words, r.leak.hit, r.leak.item_ids) for r in got.collect()), key=repr) == leaks(ROWS, items, 10)
+    assert decontaminate.phrase_matches(empty, table).count() == 0
+    assert decontaminate.phrase_matches(docs, table.where("false")).where("size(leak.hit) > 0").count() == 0
+
+
+def test_proximity(spark):
+    d = spark.createDataFrame([(1, "rare1 x y rare2 z"), (2, "rare2 rare1")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "rare1 y rare2")], "item_id long, text string")
+    assert [r.doc for r in decontaminate.proximity_matches(d, items, slop=1).collect()] == [1]
+    assert decontaminate.proximity_matches(d, items, slop=0).count() == 0
+
+
+# 2
+def groups(rows, k, percent):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                n = len(sets[a] & sets[b])
+                if sets[a] and sets[b] and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+                    root[a] = min(root[a], root[b])
+    least = {}
+    for (i, _), r in zip(rows, root, strict=True):
+        least[r] = min([x for x in (least.get(r), i) if x is not None], default=None)
+    return sorted(((i, len(s), least[r]) for (i, _), s, r in zip(rows, sets, root, strict=True)), key=repr)
+
+
+@pytest.mark.parametrize(("k", "percent", "short", "block"), [(3, 90, 48, 256), (5, 80, 48, 256), (2, 50, 1, 2)])
+def test_ngram_join(docs, empty, monkeypatch, k, percent, short, block):
+    monkeypatch.setattr(ngram_join, "SHORT_ROW", short)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    assert by_id(ngram_join.near_duplicates(docs, k, percent), "n_shingles", "component_id") == groups(ROWS, k, percent)
+    assert ngram_join.near_duplicates(empty, k, percent).count() == 0
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (9, 8), (20, 21), (7, 7)], "a long, b long")
+    assert dict(components.components(e).collect()) == {3: 3, 4: 3, 5: 3, 8: 3, 9: 3, 20: 20, 21: 20}
+
+
+# 3
+def test_top_k(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(topk, "PACK_ROWS", 4)
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(100)] + [(100, [0.1] * 8), (101, [0.1] * 8), (102, None), (103, [float("nan")] * 8), (104, [None] * 8), (105, []), (None, [0.1] * 8), (106, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = {i: np.floor(64 * np.float32(e).astype(float)).astype(int) for i, e in rows if i is not None and e and None not in e and not np.isnan(e).any()}
+    want = []
+    for q in sorted(i for i in v if i % 20 == 0):
+        best = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q))[:20]
+        want += [(q, n, c, -s) for n, (s, c) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect()) == want
+    assert topk.top_k(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0).count() == 4
+    assert topk.top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+# 4
+def removals(rows, window):
+    first, out = {}, []
+    w = [(i, (t or "").encode().split()) for i, t in rows]
+    starts = sorted(((-(2**63) if i is None else i, s, tuple(x[s : s + window])) for i, x in w for s in range(len(x) - window + 1)))
+    for i, s, g in starts:
+        first.setdefault(g, (i, s))
+    for i, x in w:
+        gone = set()
+        for s in range(len(x) - window + 1):
+            if first[tuple(x[s : s + window])] != (-(2**63) if i is None else i, s):
+                gone |= set(range(s, s + window))
+        out.append((i, len(x), len(gone), b" ".join(y for n, y in enumerate(x) if n not in gone).decode()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("large", [2000, 1])
+def test_substring_dedup(docs, empty, monkeypatch, large):
+    monkeypatch.setattr(substring_dedup, "GROUP_ROWS", large)
+    assert by_id(substring_dedup.remove_repeats(docs), "n_words", "n_removed", "kept") == removals(ROWS, 20)
+    assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+# 5
+def test_best_fit():
+    lengths = np.array([700, 600, 400, 300, 24, 24])
+    sequence, offset = packing.best_fit(lengths, 1024)
+    assert sequence.tolist() == [0, 1, 1, 0, 0, 1] and offset.tolist() == [0, 0, 600, 700, 1000, 1000]
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in ROWS}
+    per_doc, per_sequence = {}, {}
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+        per_doc[r.doc_id] = per_doc.get(r.doc_id, 0) + r.length
+        per_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, x in ids.items():
+        assert per_doc[i] == len(x) * sum(j == i for j, _ in ROWS)
+    for parts in per_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert packing.pack(empty, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
+
+
+def test_encoder_on_odd_texts():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for t in ["a  b", " a", "a ", "a\n\nb", "x\ty", "it's <|endoftext|> I'LL we'll", "", "\n", "½ ² a_b", "日本 é é"]:
+        assert encode(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+# 6
+def test_marginals_match_brute_force():
+    rng = np.random.default_rng(3)
+    good, change = rng.normal(size=4), rng.normal(size=(2, 2))
+    weight = {s: np.exp(sum(good[i] * s[i] for i in range(4)) + sum(change[s[i], s[i + 1]] for i in range(3))) for s in np.ndindex(2, 2, 2, 2)}
+    z = sum(weight.values())
+    p, pairs, log_z = quality_crf.marginals(np.append(good, 0.3), change, np.array([4, 1]))
+    for i in range(4):
+        assert p[i] == pytest.approx(sum(w for s, w in weight.items() if s[i]) / z)
+    assert pairs[0, 1] == pytest.approx(sum(w * sum(s[i : i + 2] == (0, 1) for i in range(3)) for s, w in weight.items()) / z)
+    assert log_z == pytest.approx(np.log(z) + np.log1p(np.exp(0.3)))
+
+
+def test_quality_held_out(spark):
+    d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = quality_crf.fit(d, labels.where(~out))
+    got = quality_crf.score(d, model).where(out).join(labels, "doc_id")
+    assert got.where((F.col("score") >= 0.3).cast("int") == F.col("quality")).count() >= 0.95 * got.count()
+
+
+def test_quality_edges(spark, docs, empty):
+    labels = spark.createDataFrame([(1, 1), (12, 0), (99, 1), (2, None)], "doc_id long, quality int")
+    model = quality_crf.fit(docs, labels)
+    got = quality_crf.score(docs, model).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
+    assert quality_crf.score(empty, model).count() == 0
+    assert {r.score for r in quality_crf.score(docs, quality_crf.fit(docs, labels.where("false"))).collect()} == {0.5}
+
+
+# 7
+def lines_kept(rows):
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({i: i + 32 for i in range(65, 91)})
+    where = {}
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            where.setdefault(key(x), set()).add(i)
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < 20 or len(w := where[key(x)]) < 3 or max(w, key=lambda j: -1 if j is None else j) == i]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=repr)
+
+
+def test_line_dedup(docs, empty):
+    got = line_dedup.apply_keep(docs, line_dedup.keep_bitmaps(docs))
+    assert got.columns == [*docs.columns, "line_dedup"]
+    assert sorted(((r.doc_id, r.line_dedup.n_lines, r.line_dedup.n_dropped, r.line_dedup.kept) for r in got.collect()), key=repr) == lines_kept(ROWS)
+    assert line_dedup.apply_keep(empty, line_dedup.keep_bitmaps(empty)).count() == 0
+
+
+def test_line_dedup_of_many_lines(spark):
+    rows = [(i, "\n".join(f"a line that is long enough {n % 150}" for n in range(200))) for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.apply_keep(d, line_dedup.keep_bitmaps(d))
+    assert sorted((r.doc_id, r.line_dedup.n_lines, r.line_dedup.n_dropped, r.line_dedup.kept) for r in got.collect()) == lines_kept(rows)
+
+
+# 8
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a/\n", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 70_000), (None, "u", "<p>x</p>"), (2, "v", "<p>x</p>"), (None, "w", "lone")]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, key int").repartition(3)
+    got = warc.read_archives(warc.write_archives(pages)).collect()
+    last = {}
+    for i, _, h in rows:
+        last[h or ""] = max([x for x in (last.get(h or ""), i) if x is not None], default=None)
+    want = []
+    for i, u, h in rows:
+        raw = (h or "").encode()
+        refers = None if i == last[h or ""] else last[h or ""]
+        want.append((i, u and u.replace("\n", "%0A"), len(raw), warc.base32_sha1(raw), "response" if refers is None else "revisit", refers, raw if refers is None else None))
+    assert sorted((tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in got), key=repr) == sorted(want, key=repr)
+    assert warc.round_trip(spark, pages.where("false")).count() == 0
+
+
+def test_warc_rejects_what_is_wrong():
+    raw = warc._record(1, "u", b"abc", None, "2020-01-01T00:00:00Z")
+    assert warc.parse_record(raw)["payload"] == b"abc"
+    for bad in (raw.replace(b"abc", b"abd"), raw[:-1], raw.replace(b"WARC/1.1", b"WARC/9"), raw.replace(b"WARC-Date", b"X-Date"), raw.replace(b"response\r\n", b"revisit\r\n", 1)):
+        with pytest.raises(ValueError):
+            warc.parse_record(bad)
+
+
+# 9
+PAGE = '<html><head><title>t</title></head><body><nav><a href="/">menu one</a></nav><div class="top ad">buy this now</div><article><h1>Head &amp; tail</h1><p><b>One.<br><p>a &lt;\n b &#233; 1 < 2<script>x="</p>"</script></p><aside>side</aside><div class="comments"><p>no</p></div></article><div>plain outside words here and more</div><footer>&copy; f</footer></body></html>'
+
+
+def test_html(spark):
+    weights = html_extract.learn([PAGE] * 5)
+    want = "Head & tail\n\nOne.\n\na < b é 1 < 2"
+    assert html_extract.extract(PAGE, weights) == want
+    assert html_extract.extract(PAGE[: PAGE.index("</article>")], weights) == want
+    for x in (None, "", "<nav>menu</nav>", "<", "<p", "<!-- a"):
+        assert html_extract.extract(x, weights) in ("", "<")
+    pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x")], "page_id long, url string, html string, text string")
+    assert sorted((r.n_chars, r.text) for r in html_extract.main_texts(pages).collect()) == [(0, ""), (len(want), want), (len(want), want)]
+    assert html_extract.main_texts(pages.where("false")).count() == 0
+
+
+# 10
+def test_license_scan(spark):
+    mit = license_scan.TEXTS["MIT"]
+    rows = [(1, "Copyright (c) 2020 Me\n" + mit.upper().replace(",", " ;")), (2, mit + " more"), (3, "a\nRELEASED under the MIT licence\nx"), (4, None), (5, ""), (6, "© only"), (7, "Licensed under CC BY-NC 4.0."), (7, "Licensed under CC BY-NC 4.0.")]
+    got = license_scan.scan(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, digest int"))
+    want = [(1, "MIT", "", 0), (2, None, "", 0), (3, None, "MIT", 1), (4, None, "", 0), (5, None, "", 0), (6, None, "", 0), (7, "CC-BY-NC-4.0", "CC-BY-NC-4.0", 1), (7, "CC-BY-NC-4.0", "CC-BY-NC-4.0", 1)]
+    assert by_id(got, "license_id", "notice_ids", "n_notices") == sorted(want, key=repr)
+    for r in got.collect():
+        assert r.canonical_sha256 == hashlib.sha256(license_scan.canonical(dict(rows)[r.doc_id] or "").encode()).hexdigest()
