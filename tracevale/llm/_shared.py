@@ -31,6 +31,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """At most about `rows` rows of `df`, those with the least hashes of their key; only hashes are gathered to choose them."""
+    h = df.withColumn("__h", F.xxhash64(*key))
+    chosen = h.select("__h").distinct().orderBy("__h").limit(rows)
+    return h.join(F.broadcast(chosen), "__h", "left_semi").drop("__h")
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast if the materialized `df` is counted to have at most `rows` rows; else leave the join to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

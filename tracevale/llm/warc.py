@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize, shared_dir
+from ._shared import hash_sample, materialize, shared_dir
 
 #: Fixed values of the format: magic number of the dictionary's skippable frame, version line, profile of a revisit.
 MAGIC, VERSION = 0x184D2A5D, b"WARC/1.1"
@@ -106,7 +106,8 @@ def read_archive(stream) -> Iterator[bytes]:
 
 def train_dictionary(pages: DataFrame, sample: int = 256, size: int = 16_384) -> bytes:
     """A dictionary from the starts of at most `sample` pages."""
-    rows = pages.where(F.octet_length("html") > 0).select("page_id", F.substring("html", 1, 20_000).alias("html")).orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(sample).collect()
+    starts = hash_sample(pages.where(F.octet_length("html") > 0).select("page_id", "html"), sample, "page_id").select("page_id", F.substring("html", 1, 20_000).alias("html"))
+    rows = starts.limit(sample).collect()
     texts = [_record(r.page_id, None, r.html.encode(), None, "1970-01-01T00:00:00Z") for r in rows]
     try:
         return zstandard.train_dictionary(size, texts).as_bytes()
@@ -173,7 +174,9 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], FIELDS[n]) for n in names], names)
 
     kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
-    return archives.select("file", "records").repartition("file").mapInArrow(read, ", ".join(f"{n} {kinds[FIELDS[n]]}" for n in names))
+    # a stated number of partitions, as a few rows stand for much reading
+    tasks = min(max(1, archives.count()), 10_000)
+    return archives.select("file", "records").repartition(tasks, "file").mapInArrow(read, ", ".join(f"{n} {kinds[FIELDS[n]]}" for n in names))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> DataFrame:
