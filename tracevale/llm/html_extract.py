@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import hash_sample
+
 #: Elements whose content isn't a page's text, elements that are part of a line, and void elements.
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg canvas object button select textarea dialog menu title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -108,7 +110,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 def tag_weights(pages: DataFrame, sample: int = 400) -> dict[str, float]:
     """Scores from at most `sample` labelled pages, taken by a hash of their html."""
     labelled = pages.select("html").where((F.regexp_count("html", F.lit("(?i)<article[ >]")) == 1) & (F.regexp_count("html", F.lit("(?i)</article>")) == 1))
-    return learn([r[0] for r in labelled.orderBy(F.xxhash64("html"), F.length("html")).limit(sample).toLocalIterator()])
+    return learn([r[0] for r in hash_sample(labelled, sample, "html").limit(sample).toLocalIterator()])
 
 
 def main_texts(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
