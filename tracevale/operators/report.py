@@ -27,7 +27,7 @@ def path_text(path: Column, labels: Column) -> Column:
 
 def markdown(found: DataFrame, unmapped: DataFrame, most: int = 5) -> str:
     """The report's text; findings and unmapped changes of one pull request are few."""
-    lines = ["# Blast radius", ""]
+    lines = ["# Change impact", ""]
     for r in found.select("severity", percent(F.col("confidence")).alias("c"), "files", "affected_entity_ids", "path_entity_ids").orderBy("severity", "files").toLocalIterator():
         lines += [f"## {r.severity}: {r.files} ({r.c} %)", f"{len(r.affected_entity_ids)} entities affected"]
         paths = r.path_entity_ids or []

@@ -53,7 +53,7 @@ def q06_text_exact_links(spark, sf_dir):
     return e.join(first.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_docs")), "name").select("id", "name", "doc_id", "n_docs").distinct()
 
 
-def q07_blast_radius(spark, sf_dir):
+def q07_change_impact(spark, sf_dir):
     """Parts as changed symbols, orders as elements, customers as screens; urgent orders as flows."""
     li, o, c = t(spark, sf_dir, "lineitem"), t(spark, sf_dir, "orders"), t(spark, sf_dir, "customer")
     rows = li.select("l_partkey", "l_orderkey", "l_discount").join(o.select("o_orderkey", "o_custkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))

@@ -32,7 +32,7 @@ SELECT page_id, array_to_string(list_filter(list_transform(string_split(a, chr(1
     "q05_evidence_links": f"WITH {_SIGNALS} SELECT source, target, confidence, method, evidence, review_status FROM banded",
     "q06_text_exact_links": rf"""WITH {_ELEMENTS}, d AS (SELECT lower(regexp_extract(text, '^(\S+)', 1)) AS name, min(doc_id) AS doc_id, count(*) AS n_docs FROM documents GROUP BY 1)
 SELECT DISTINCT 'element:' || {_ID.format('lower(trim(screen)), role, lower(trim(e.name))')} AS id, lower(trim(e.name)) AS name, d.doc_id, d.n_docs FROM e JOIN d ON lower(trim(e.name)) = d.name""",
-    "q07_blast_radius": """WITH g AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS n_elements, count(DISTINCT c_custkey) AS n_screens, max(1 - l_discount) AS confidence, bool_or(o_orderpriority = '1-URGENT') AS f
+    "q07_change_impact": """WITH g AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS n_elements, count(DISTINCT c_custkey) AS n_screens, max(1 - l_discount) AS confidence, bool_or(o_orderpriority = '1-URGENT') AS f
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1)
 SELECT p_partkey, p_name, n_elements, n_screens, confidence, CASE WHEN f AND confidence >= 0.8 THEN 'high' ELSE 'medium' END AS severity FROM part JOIN g ON p_partkey = l_partkey""",
     "q08_unmapped_changes": "SELECT p_partkey, p_brand, CASE WHEN p_size < 10 THEN 'no symbols extracted' ELSE 'no UI link found' END AS reason FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount >= 0.09)",
