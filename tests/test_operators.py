@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tracevale.operators import code, docs, evals, graph, impact, linking, report
+from tracevale.operators import code, docs, evals, graph, impact, linking, policy, report
 from tracevale.sources import diffs, pages, records
 from tracevale.streaming import replay
 
@@ -175,3 +175,33 @@ def test_stream_counts_like_a_table(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(spark.table("counted").collect()) == sorted(replay.windowed_counts(rows).collect())
+
+
+CANDIDATES = "state string, ord int, element_id string, role string, name string, href string, action string, reason_blocked string, fill_value_key string"
+
+
+def test_recipes(spark):
+    s = spark.createDataFrame(
+        [("a", "Sign in as x", "http://h/user/login", "/user/login"), ("b", "Create a new issue", "http://h/user/login", "/user/login"), ("c", "please WATCH it", "http://h/", "/"),
+         ("d", "watch", "http://h/demo/demo-repo/issues/1", "/x"), ("e", None, None, None), ("f", "other", "http://h/", "/")],
+        "state string, goal string, url string, route_pattern string",
+    )
+    form = [("link", "Sign In", "/user/login", "click", "already-executed"), ("textbox", "user_name", None, "fill", None), ("textbox", "password", None, "fill", None), ("button", "Sign In", None, "submit", None)]
+    rows = [(k, i, f"{k}{i}", r, n, h, a, b, "key" if a == "fill" else None) for k in "ab" for i, (r, n, h, a, b) in enumerate(form)]
+    rows += [("d", 0, "d0", "button", "Unsubscribe", None, "click", None, None), ("d", 1, "d1", "button", "Watch", None, "click", None, None), ("f", 0, "f0", "button", "x", None, "click", None, None), ("f", 1, "f1", "LINK", "y", "/y", "click", None, None)]
+    c = spark.createDataFrame(rows, CANDIDATES)
+    got = {r.state: (r.element_id, r.action, r.source, r.fill_value_key, r.navigate_to) for r in policy.decide(s, c).collect()}
+    assert got == {
+        "a": ("a1", "fill", "deterministic", "key", None), "b": ("b1", "fill", "deterministic", "key", None), "c": (None, "navigate", "deterministic", None, "/demo/demo-repo/issues/1"),
+        "d": ("d1", "click", "deterministic", None, None), "e": (None, None, "stop", None, None), "f": ("f1", "click", "deterministic", None, None),
+    }
+    answers = spark.createDataFrame([("a", -1, "done"), ("b", 2, "go"), ("d", 9, "?"), ("f", None, None)], "state string, index int, rationale string")
+    said = {r.state: (r.element_id, r.source, r.rationale) for r in policy.decide_by_answers(s, c, answers).collect()}
+    assert said["a"] == (None, "stop", "done") and said["b"] == ("b3", "llm", "go") and said["d"][:2] == ("d1", "deterministic")
+    assert said["d"][2] == "llm-out-of-range: ?; deterministic-fallback: recipe keyword 'watch' matched candidate 'Watch'" and said["f"][0] == "f1" and said["e"][1] == "stop"
+
+
+def test_success(spark):
+    p = spark.createDataFrame([("http://h/", '<i class="ui avatar">'), ("http://h/user/login", "demo-user"), ("http://h/demo/demo-repo/issues/1", "demo-user Unwatch"), ("http://h/demo/demo-repo/issues/7", "Crawler-created issue for flow F2"), (None, None)], "url string, html string")
+    got = [tuple(r) for r in p.select(*(f(F.col("url"), F.col("html")) for f in (policy.signed_in, policy.issue_created, policy.issue_watched))).collect()]
+    assert got == [(True, False, False), (False, False, False), (True, False, True), (False, True, False), (False, False, False)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import docs, evals, graph, impact, linking, report
+from ..operators import docs, evals, graph, impact, linking, policy, report
 from ..sources import pages as pg
 from ..streaming import replay
 
@@ -223,4 +223,15 @@ def q35_stable_ids(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", text.stable_id("screen", F.col("c_name"), F.col("c_mktsegment")).alias("id"), text.shorten(F.col("c_name"), 12).alias("label"), text.percent(F.col("c_nationkey") / 40).alias("pct"))
 
 
+def q36_recipe_policy(spark, sf_dir):
+    """The next link of each page; every second one has a goal with a recipe of two keywords."""
+    pages = t(spark, sf_dir, "pages")
+    goal = F.when(F.col("page_id") % 2 == 0, "Find THE page").otherwise("look around")
+    states = pages.select(F.col("page_id").cast("string").alias("state"), goal.alias("goal"), "url", urls.route_pattern(F.col("url")).alias("route_pattern"))
+    none = F.lit(None).cast("string")
+    links = _elements(spark, sf_dir).where("role = 'link'").select(F.col("screen").alias("state"), "ord", F.col("id").alias("element_id"), "role", "name", "href", F.lit("click").alias("action"), none.alias("reason_blocked"), none.alias("fill_value_key"))
+    recipes = {"find": [("the", None, False, None), ("de", None, False, None)]}
+    return policy.decide(states, links, recipes).select("state", "element_id", "rationale", "source")
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit()}

@@ -75,4 +75,9 @@ b AS (SELECT event_id, run, ts, row_number() OVER (PARTITION BY run ORDER BY ts,
     "q33_last_entries": "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 6",
     "q34_windowed_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "q35_stable_ids": f"SELECT c_custkey, 'screen:' || {_ID.format('lower(trim(c_name)), lower(trim(c_mktsegment))')} AS id, CASE WHEN length(c_name) <= 12 THEN c_name ELSE left(c_name, 11) || '…' END AS label, CAST(round_even(c_nationkey / 40 * 100, 0) AS INTEGER) AS pct FROM customer",
+    "q36_recipe_policy": f"""WITH {_ELEMENTS}, k AS (SELECT *, CAST(screen AS BIGINT) % 2 = 0 AS found, 'element:' || {_ID.format('lower(trim(screen)), role, lower(trim(name))')} AS id FROM e),
+m AS (SELECT *, CASE WHEN found AND (contains(lower(name), 'the') OR contains(lower(href), 'the')) THEN 'the' WHEN found AND (contains(lower(name), 'de') OR contains(lower(href), 'de')) THEN 'de' END AS word FROM k),
+b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY screen ORDER BY CASE word WHEN 'the' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, coalesce(lower(trim(name)) <> word, false), ord) = 1)
+SELECT CAST(page_id AS VARCHAR) AS state, b.id AS element_id, CASE WHEN b.id IS NULL THEN 'no viable unvisited candidate' WHEN word IS NULL THEN 'first unvisited non-blocked link rule' ELSE 'recipe keyword ''' || word || ''' matched candidate ''' || b.name || '''' END AS rationale,
+ CASE WHEN b.id IS NULL THEN 'stop' ELSE 'deterministic' END AS source FROM pages LEFT JOIN b ON b.screen = CAST(page_id AS VARCHAR)""",
 }
