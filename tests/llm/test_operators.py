@@ -9,7 +9,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tracevale.llm import components, decontaminate, html_extract, license_scan, line_dedup, ngram_join, packing, quality_crf, substring_dedup, topk, warc
+import corpus_pipeline
+from tracevale.llm import components, decontaminate, html_extract, license_scan, line_dedup, ngram_join, packing, quality_crf, queries, substring_dedup, topk, warc
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -187,6 +188,21 @@ def test_encoder_on_odd_texts():
         assert encode(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_packing_of_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "a  <|endoftext|>  b\n\n", "<|endoftext|><|endoftext|>", "<|endoftext|", "it's <|ENDOFTEXT|>", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((i, zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids)))
+    stage = corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "")
+    for got in (queries.QUERIES["op5_packing"](spark, str(tmp_path)), stage):
+        assert sorted((r.doc_id, r.ids_crc32, r.doc_tokens) for r in got.collect()) == want
+
+
 # 6
 def test_marginals_match_brute_force():
     rng = np.random.default_rng(3)

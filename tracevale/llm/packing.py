@@ -12,6 +12,7 @@ each for itself. Other columns aren't read.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -35,25 +36,37 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 class Encoder:
     """Ids of a text as little-endian 32-bit bytes, from a vocabulary of ranks for tiktoken.
 
-    The names of special tokens are ordinary text. A text without runs of white space takes the faster pattern.
+    `added` tokens are found inside a text, as `tokenizers` finds them; the names of others are ordinary text. A text
+    without runs of white space takes the faster pattern.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: tuple[tuple[str, int], ...] = ()):
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
+        self.added = [token for token, _ in added]
         self.runs = re.compile(r"\s\s").search
-        self.fast, self.full = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (PATTERN, public_tokenizers.PATTERN))
+        self.fast, self.full = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens=dict(added)) for p in (PATTERN, public_tokenizers.PATTERN))
 
     def __call__(self, text: str) -> bytes:
-        return array("I", (self.full if self.runs(text) else self.fast)(text)).tobytes()
+        by = self.full if self.runs(text) else self.fast
+        return array("I", by.encode(text, allowed_special="all") if any(t in text for t in self.added) else by.encode_ordinary(text)).tobytes()
 
 
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, added: tuple[tuple[str, int], ...]) -> Encoder:
+    return Encoder(path, added)
+
+
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """(token, id) of the added tokens of a tokenizer's JSON file."""
+    with open(path, "rb") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError(f"{path}: added tokens that take what stands around them aren't known here")
+    return tuple((t["content"], t["id"]) for t in tokens)
 
 
 class Room:
@@ -105,11 +118,11 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return sequence, offset
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full windows of each document and its rest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, added), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[list[int]] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -124,9 +137,9 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """The columns of `pieces`, sequence_id and offset."""
-    parts = materialize(pieces(docs, tokenizer, window, end_id))
+    parts = materialize(pieces(docs, tokenizer, window, end_id, added))
     groups = max(1, -(-parts.count() // GROUP_PIECES))
     parts = parts.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
 

@@ -33,8 +33,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the ranks are the vocabulary of byte_bpe_50k.json and give the same ids
-    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), window=1024, end_id=0)
+    # the ranks are the vocabulary of byte_bpe_50k.json and, with its added tokens, give the same ids
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), window=1024, end_id=0, added=added)
 
 
 def learnable_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
