@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -312,3 +313,21 @@ def test_license_scan(spark):
     assert by_id(got, "license_id", "notice_ids", "n_notices") == sorted(want, key=repr)
     for r in got.collect():
         assert r.canonical_sha256 == hashlib.sha256(license_scan.canonical(dict(rows)[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_license_scan_of_whole_texts(spark):
+    known = license_scan.TEXTS
+    mit, apache, gpl2, gpl3 = (known[x] for x in ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-3.0-only"))
+    bare = mit.removeprefix("MIT License\n")
+    cases = [(t, name) for name, t in known.items()] + [
+        ("Copyright 2001 Me\n\n" + bare, "MIT"), ("The MIT License (MIT)\n\nCopyright (c) 2001 Me\n\n" + bare, "MIT"),
+        ("\n\n".join(textwrap.fill(x, 70) for x in mit.split("\n")), "MIT"), ("\n\n".join(textwrap.fill(x, 63) for x in mit.split("\n")), "MIT"),
+        (apache[: apache.index("APPENDIX")], "Apache-2.0"), (apache[apache.index("TERMS AND CONDITIONS") :].replace("http:", "https:"), "Apache-2.0"),
+        (gpl2.replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA"), "GPL-2.0-only"),
+        (gpl3[: gpl3.index("How to Apply")], "GPL-3.0-only"), (known["MPL-2.0"].replace("http:", "https:"), "MPL-2.0"), ("All rights reserved.\n" + known["BSD-3-Clause"].replace("1. R", "* R").replace("2. R", "* R").replace("3. N", "* N"), "BSD-3-Clause"),
+        (gpl3[: len(gpl3) // 2], None), (apache + gpl3, None),
+    ]
+    got = license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string"))
+    assert by_id(got, "license_id") == sorted(((i, name) for i, (_, name) in enumerate(cases)), key=repr)
+    digests = [d for d, _ in license_scan.digests(known)]
+    assert len(digests) == len(set(digests))
