@@ -304,6 +304,21 @@ def test_html(spark):
     assert html_extract.main_texts(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "ad-free", "modal-open", "social-science", "post-header"])
+def test_html_of_wrappers_with_marked_words_in_longer_names(name):
+    words = "some text that is long enough to be a page's main text by any measure"
+    for weights in ({}, html_extract.learn([PAGE] * 5)):
+        assert html_extract.extract(f"<html><body><div class='{name}'><div><p>{words}</p></div></div></body></html>", weights) == words
+        assert html_extract.extract(f"<html><body><article><p>{words}</p><div id={name.split()[-1]}>{words}</div><p>{words}</p></article></body></html>", weights) == "\n\n".join([words] * 3)
+        assert html_extract.extract(f"<body><div class='x sidebar'>menu</div><div class='{name}'><p>{words}</p><div role=navigation>menu</div></div></body>", weights) == words
+
+
+def test_html_learns_scores_of_marked_names():
+    page = "<body><div class='post-header'>three words here</div><article><p>text</p><section id=ad-free>a</section></article></body>"
+    weights = html_extract.learn([page])
+    assert weights["div."] == -7.0 and weights["section."] == 0
+
+
 # 10
 def test_license_scan(spark):
     mit = license_scan.TEXTS["MIT"]

@@ -3,7 +3,9 @@
 A page is a sequence of words and tags. A word scores 1. A tag scores 0 or less: the more often it stands outside the
 article in labelled pages, and the more words follow it there, the less. One linear scan finds the contiguous region with
 the greatest sum. Elements that are never text (scripts, styles, menus, forms, adverts, comments and so on) give no words,
-wherever they stand. The region's words, block by block, are the text.
+wherever they stand. An element is also one of these if its class, id or role names one, as a whole name; a name that only
+has such a word in it (has-sidebar, post-header) makes a tag of its own kind, with a score. The region's words, block by
+block, are the text.
 
 Labelled pages are pages that mark their main text with one <article> element; at most `sample` of them are used.
 
@@ -30,6 +32,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in the class, id or role of elements whose content isn't a page's text.
 MARKED = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Fixed value: the score of a start tag with such a word in a longer name, if labelled pages have none of its name.
+MARKED_SCORE = -10.0
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^<>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][\w:-]*)([^<>]*)(?:>|\Z)""", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PARTS = re.compile(r"[^a-z0-9]+")
@@ -37,7 +41,7 @@ ROOTS = frozenset(("article", "main", "body"))
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(kind, value, dropped): text as written, and tags by name and class, with a / in front of the end tag's."""
+    """(kind, value, dropped): text as written, and tags by name, with a / in front of the end tag's and a . behind a name with a marked word in a longer one."""
     at, open_, depth, inside = 0, "", 0, 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -51,7 +55,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             depth = 0  # what was left open before the page's body or article ends here
         if name == "article":
             inside += -1 if end else 1
-        marks = {w for x in NAMES.findall(rest) for w in PARTS.split(x.strip("\"'").lower()) if w} if rest and not end else ()
+        marks = {w for x in NAMES.findall(rest) for w in x.strip("\"'").lower().split()} if rest and not end else ()
         if depth:
             if name == open_:
                 depth += -1 if end else name not in VOID
@@ -59,7 +63,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             open_, depth = name, 1
             yield "tag", name, True
             continue
-        yield "tag", ("/" if end else "") + name, bool(depth)
+        partly = any(not MARKED.isdisjoint(PARTS.split(w)) for w in marks)
+        yield "tag", ("/" if end else "") + name + ("." if partly else ""), bool(depth)
     if at < len(page):
         yield "text", page[at:], bool(depth)
 
@@ -77,7 +82,7 @@ def learn(pages: list[str]) -> dict[str, float]:
                 outside[value] += not inside and value != "/article"
             elif last and not inside:
                 most[last] = max(most[last], len(value.split()))
-    return {t: -round(outside[t] / n * (1 + 2 * most[t]), 3) for t, n in seen.items() if outside[t]}
+    return {t: -round(outside[t] / n * (1 + 2 * most[t]), 3) for t, n in seen.items() if outside[t] or t.endswith(".")}
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
@@ -85,8 +90,8 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     units: list[tuple[float, str | None]] = []  # score, and the text of a block's part or None for a block's end
     for kind, value, dropped in tokens(page or ""):
         if kind == "tag":
-            name = value.lstrip("/")
-            units.append((weights.get(value, 0.0), " " if name == "br" else "" if name in INLINE else None))
+            name = value.strip("/.")
+            units.append((weights.get(value, MARKED_SCORE if value.endswith(".") else 0.0), " " if name == "br" else "" if name in INLINE else None))
         elif not dropped:
             value = html.unescape(value)
             units.append((float(len(value.split())), value))
