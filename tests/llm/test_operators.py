@@ -78,6 +78,36 @@ def test_proximity(spark):
     assert decontaminate.proximity_matches(d, items, slop=0).count() == 0
 
 
+def near(rows, items, window, slop, percent):
+    out = set()
+    for d, t in rows:
+        w = re.findall(r"[a-z0-9]+", (t or "").lower())
+        for item, it in items:
+            v = re.findall(r"[a-z0-9]+", (it or "").lower())
+            n = min(window, len(v))
+            for o in range(len(v) - n + 1 if n else 0):
+                x = v[o : o + n]
+                for s in range(-n, len(w)):
+                    there = [x[k] in w[max(0, s + k - slop) : max(0, s + k + slop + 1)] for k in range(n)]
+                    out |= {(d, item)} if 100 * sum(there) >= percent * n and any(0 <= s + k < len(w) and w[s + k] == x[k] for k in range(n)) else set()
+    return out
+
+
+def test_proximity_checks_all_terms_and_keeps_missing_ones(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [
+        (1, "so " + passage), (2, passage.replace("alpha", "changed")), (3, passage.replace("alpha", "changed").replace("theta", "rho")), (4, passage.replace("gamma", "x").replace("eta ", "y ").replace("iota", "z")),
+        (5, "alpha beta q q q q q q q q"), (6, passage.replace("delta", "delta q r")), (7, " ".join(reversed(passage.split()))), (8, "gamma delta epsilon zeta eta theta iota kappa"), (9, None), (10, "theta " * 20 + "alpha"),
+    ]
+    items = [(1, passage), (2, passage.replace("beta", "nowhere")), (3, passage.replace("beta", "nowhere").replace("zeta", "never")), (4, "alpha"), (5, ""), (6, "nowhere"), (7, "alpha nowhere beta")]
+    d, i = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for slop, percent in ((0, 80), (2, 80), (2, 100), (3, 50)):
+        got = {(r.doc, r.item_id) for r in decontaminate.proximity_matches(d, i, slop=slop, percent=percent).collect()}
+        assert got == near(rows, items, 10, slop, percent), (slop, percent)
+    at_default = {(r.doc, r.item_id) for r in decontaminate.proximity_matches(d, i).collect()}
+    assert {(1, 1), (2, 1), (3, 1), (1, 2), (1, 3)} <= at_default and not {(5, 1), (10, 1)} & at_default
+
+
 # 2
 def groups(rows, k, percent):
     sets = []

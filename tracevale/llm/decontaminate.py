@@ -45,18 +45,19 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return materialize(t.groupBy("term", "doc").agg(F.sort_array(F.collect_set("pos")).alias("positions")))
 
 
-def plan_windows(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """(id, terms, item_ids, rare): windows all of whose terms occur in the documents; `rare` lists the offsets of their terms, rarest first."""
+def plan_windows(docs: DataFrame, items: DataFrame, window: int = 10, percent: int = 100) -> DataFrame:
+    """(id, terms, item_ids, rare): windows of whose terms at least `percent` in 100 occur in the documents; `rare` lists the offsets of the terms that do, rarest first."""
     w = materialize(item_windows(items, window).withColumn("id", F.sha2(F.array_join("terms", " "), 256)))
     at = w.select("id", F.posexplode("terms").alias("at", "term"))
     counts = materialize(term_counts(docs, materialize(at.select("term").distinct())))
     rare = at.join(counts, "term", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "at"))).alias("rare"))
-    rare = rare.where(F.expr("not exists(rare, r -> r.n is null)"))
+    rare = rare.withColumn("of", F.size("rare")).withColumn("rare", F.expr("filter(rare, r -> r.n is not null)"))
+    rare = rare.where((100 * F.size("rare") >= percent * F.col("of")) & (F.size("rare") > 0))
     return materialize(w.join(rare.select("id", F.col("rare.at").alias("rare")), "id"))
 
 
-def candidates(windows: DataFrame, index: DataFrame, slop: int = 0) -> DataFrame:
-    """(id, doc, starts): where the two rarest terms of a window stand as in the window; with `slop`, up to so many words nearer or farther."""
+def candidates(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """(id, doc, starts): where the two rarest terms of a window stand as in the window."""
     small_windows = small(windows, BROADCAST_ROWS)
 
     def shifted(nth: int) -> DataFrame:
@@ -67,8 +68,7 @@ def candidates(windows: DataFrame, index: DataFrame, slop: int = 0) -> DataFrame
     a, b = shifted(0), shifted(1)
     b = b.withColumnRenamed("id", "id_b").withColumnRenamed("doc", "doc_b")
     both = a.join(b, (a["id"] == b["id_b"]) & a["doc"].eqNullSafe(b["doc_b"]))
-    starts = F.array_intersect("starts0", "starts1") if not slop else F.expr(f"filter(starts0, s -> exists(starts1, t -> abs(s - t) <= {slop}))")
-    return one.unionByName(both.select("id", "doc", starts.alias("starts"))).where(F.size("starts") > 0)
+    return one.unionByName(both.select("id", "doc", F.array_intersect("starts0", "starts1").alias("starts"))).where(F.size("starts") > 0)
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
@@ -89,9 +89,25 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataF
     return d.select(*(d[c] for c in docs.columns), leak.alias("leak"))
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 3) -> DataFrame:
-    """(doc, item_id, start): the two rarest terms of a window stand in a document as in the window, but for at most `slop` words."""
-    windows = plan_windows(docs, items, window)
-    terms = materialize(windows.select(F.explode(F.expr("transform(slice(rare, 1, 2), r -> terms[r])")).alias("term")).distinct())
-    found = candidates(windows, postings(docs, terms), slop).join(windows.select("id", "item_ids"), "id")
-    return found.select("doc", F.explode("item_ids").alias("item_id"), "starts").select("doc", "item_id", F.explode("starts").alias("start")).distinct()
+def proximity_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 3, percent: int = 80) -> DataFrame:
+    """(doc, item_id, start): at least `percent` in 100 of a window's terms stand in a document within `slop` words of their places.
+
+    Places are counted from `start`, at which one of the rarest terms stands exactly in its place. Where n terms may be
+    missing, at least one of any n + 1 is there, so the n + 1 rarest give all starts. Every term is then checked in the
+    text. Terms in no document count as missing.
+    """
+    windows = plan_windows(docs, items, window, percent)
+    windows = windows.withColumn("least", F.expr(f"cast(ceil({percent} * size(terms) / 100) as int)"))
+    # of the size(terms) - least + 1 rarest terms, those in no document are rarest
+    anchors = F.expr("slice(rare, 1, size(rare) - greatest(least, 1) + 1)")
+    windows = materialize(windows.withColumn("at", F.explode(anchors)).withColumn("term", F.expr("terms[at]")))
+    index = postings(docs, materialize(windows.select("term").distinct()))
+    found = index.join(small(windows, BROADCAST_ROWS), "term").select("id", "terms", "item_ids", "least", "doc", F.explode(F.expr("transform(positions, p -> p - at)")).alias("start")).distinct()
+    text = docs.select(F.col("doc_id").alias("__doc"), words(F.col("text")).alias("__words"))
+    # slice() has no places before the first word
+    there = F.expr(
+        f"size(filter(sequence(0, size(terms) - 1), k -> start + k + {slop} >= 0"
+        f" and array_contains(slice(__words, greatest(start + k - {slop}, 0) + 1, start + k + {slop} + 1 - greatest(start + k - {slop}, 0)), terms[k])))"
+    )
+    found = found.join(text, found["doc"].eqNullSafe(text["__doc"])).where(there >= F.greatest("least", F.lit(1)))
+    return found.select("doc", F.explode("item_ids").alias("item_id"), "start").distinct()
