@@ -205,3 +205,10 @@ def test_success(spark):
     p = spark.createDataFrame([("http://h/", '<i class="ui avatar">'), ("http://h/user/login", "demo-user"), ("http://h/demo/demo-repo/issues/1", "demo-user Unwatch"), ("http://h/demo/demo-repo/issues/7", "Crawler-created issue for flow F2"), (None, None)], "url string, html string")
     got = [tuple(r) for r in p.select(*(f(F.col("url"), F.col("html")) for f in (policy.signed_in, policy.issue_created, policy.issue_watched))).collect()]
     assert got == [(True, False, False), (False, False, False), (True, False, True), (False, True, False), (False, False, False)]
+
+
+def test_flat_locales_of_any_depth(spark):
+    value = '{"a": ' * 11 + '"deep"' + "}" * 11
+    got = code.flat_locales(spark.createDataFrame([(value,), ('{"b": "x"}',), ("bad",)], "value string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(".".join("a" * 11), "deep"), ("b", "x")]
+    assert code.flat_locales(spark.createDataFrame([("bad",)], "value string")).count() == 0

@@ -81,10 +81,11 @@ def flat_locales(files: DataFrame) -> DataFrame:
     """(key, text) of nested JSON texts in column `value`: dotted paths of string leaves; malformed texts give none."""
     v = files.select(F.try_parse_json("value").alias("v")).where("v is not null")
     leaves, level = None, v.select(F.lit("").alias("key"), "v")
-    for _ in range(8):
+    while True:  # a level at a time, as deep as the texts go
         level.createOrReplaceTempView("_locale_level")
         level = level.sparkSession.sql("SELECT concat(if(l.key = '', '', concat(l.key, '.')), e.key) AS key, e.value AS v FROM _locale_level l, LATERAL variant_explode(l.v) e WHERE e.key IS NOT NULL")
         found = level.where("schema_of_variant(v) = 'STRING'").select("key", F.expr("variant_get(v, '$', 'string')").alias("text"))
         leaves = found if leaves is None else leaves.unionByName(found)
         level = level.where("schema_of_variant(v) like 'OBJECT%'")
-    return leaves
+        if level.isEmpty():
+            return leaves
