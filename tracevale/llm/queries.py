@@ -20,7 +20,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=90)
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

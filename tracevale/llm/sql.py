@@ -44,7 +44,7 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0
 g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[o:o + 2], ' ') END AS k
       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS o FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-rare AS (SELECT k FROM g GROUP BY k HAVING count(*) BETWEEN 2 AND 1000000),
+rare AS (SELECT k FROM g GROUP BY k HAVING count(*) >= 2),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN rare USING (k) JOIN g b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
 l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
 e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
