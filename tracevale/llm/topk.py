@@ -7,7 +7,7 @@ slice of the sum downward leaves the rows that are surely in the top k and the t
 the smaller vec_id. A query meets every block, and the blocks' k best are merged.
 
 Defined cases: vectors that are null or empty, or hold null or non-finite components, take no part, nor do rows without a
-vec_id; a vector of another length than the block's most usual one is compared with vectors of its own length only.
+vec_id; scores and components beyond the range of a long are cut to its ends; a vector of another length than the block's most usual one is compared with vectors of its own length only.
 A query's own vec_id is no candidate, so repeated rows of it aren't either; repeated candidates are one each. Other
 columns aren't read.
 """
@@ -23,21 +23,21 @@ from pyspark.sql import functions as F
 
 from ._shared import materialize, small
 
-#: Rows of a block of the index, and queries of a pack, on average.
-BLOCK_ROWS, PACK_ROWS = 65_536, 256
+#: Components of the rows of a block of the index (32 MB of them), and queries of a pack, on average.
+BLOCK_VALUES, PACK_ROWS = 1 << 22, 256
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """(vec_id, n, v): usable vectors as integers."""
     usable = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("int"))
+    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
     return vectors.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("n"), v.alias("v"))
 
 
 def slice_block(v: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Least value of each attribute, and for each attribute its bitmaps from bit 0 up, as rows of 64-bit words."""
     low = v.min(axis=0)
-    u = (v - low).astype(np.uint64)
+    u = v.astype(np.uint64) - low.astype(np.uint64)
     pad = -len(v) % 64
     slices = []
     for d in range(v.shape[1]):
@@ -110,11 +110,16 @@ def search(ids: np.ndarray, low: np.ndarray, slices: list[np.ndarray], query_id:
     able = np.packbits(np.pad(ids != query_id, (0, words * 64 - len(ids))), bitorder="little").view(np.uint64)
     total, shift = add_slices(query, slices, np.full(words, ~np.uint64(0)))
     best = select_top(total, able, k, ids)
-    score = np.full(len(best), shift + int(query @ low), np.int64)
+    base = shift + sum(a * b for a, b in zip(query.tolist(), low.tolist(), strict=True))
     at, bit = best // 64, (best % 64).astype(np.uint64)
-    for b, s in enumerate(total):
-        score += ((s[at] >> bit) & np.uint64(1)).astype(np.int64) << b
-    return ids[best], score
+    if len(total) < 62 and abs(base) < 1 << 62:
+        score = np.full(len(best), base, np.int64)
+        for b, s in enumerate(total):
+            score += ((s[at] >> bit) & np.uint64(1)).astype(np.int64) << b
+        return ids[best], score
+    ones = [((s[at] >> bit) & np.uint64(1)).tolist() for s in total]
+    exact = [base + sum(o[i] << b for b, o in enumerate(ones)) for i in range(len(best))]
+    return ids[best], np.array([min(max(x, -(2**63)), 2**63 - 1) for x in exact], np.int64)
 
 
 def _matrix(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +144,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     """(query_id, rank, vec_id, score) for the rows that `is_query` selects, against all rows but the query's own."""
     rows = materialize(quantised(vectors, scale))
     sizes = rows.groupBy("n").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(is_query, 1)).alias("asked"))
-    sizes = sizes.select("n", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("asked") / PACK_ROWS).cast("int").alias("packs")).where(F.col("packs") > 0)
+    sizes = sizes.select("n", F.ceil(F.col("rows") * F.col("n") / BLOCK_VALUES).cast("int").alias("blocks"), F.ceil(F.col("asked") / PACK_ROWS).cast("int").alias("packs")).where(F.col("packs") > 0)
     rows = rows.join(small(materialize(sizes), 10_000), "n")
     number = lambda of: F.pmod(F.xxhash64("vec_id"), F.col(of)).cast("int")
     # every pack of queries meets every block: both are dealt out to the pairs of their numbers
