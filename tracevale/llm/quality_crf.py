@@ -6,7 +6,9 @@ model fitted so far makes of them (the worst line stays bad). A document's score
 `good` from forward-backward, weighted by length, put on a probability scale by a logistic fit on the same documents.
 
 Only the text is used. The model is fitted on at most `sample` labelled documents of those that the caller lets it learn
-from, taken by a hash of their id, and at most `sample_lines` lines of them; every document is scored on its whole text.
+from, taken by a hash of their id, and at most `sample_lines` lines of them, half of each kind; a document that would go beyond
+its half is passed over, and of one that is longer than a half by itself only so many first lines are learnt from, and only if
+nothing else is there. Every document is scored on its whole text.
 
 Defined cases: a null text is an empty one, which is one empty line and gets a score like any other; rows without a doc_id
 are scored, but never learnt from; labels that are null or for unknown documents are passed over; without labels of both
@@ -177,15 +179,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_lines: in
         for batch in batches:
             for doc_id, text, quality in zip(*(batch.column(c) for c in ("doc_id", "text", "quality")), strict=True):
                 x, size, lines = line_features([(text.as_py() or "").encode()])
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([int(lines[0])]), pa.array([quality.as_py()], pa.int32()), pa.array([x.astype(np.float32).tobytes()]), pa.array([size.tobytes()])], ["doc_id", "lines", "quality", "x", "size"])
-
-    kept = d.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(run, "doc_id long, lines long, quality int, x binary, size binary")
-    got, total = [], 0
-    for r in kept.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(sample).toLocalIterator():
-        total += r.lines
-        if total > sample_lines and got:
-            break
-        got.append(r)
+                n = min(int(lines[0]), half)
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([n]), pa.array([n < lines[0]]), pa.array([quality.as_py()], pa.int32()), pa.array([x[:n].astype(np.float32).tobytes()]), pa.array([size[:n].tobytes()])], ["doc_id", "lines", "cut", "quality", "x", "size"])
+
+    half = max(1, sample_lines // 2)
+    kept = d.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(run, "doc_id long, lines long, cut boolean, quality int, x binary, size binary")
+    got, total = [], {0: 0, 1: 0}
+    for r in kept.orderBy("cut", F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(sample).toLocalIterator():
+        if total[r.quality] + r.lines <= half:
+            total[r.quality] += r.lines
+            got.append(r)
     if not got:
         return fit_lines(np.zeros((0, 1)), np.zeros(0), np.zeros(0), np.zeros(0))
     x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, 3 * OWN + 1) for r in got]).astype(np.float64)
@@ -194,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_lines: in
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """All rows and columns of `docs`, and the score."""
+    """All rows and columns of `docs`, and the score; a column of its name is replaced."""
+    docs = docs.drop(name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = docs.columns.index("text")
 
