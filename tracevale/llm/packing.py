@@ -2,8 +2,9 @@
 
 A document is its tokens and an end id. Documents of more than `window` tokens are first cut into full windows and a rest.
 Pieces go, longest first, to the open sequence with the least room that still holds them; a segment tree over the
-remaining room finds it. Pieces are packed in groups of about GROUP_PIECES, dealt out by hash, so that no task holds more;
-only lengths are dealt out, never tokens or texts.
+remaining room finds it. Pieces are numbered as they are written out, and packed in groups of about GROUP_PIECES that are
+dealt out by a hash of the numbers, so that no repeated row makes a group large; only lengths are dealt out, never tokens
+or texts.
 
 Defined cases: a null text is an empty one, and still has its end id; rows that share a doc_id, or have none, are packed
 each for itself. Other columns aren't read.
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from ._shared import materialize
 
-GROUP_PIECES = 50_000
-
+#: Pieces of a group, on average, and sequence ids set apart for each group.
+GROUP_PIECES, SPACING = 50_000, 800_000
 
 #: Fixed value: the vocabulary's pattern without what only matters in a run of white space, which needs no look-ahead.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
@@ -139,14 +140,16 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0,
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """The columns of `pieces`, sequence_id and offset."""
-    parts = materialize(pieces(docs, tokenizer, window, end_id, added))
+    parts = materialize(pieces(docs, tokenizer, window, end_id, added).withColumn("no", F.monotonically_increasing_id()))
     groups = max(1, -(-parts.count() // GROUP_PIECES))
-    parts = parts.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
+    parts = parts.withColumn("group", F.pmod(F.xxhash64("no"), F.lit(groups)).cast("long"))
 
     def fit(t: pa.Table) -> pa.Table:
         t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         sequence, offset = best_fit(t["length"].to_numpy(), window)
-        first = t["group"][0].as_py() * GROUP_PIECES * 16 if t.num_rows else 0
-        return t.drop_columns(["group"]).append_column("sequence_id", pa.array(sequence + first)).append_column("offset", pa.array(offset))
+        first = t["group"][0].as_py() * SPACING if t.num_rows else 0
+        if t.num_rows > SPACING:  # groups are dealt by a hash of distinct numbers, so none comes near it
+            raise ValueError("a group has more pieces than there are sequence ids for it")
+        return t.drop_columns(["group", "no"]).append_column("sequence_id", pa.array(sequence + first)).append_column("offset", pa.array(offset))
 
     return parts.groupBy("group").applyInArrow(fit, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
