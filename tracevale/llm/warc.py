@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import hash_sample, materialize, shared_dir
+from ._shared import hash_sample, materialize, shared_dir, small
 
 #: Fixed values of the format: magic number of the dictionary's skippable frame, version line, profile of a revisit.
 MAGIC, VERSION = 0x184D2A5D, b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 64 << 20
+#: Groups of more equal payloads than this, of which there are few, are joined without a shuffle of their pages.
+LARGE_GROUP = 1_000
 NEEDED = {b"warc-type", b"warc-record-id", b"warc-date", b"content-length"}
 
 
@@ -120,7 +122,12 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, date: str = "1970-01-
     dictionary, folder = train_dictionary(pages), shared_dir(pages.sparkSession)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("key", F.sha1(F.col("html").cast("binary")))
     groups = p.where(F.octet_length("html") >= least_bytes).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("last")).where("n > 1")
-    p = p.join(groups.select("key", "last"), "key", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    groups = materialize(groups)
+    large = groups.where(F.col("n") > LARGE_GROUP).select("key", "last")
+    large = small(large, 100_000)
+    rest = p.join(large, "key", "left_anti").join(groups.where(F.col("n") <= LARGE_GROUP).select("key", "last"), "key", "left")
+    p = rest.unionByName(p.join(large, "key"))
+    p = p.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pyarrow.fs.FileSystem.from_uri(folder)
