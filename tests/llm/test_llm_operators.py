@@ -127,9 +127,31 @@ def groups(rows, k, percent):
     return sorted(((i, len(s), least[r]) for (i, _), s, r in zip(rows, sets, root, strict=True)), key=repr)
 
 
-@pytest.mark.parametrize(("k", "percent", "short", "block"), [(3, 90, 48, 256), (5, 80, 48, 256), (2, 50, 1, 2)])
-def test_ngram_join(docs, empty, monkeypatch, k, percent, short, block):
-    monkeypatch.setattr(ngram_join, "SHORT_ROW", short)
+def links_of(rows, k, percent):
+    """For each row the number of other sets that its set links with, and of other rows with the same set."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").translate({i: i + 32 for i in range(65, 91)}).split()
+        sets.append(frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset())
+    alike = lambda a, b: a and b and a != b and 100 * len(a & b) >= percent * len(a | b)
+    return sorted(((i, sum(bool(alike(s, x)) for x in set(sets)), sets.count(s) - 1 if s else 0) for (i, _), s in zip(rows, sets, strict=True)), key=repr)
+
+
+NEAR = [(100 + i, " ".join(f"n{j}" if j != i else "other" for j in range(40))) for i in range(12)]
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_products_give_every_link(spark, docs, monkeypatch, block):
+    """Whether columns are short or cut into blocks of rows, all links come from the products."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    d = spark.createDataFrame(NEAR + ROWS, "doc_id long, text string").repartition(3)
+    got = ngram_join.near_duplicates(d, 2, 60)
+    assert by_id(got, "n_shingles", "component_id") == groups(NEAR + ROWS, 2, 60)
+    assert by_id(got, "n_links", "n_copies") == links_of(NEAR + ROWS, 2, 60)
+
+
+@pytest.mark.parametrize(("k", "percent", "block"), [(3, 90, 256), (5, 80, 256), (2, 50, 2)])
+def test_ngram_join(docs, empty, monkeypatch, k, percent, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     assert by_id(ngram_join.near_duplicates(docs, k, percent), "n_shingles", "component_id") == groups(ROWS, k, percent)
     assert ngram_join.near_duplicates(empty, k, percent).count() == 0
@@ -142,10 +164,10 @@ def test_components(spark):
 
 # 3
 def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(topk, "BLOCK_VALUES", 240)
     monkeypatch.setattr(topk, "PACK_ROWS", 4)
     rng = np.random.default_rng(0)
-    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(100)] + [(100, [0.1] * 8), (101, [0.1] * 8), (102, None), (103, [float("nan")] * 8), (104, [None] * 8), (105, []), (None, [0.1] * 8), (106, [0.0] * 8)]
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(100)] + [(100, [0.1] * 8), (101, [0.1] * 8), (102, None), (103, [float("nan")] * 8), (104, [None] * 8), (105, []), (None, [0.1] * 8), (106, [0.0] * 8), (107, [1e9] + [0.0] * 7)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     v = {i: np.floor(64 * np.float32(e).astype(float)).astype(int) for i, e in rows if i is not None and e and None not in e and not np.isnan(e).any()}
     want = []
@@ -153,6 +175,8 @@ def test_top_k(spark, monkeypatch):
         best = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q))[:20]
         want += [(q, n, c, -s) for n, (s, c) in enumerate(best, 1)]
     assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect()) == want
+    clash = df.select("*", F.lit(1).alias("n"), F.lit("x").alias("block"), F.lit(0).alias("score"))
+    assert sorted(tuple(r) for r in topk.top_k(clash, F.col("vec_id") % 20 == 0).collect()) == want
     assert topk.top_k(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0).count() == 4
     assert topk.top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
@@ -173,10 +197,13 @@ def removals(rows, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("large", [2000, 1])
-def test_substring_dedup(docs, empty, monkeypatch, large):
+@pytest.mark.parametrize(("large", "window"), [(4000, 20), (1, 20), (1, 7), (1, 3)])
+def test_substring_dedup(docs, empty, monkeypatch, large, window):
     monkeypatch.setattr(substring_dedup, "GROUP_ROWS", large)
-    assert by_id(substring_dedup.remove_repeats(docs), "n_words", "n_removed", "kept") == removals(ROWS, 20)
+    monkeypatch.setattr(substring_dedup, "SAMPLE", 16 if large > 1 else 1)
+    got = substring_dedup.remove_repeats(docs, window)
+    assert by_id(got, "n_words", "n_removed", "kept") == removals(ROWS, window)
+    assert all(r.n_removed == sum(x.end - x.start for x in r.repeats) for r in got.collect())
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
@@ -187,6 +214,27 @@ def test_best_fit():
     assert sequence.tolist() == [0, 1, 1, 0, 0, 1] and offset.tolist() == [0, 0, 600, 700, 1000, 1000]
 
 
+def test_best_fit_matches_a_plain_one():
+    lengths = np.sort(np.random.default_rng(5).integers(1, 1025, 600))[::-1]
+    sequence, offset = packing.best_fit(lengths, 1024)
+    room, where = [], []
+    for n in lengths.tolist():
+        able = [(r, i) for i, r in enumerate(room) if r >= n]
+        i = min(able)[1] if able else len(room)
+        if not able:
+            room.append(1024)
+        where.append(1024 - room[i])
+        room[i] -= n
+    assert sorted(np.bincount(sequence, lengths).astype(int).tolist()) == sorted(1024 - r for r in room)
+    assert (offset + lengths <= 1024).all() and sorted(offset.tolist()) == sorted(where)
+
+
+def test_packing_of_much_repeated_rows(spark):
+    d = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    got = packing.pack(d, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    assert len(got) == 3000 == len({(r.sequence_id, r.offset) for r in got})
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
@@ -213,8 +261,7 @@ def test_encoder_on_odd_texts():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
     for t in ["a  b", " a", "a ", "a\n\nb", "x\ty", "it's <|endoftext|> I'LL we'll", "", "\n", "½ ² a_b", "日本 é é"]:
         assert encode(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -264,6 +311,16 @@ def test_quality_edges(spark, docs, empty):
     assert {r.score for r in quality_crf.score(docs, quality_crf.fit(docs, labels.where("false"))).collect()} == {0.5}
 
 
+def test_quality_passes_over_long_documents(spark):
+    good, bad = "A plain line of words that read well.", "$$$ CLICK!!! 123 | 456 | $$$ BUY"
+    rows = [(i, "\n".join([good if i % 2 else bad] * (1001 if i < 40 else 5))) for i in range(240)]
+    d, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, quality int")
+    for lines, kept in ((1000, d), (100, d.where("doc_id < 40"))):
+        got = quality_crf.score(kept.withColumn("score", F.lit("old")), quality_crf.fit(kept, labels, sample_lines=lines))
+        assert got.columns == ["doc_id", "text", "score"]
+        assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in got.collect())
+
+
 # 7
 def lines_kept(rows):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({i: i + 32 for i in range(65, 91)})
@@ -286,6 +343,15 @@ def test_line_dedup(docs, empty):
     assert line_dedup.apply_keep(empty, line_dedup.keep_bitmaps(empty)).count() == 0
 
 
+def test_clashing_names_of_native_operators(spark, docs):
+    items = spark.createDataFrame([(1, BASE[20:180])], "item_id long, text string")
+    names = ["__doc", "__hash", "__lines", "__words", "key", "lines", "bits", "r", "a.b"]
+    d = docs.select("doc_id", "text", *(F.lit(n).alias(n) for n in names), F.lit(1).alias("leak"), F.lit(1).alias("line_dedup"))
+    for got, own, other in ((decontaminate.phrase_matches(d, items), "leak", "line_dedup"), (line_dedup.apply_keep(d, line_dedup.keep_bitmaps(d)), "line_dedup", "leak")):
+        assert sorted(got.columns) == sorted(d.columns) and got.count() == len(ROWS)
+        assert all(r[n] == n for r in got.collect() for n in names) and dict(got.dtypes)[own].startswith("struct") and dict(got.dtypes)[other] == "int"
+
+
 def test_line_dedup_of_many_lines(spark):
     rows = [(i, "\n".join(f"a line that is long enough {n % 150}" for n in range(200))) for i in range(3)]
     d = spark.createDataFrame(rows, "doc_id long, text string")

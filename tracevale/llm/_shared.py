@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -11,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +18,10 @@ ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 WHITE = " \t\n\x0b\x0c\r"
 
 
+#: Spark removes the shuffle files of a query that ran under this setting.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,9 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table in the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, was = shared_dir(spark), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
@@ -173,9 +180,3 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
     for factor, j in zip((mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)).tolist(), range(k), strict=True):
         s += h[j : j + n] * np.uint64(factor)
     return mix(s)
-
-
-def release() -> None:
-    """Let go of the shuffle files of finished jobs: Spark removes those that nothing on the driver refers to any more."""
-    gc.collect()
-    SparkContext._active_spark_context._jvm.System.gc()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize, mix, release, runs, signed, slices, small, text_bytes, word_hashes
+from ._shared import materialize, mix, runs, signed, slices, small, text_bytes, word_hashes
 from .components import components
 
 #: Rows of a block, and bytes of its sets, on average.
@@ -327,12 +327,10 @@ def class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int)
     p = entries(docs, shingle, percent, last).repartition("s").distinct()
     p = p.withColumn("rows", F.count(F.lit(1)).over(column)).where("rows > 1").withColumns({f"same{i}": F.sum(x).over(column) for i, x in enumerate(own)})
     p = materialize(p)
-    release()
     # columns with equal entries are multiplied once, for the first of them, which is worth them all
     heads = p.groupBy("s", "rows", "same0", "same1").agg(F.lit(1).alias("one")).groupBy("rows", "same0", "same1").agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("weight"))
     p = p.drop("rows", "same0", "same1").join(heads.select("s", "rows", "weight"), "s").join(classes.select("c1", "c2", "id", "n", "member"), ["c1", "c2"])
     p = materialize(p.select("s", "weight", "rows", "id", "n", "member", "c1", "c2"))
-    release()
 
     counted = column_products(p.where(F.col("rows") <= BLOCK), percent)
     n_of = p.groupBy("id").agg(F.first("n").alias("n"))
@@ -340,7 +338,6 @@ def class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int)
     rest = lambda n: n - (n - F.ceil(F.lit(percent) * n / 100) + 1)
     room = F.col("count") + F.greatest(rest(F.col("na")), rest(F.col("nb")))
     pairs = materialize(counted.where((100 + percent) * room >= percent * (F.col("na") + F.col("nb"))).select("a", "b"))
-    release()
 
     large = p.where(F.col("rows") > BLOCK).select("s", "id", "n", "member", "c1", "c2")
     hot = large.groupBy("id").agg(F.sort_array(F.collect_set("s")).alias("hot"))
@@ -379,7 +376,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("member"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()))
     links = materialize(class_links(docs, classes, shingle, percent))
-    release()
     reached = components(links.where("b is not null").select("a", "b"))
     named = classes.select("id", "first").join(reached, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("component", "id").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))

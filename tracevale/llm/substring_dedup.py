@@ -3,14 +3,14 @@
 Words are runs without ASCII white space. A window is `window` consecutive words of a document; a word goes if a window
 covers it whose words also start earlier: in a document with a smaller doc_id, or earlier in the same one.
 
-A suffix is spelt in letters of SYMBOL words each (64 bits of hash each). Suffixes are split by prefixes: of one
+A suffix is spelt in letters of SYMBOL words each, 64 bits of hash. Suffixes are split by prefixes: of one
 letter, or of more where a sample of documents shows that over GROUP_ROWS suffixes begin alike, so that a prefix's
 suffixes are one task's small share. The prefix only says where a suffix is worked on, never what comes out. Of each
 prefix's suffixes, put in order, the depth that each shares with the one before gives the tree: a node is a run of
 suffixes that share at least its depth. A node at least `window` words deep is a repeated string; its first leaf stays,
 the others are repeats, and overlapping ones make up the maximal repeats of a document.
 
-Two things keep the trees small. A suffix can only be repeated if the run of SYMBOL words in it with the least hash is (its
+Two things keep the trees small. A suffix can only be repeated if the run of ANCHOR words in it with the least hash is (its
 anchor, one for about eight words), so anchors are counted first, and suffixes of anchors that occur once are left out. And
 what a batch of documents already shows to be a repeat is settled before the shuffle, so that of a frequent passage, or of
 a text that repeats itself, each batch sends each suffix once.
@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize, mix, release, runs, signed, slices, text_bytes, word_hashes
+from ._shared import materialize, mix, runs, signed, slices, text_bytes, word_hashes
 
 #: Words of a letter; suffixes of a prefix, about; one in SAMPLE documents shows prefixes that are too frequent, at most FREQUENT of each length.
-SYMBOL, GROUP_ROWS, SAMPLE, FREQUENT = 5, 4_000, 16, 100_000
+SYMBOL, GROUP_ROWS, SAMPLE, FREQUENT = 10, 4_000, 128, 100_000
+#: Words of an anchor.
+ANCHOR = 5
 #: Suffixes that a batch gathers before it sends them.
 GATHERED = 400_000
 NULL_ID = -(2**63)
@@ -42,7 +44,7 @@ class Shape:
     """How windows are spelt: words of a letter, and where a window's letters begin."""
 
     def __init__(self, window: int):
-        self.window, self.symbol = window, min(SYMBOL, window)
+        self.window, self.symbol, self.anchor = window, min(SYMBOL, window), min(ANCHOR, window)
         self.at = [min(i, window - self.symbol) for i in range(0, window, self.symbol)]
 
 
@@ -58,10 +60,10 @@ def least_places(g: np.ndarray, width: int) -> np.ndarray:
 
 
 def windows(h: np.ndarray, first: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Letters at all places, starts of all windows, their anchors' places, and the text of each word."""
+    """Hashes of anchors at all places, starts of all windows, their anchors' places, and the text of each word."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    g = runs(h, shape.symbol)
-    place = least_places(g, shape.window - shape.symbol + 1)
+    g = runs(h, shape.anchor)
+    place = least_places(g, shape.window - shape.anchor + 1)
     start = np.flatnonzero(doc[: len(place)] == doc[shape.window - 1 :])
     return g, start, place[start], doc
 
@@ -111,11 +113,13 @@ class Frequent:
             for batch in batches:
                 data, at = text_bytes(batch.column(0))
                 for lo, hi in slices(at):
-                    g, start, place, doc = windows(*word_hashes(data, at[lo : hi + 1]), shape)
+                    h, first = word_hashes(data, at[lo : hi + 1])
+                    g, start, place, doc = windows(h, first, shape)
+                    spelt = runs(h, shape.symbol)
                     anchor = place[np.diff(place, prepend=-1) > 0]
                     prefixes = [np.ones(len(start), np.uint64) * np.uint64(0)]
                     for offset in shape.at[:-1]:
-                        letter = g[start + offset]
+                        letter = spelt[start + offset]
                         prefixes.append(mix(prefixes[-1] * np.uint64(0x9E3779B97F4A7C15) + letter) if offset else letter)
                     for length, (d, key) in enumerate([(doc[anchor], g[anchor]), *((doc[start], p) for p in prefixes[1:])]):
                         # each text counts once for a key: what it repeats by itself is settled in its batch
@@ -216,7 +220,8 @@ def suffix_table(rows: DataFrame, wanted: DataFrame, shape: Shape, frequent: Fre
                 able[once] |= repeated_in_text(doc[once], g[once])[0] | is_in(g[once], frequent.anchors)
                 start = start[able[place]]
                 d = doc[start]
-                gathered.add([g[start + i] for i in shape.at], doc_id[lo + d], row[lo + d], (start - first[d]).astype(np.int32))
+                spelt = runs(h, shape.symbol)
+                gathered.add([spelt[start + i] for i in shape.at], doc_id[lo + d], row[lo + d], (start - first[d]).astype(np.int32))
                 if gathered.n > GATHERED:
                     yield gathered.take()
             if gathered.n:
@@ -279,9 +284,7 @@ def repeats(rows: DataFrame, window: int = 20) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("key"))
     wanted = anchor_table(rows, shape, frequent).withColumn("n", n).where("n > 1").groupBy("row").agg(F.collect_list("at").alias("at"))
     wanted = materialize(wanted)
-    release()
     found = materialize(repeats_in_trees(suffix_table(rows, wanted, shape, frequent), shape))
-    release()
     return found.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
