@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that the driver and every executor see."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        root = f"file://{tempfile.gettempdir()}/checkpoints"  # one machine: the driver is the only executor
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
