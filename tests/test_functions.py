@@ -32,15 +32,26 @@ def test_canonical_url(spark, url, want):
     assert value(spark, urls.canonical_url(F.lit(url))) == want
 
 
-@pytest.mark.parametrize(
-    ("path", "want"),
-    [
-        ("/user/login", "/user/login"), ("/a/b/issues/new", "/{owner}/{repo}/issues/new"), ("/a/b/issues/7", "/{owner}/{repo}/issues/{number}"), ("/a/b/issues", "/{owner}/{repo}/issues"),
-        ("/a/b", "/{owner}/{repo}"), ("/", "/"), ("", "/"), ("/admin/7", "/admin/{number}"), ("/a/b/c/12", "/a/b/c/{number}"),
-    ],
-)
-def test_route_pattern(spark, path, want):
-    assert value(spark, urls.route_pattern(F.lit(f"http://h{path}"))) == want
+SHAPES = [("", ""), ("/issues", "/issues"), ("/issues/new", "/issues/new"), ("/issues/40", "/issues/{number}")]
+
+
+@pytest.mark.parametrize("owner", ["someone", "x-y", "Issue", *urls.RESERVED, "Admin", "API"])
+def test_route_of_an_owner_or_a_reserved_word(spark, owner):
+    """Each shape of a path below an owner has its route; a reserved first word, in any case, only has its numbers replaced."""
+    own = owner.lower() not in urls.RESERVED
+    for path, route in SHAPES:
+        got = value(spark, urls.route_pattern(F.lit(f"https://site.example/{owner}/thing{path}")))
+        assert got == (f"/{{owner}}/{{repo}}{route}" if own else f"/{owner}/thing{route}")
+
+
+def test_route_of_other_paths(spark):
+    for path, want in {"": "/", "/": "/", "/user/login/": "/user/login", "/notifications/": "/notifications/", "/x/1/22/y3/": "/x/{number}/{number}/y3/", "/one": "/one"}.items():
+        assert value(spark, urls.route_pattern(F.lit(f"https://site.example{path}"))) == want
+
+
+def test_canonical_url_of_odd_ones(spark):
+    for url, want in {"http://h/?a=100%": "http://h/?a=100%25", "some/path/?b=~*": "some/path?b=~%2A", "http://h/p?t=2020-01-02T03:04Z&u=1": "http://h/p?u=1"}.items():
+        assert value(spark, urls.canonical_url(F.lit(url))) == want
 
 
 def test_percent_rounds_half_to_even(spark):

@@ -1,8 +1,10 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from tracevale.operators import code, docs, evals, graph, impact, linking, policy, report
-from tracevale.sources import diffs, pages, records
+from tracevale.operators import code, docs, evals, gold, graph, impact, linking, lookups, policy, report
+from tracevale.sources import code_files, diffs, pages, records, sinks
 from tracevale.streaming import replay
 
 ELEMENTS = "id string, screen_id string, name string, attributes map<string,string>, locator_evidence map<string,string>"
@@ -117,7 +119,7 @@ def test_symbols_and_changes(spark):
     go = "package x\nfunc A() {\n}\nvar q = 1\nfunc (r *T) B() {\n}\ntype C struct {\n}"
     files = spark.createDataFrame([("x.go", go), ("t.tmpl", 'a\n{{define "b"}}\nc'), ("m.ts", "export const f = (a) => 1\n")], "path string, content string")
     got = {(r.qualified_name, r.kind, r.line_start, r.line_end) for r in code.symbols(files).collect()}
-    assert got == {("A", "function", 2, 3), ("T.B", "method", 5, 6), ("C", "type", 7, 8), ("t.tmpl", "template", 1, 3), ("b", "template_block", 2, 3), ("m.ts", "ts_module", 1, 2), ("f", "function", 1, 2)}
+    assert got == {("A", "function", 2, 3), ("T.B", "method", 5, 6), ("C", "type", 7, 8), ("t", "template", 1, 3), ("b", "template_block", 2, 3), ("m.ts", "ts_module", 1, 1), ("f", "function", 1, 1)}
     d = diffs.file_diffs(spark.createDataFrame([(DIFF,)], "value string"))
     s = code.symbols(files)
     assert [r.qualified_name for r in code.changed_symbols(s, s, d).collect()] == ["A"]
@@ -212,3 +214,105 @@ def test_flat_locales_of_any_depth(spark):
     got = code.flat_locales(spark.createDataFrame([(value,), ('{"b": "x"}',), ("bad",)], "value string"))
     assert sorted(tuple(r) for r in got.collect()) == [(".".join("a" * 11), "deep"), ("b", "x")]
     assert code.flat_locales(spark.createDataFrame([("bad",)], "value string")).count() == 0
+
+
+def test_symbols_of_several_blocks_in_a_line(spark):
+    files = spark.createDataFrame([("templates/a/b.tmpl", '{{define "x"}}{{define "y"}}\nq\n{{- define "z"}}\n'), ("e.ts", "")], "path string, content string")
+    got = {(r.qualified_name, r.line_start, r.line_end) for r in code.symbols(files).collect()}
+    assert got == {("a/b", 1, 3), ("x", 1, 1), ("y", 1, 2), ("z", 3, 3), ("e.ts", 1, 1)}
+
+
+def test_index_of_changed_code(spark):
+    text = "package x\nfunc A() {\n{q}\n}\n"
+    files = spark.createDataFrame([("b", "x.go", text.replace("{q}", "a")), ("h", "x.go", text.replace("{q}", 'm.Get("/p", f)')), ("b", "gone.go", "func G() {}\n")], "sha string, path string, content string")
+    d = diffs.file_diffs(spark.createDataFrame([(DIFF,)], "value string"))
+    s = code_files.index(d, files, spark.createDataFrame([], "key string, text string"), "b", "h")
+    assert {(r.file, r.qualified_name, r.kind) for r in s.collect()} == {("x.go", "A", "function"), ("gone.go", "G", "function")}
+    c = code_files.with_symbols(diffs.change_records(d, {"pr_number": 7}), s)
+    assert {r.file: len(r.changed_symbol_ids) for r in c.collect()} == {"x.go": 1, "gone.go": 1, "new.ts": 0}
+    assert {r.path: r.content is None for r in code_files.contents(d, files, "b", "h").collect()} == {"x.go": False, "gone.go": False, "new.ts": True}
+
+
+def test_gold_set(spark, tmp_path):
+    (tmp_path / "gold.json").write_text(json.dumps({
+        "requirements": {"must_extract": [{"id": "g1", "source_uri": "u", "keywords": ["New", "issue"]}, {"id": "g2", "source_uri": "v", "keywords": []}], "expected_absent_in_crawl": [{"gold_id": "g1"}, {"gold_id": "g2"}]},
+        "links": {"must_link": [{"element_name": "A", "route": "/", "symbol_file": "f"}], "must_not_link": []},
+        "impacts": {"required_affected_routes": ["/", "/q"], "required_affected_flow_goal_keywords": [["sign", "in"], ["buy"]], "required_unmapped_files": ["z"], "min_findings": 1}, "thresholds": {"x": 0.8},
+    }))
+    g = gold.read_gold(spark, str(tmp_path / "gold.json"))
+    req = spark.createDataFrame([("r1", "A NEW thing", ["an issue"], ("u",)), ("r2", None, None, ("w",))], "id string, statement string, acceptance_clues array<string>, source_span struct<uri:string>")
+    wanted = gold.expected(g, "requirements.must_extract")
+    got = gold.requirement_recall(req, wanted)
+    assert dict(got.collect()) == {"g1": True, "g2": False} and gold.share(got, "recalled").first().recall == 0.5
+    assert gold.share(got.where("false"), "recalled").first().recall == 1.0
+    absent = gold.absence_verdicts(spark.createDataFrame([("r1",)], "requirement_id string"), req, wanted, gold.expected(g, "requirements.expected_absent_in_crawl"))
+    assert dict(absent.collect()) == {"g1": True, "g2": False}
+    el, sc = spark.createDataFrame([("e", "a", "s")], "id string, name string, screen_id string"), spark.createDataFrame([("s", "/")], "id string, route_pattern string")
+    links, sy = spark.createDataFrame([("e", "c", "needs_review")], "source_entity_id string, target_entity_id string, review_status string"), spark.createDataFrame([("c", "f")], "id string, file string")
+    triples = gold.link_triples(links, el, sc, sy)
+    assert [r.verdict for r in gold.link_verdicts(triples, gold.expected(g, "links.must_link"), gold.expected(g, "links.must_not_link")).collect()] == ["matched"]
+    f = spark.createDataFrame([("i", "c", ["e", "w"])], "id string, changed_symbol_id string, affected_entity_ids array<string>")
+    flows = spark.createDataFrame([("w", "Sign In now")], "id string, goal string")
+    reached = gold.affected(f, el, sc, flows)
+    lists = [gold.expected(g, f"impacts.{x}") for x in ("required_affected_routes", "required_affected_flow_goal_keywords", "required_unmapped_files")]
+    checks = gold.impact_checks(reached, spark.createDataFrame([("z",)], "file string"), 1, *lists, 1)
+    assert {(r.check, r.item): r.passed for r in checks.collect()} == {("route", "/"): True, ("route", "/q"): False, ("goal", "sign,in"): True, ("goal", "buy"): False, ("unmapped", "z"): True, ("findings", "1"): True}
+    assert not gold.passed(checks).first().passed and gold.passed(checks.where("passed")).first().passed
+    sig = {(r.category, r.item) for r in gold.run_signature(sc, el, flows, triples, f, sy, reached).collect()}
+    assert sig == {("screens", "/"), ("elements", '["a","/"]'), ("flows", "Sign In now"), ("links", '["a","/","f"]'), ("impacts", '{"file":"f","routes":["/"]}')}
+
+
+def test_labels_in_a_report(spark):
+    el = spark.createDataFrame([("e1", "x"), ("e2", "x"), ("e3", "")], "id string, name string")
+    labels = lookups.entity_labels({"element": el, "flow": spark.createDataFrame([("w", "go", ["a", "b"])], "id string, goal string, interaction_ids array<string>")})
+    assert {r.id: (r.label, r.step_count) for r in lookups.looked_up(el, labels).collect()} == {"e1": ("x", None), "e2": ("x", None), "e3": ("Unnamed element", None)}
+    f = spark.createDataFrame([("i", [["h", "e3"]], ["e1", "e2", "e3", "w"])], "id string, path_entity_ids array<array<string>>, affected_entity_ids array<string>")
+    assert [tuple(r) for r in lookups.shown(f, labels, "element", 1).collect()] == [("i", ["Unnamed element"], 1)]
+    assert [tuple(r) for r in lookups.shown(f, labels, "element", 6).collect()] == [("i", ["Unnamed element", "x (2 places)"], 0)]
+    assert lookups.affected_totals(f, labels).first().asDict() == {"elements": 3, "screens": 0, "flows": 1, "requirements": 0}
+    local = labels.where("id = 'w'").withColumn("label", F.lit("own"))
+    assert {r.label for r in lookups.overlaid(labels, local).collect()} == {"x", "Unnamed element", "own"}
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("a", {"z": "1", "b": "2"}, (2, 1), ["x"])], "id string, m map<string,string>, s struct<q:int,c:int>, l array<string>")
+    assert tuple(sinks.properties(rows).first()) == ("a", '{"b":"2","z":"1"}', '{"c":1,"q":2}', ["x"])
+    path = f"{tmp_path}/snap"
+    assert sinks.save_snapshot(rows.select("id"), path) and not sinks.save_snapshot(rows.select("id"), path)
+    with pytest.raises(ValueError):
+        sinks.save_snapshot(rows.select(F.lit("b").alias("id")), path)
+    sinks.append_decisions(rows.select("id"), f"{tmp_path}/d")
+    sinks.append_decisions(rows.select("id"), f"{tmp_path}/d")
+    assert spark.read.json(f"{tmp_path}/d").count() == 2
+    assert sinks.read_flow_results(spark, f"{tmp_path}/none").count() == 0
+    sinks.save_flow_results(spark.createDataFrame([("w", "k", True, 3)], sinks.FLOW_RESULT), f"{tmp_path}/flows")
+    assert tuple(sinks.read_flow_results(spark, f"{tmp_path}/flows").select("flow_id", "actions_used").first()) == ("w", 3)
+    named = spark.createDataFrame([("a.html",), ("b.html",)], "name string")
+    assert sinks.original_uris(named.where("name = 'a.html'"), {"a.html": "u"}).first().uri == "u"
+    with pytest.raises(Exception, match="unknown document"):
+        sinks.original_uris(named, {"a.html": "u"}).collect()
+    assert sinks.goals(" f1, F2", {"F1": "a", "F2": "b"}) == ["a", "b"]
+    with pytest.raises(ValueError):
+        sinks.goals("x", {})
+    n, e = sinks.graph_load({"A": rows, "B": rows.select("id")}, {"T": (spark.createDataFrame([("a", "a", 1), ("a", "q", 1)], "src string, dst string, w int"), "A", "B")})
+    assert n["A"].count() == 1 and [tuple(r) for r in e["T"].collect()] == [("a", "a", 1)]
+    assert tuple(sinks.documents_summary(rows, rows, rows.where("false")).first()) == (1, 1, 0)
+
+
+def test_replay_parts(spark):
+    steps = spark.createDataFrame([("s", 0, "e", "Link", "Go #2", None, None), ("s", 1, "f", "button", "x", "/h", "blocked")], "state string, ord int, element_id string, role string, name string, href string, reason_blocked string")
+    lines = steps.select(replay.trajectory_line(F.lit("/r"), F.lit("click"), F.col("element_id"), F.col("role"), F.col("name"), F.col("href")).alias("line"))
+    assert lines.first().line == "/r: click e | role=Link | name=Go | href="
+    assert {tuple(r) for r in replay.executed_pairs(lines).collect()} == {("link", "go"), ("button", "x")}
+    assert [tuple(r) for r in replay.blocked_counts(steps).collect()] == [("s", 1)]
+    assert replay.chosen_elements(spark.createDataFrame([("s", "e")], "state string, element_id string"), steps).first().c.name == "Go #2"
+    r = replay.navigation_elements(spark.createDataFrame([("s", "/to")], "screen_id string, navigate_to string")).first()
+    assert (r.role, r.name, r.attributes) == ("navigation", "/to", {"href": "/to"}) and r.id.startswith("element:")
+    keys = spark.createDataFrame([({"name": "title"},), ({"placeholder": "A Title"},), ({"name": "q"},)], "a map<string,string>").select(pages.fill_key(F.col("a")))
+    assert [x[0] for x in keys.collect()] == ["issue_title", "issue_title", None]
+
+
+def test_edges_keep_one_row_by_rule(spark):
+    rows = spark.createDataFrame([("a", "b", 0.1), ("a", "b", 0.9)], "src string, dst string, confidence double").repartition(2)
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert [tuple(r) for r in graph.edges(rows, nodes, nodes).collect()] == [("a", "b", 0.9)]

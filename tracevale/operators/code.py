@@ -8,16 +8,23 @@ from pyspark.sql import functions as F
 #: Declarations by file suffix: pattern of a line, group of the name, kind (null: only ends the symbol before).
 DECLARATIONS = {
     ".go": ((r"^func\s+\([^)]*?\*?(\w+)(?:\[[^\]]*\])?\)\s*(\w+)", 2, "method"), (r"^func\s+(\w+)", 1, "function"), (r"^type\s+(\w+)", 1, "type"), (r"^(?:var|const)\b", 0, None)),
-    ".tmpl": ((r"""\{\{-?\s*define\s+"([^"]+)""", 1, "template_block"),),
     ".ts": ((r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)", 1, "function"), (r"^(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>", 1, "function")),
 }
+#: Fixed value: a block of a template, of which a line can hold several.
+DEFINE = r"""\{\{-?\s*define\s+"([^"]+)"""
 WHOLE_FILE = {".tmpl": "template", ".ts": "ts_module"}
 ANCHORS_KEPT = 40
 
 
+def line_count(content: Column) -> Column:
+    """Lines of a text, at least 1; a line end at the text's end begins no line."""
+    n = F.size(F.split(content, "\n"))
+    return F.greatest(F.lit(1), F.when(content.endswith("\n"), n - 1).otherwise(n))
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """(path, qualified_name, kind, line_start, line_end) of files (path, content): each declaration up to the next one."""
-    lines = files.select("path", F.size(F.split("content", "\n")).alias("n_lines"), F.posexplode(F.split("content", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    lines = files.select("path", line_count(F.col("content")).alias("n_lines"), F.posexplode(F.split("content", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
     name, kind, known = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False)
     for suffix, rules in DECLARATIONS.items():
         for pattern, group, k in reversed(rules):
@@ -25,13 +32,17 @@ def symbols(files: DataFrame) -> DataFrame:
             known = known | hit
             full = F.concat_ws(".", F.regexp_extract("text", pattern, 1), F.regexp_extract("text", pattern, 2)) if group == 2 else F.regexp_extract("text", pattern, group)
             name, kind = F.when(hit, full).otherwise(name), F.when(hit, F.lit(k)).otherwise(kind)
-    d = lines.withColumns({"qualified_name": name, "kind": kind}).where(known)
-    end = F.coalesce(F.lead("line").over(Window.partitionBy("path").orderBy("line")) - 1, F.col("n_lines"))
+    d = lines.withColumns({"qualified_name": name, "kind": kind}).where(known).select("path", "n_lines", "line", F.lit(0).alias("nth"), "qualified_name", "kind")
+    blocks = lines.where(F.col("path").endswith(".tmpl")).select("path", "n_lines", "line", F.posexplode(F.regexp_extract_all("text", F.lit(DEFINE), F.lit(1))).alias("nth", "qualified_name"))
+    d = d.unionByName(blocks.withColumn("kind", F.lit("template_block")))
+    following = F.lead("line").over(Window.partitionBy("path").orderBy("line", "nth"))
+    end = F.when(following.isNull(), F.col("n_lines")).otherwise(F.greatest(following - 1, F.col("line")))
     d = d.select("path", "qualified_name", "kind", F.col("line").alias("line_start"), end.alias("line_end")).where("kind is not null")
     whole = F.lit(None).cast("string")
     for suffix, k in WHOLE_FILE.items():
         whole = F.when(F.col("path").endswith(suffix), k).otherwise(whole)
-    f = files.select("path", F.col("path").alias("qualified_name"), whole.alias("kind"), F.lit(1).alias("line_start"), F.size(F.split("content", "\n")).alias("line_end")).where("kind is not null")
+    short = F.when(F.col("path").endswith(".tmpl"), F.regexp_replace(F.regexp_replace("path", "^templates/", ""), r"\.tmpl$", "")).otherwise(F.col("path"))
+    f = files.select("path", short.alias("qualified_name"), whole.alias("kind"), F.lit(1).alias("line_start"), line_count(F.col("content")).alias("line_end")).where("kind is not null")
     return d.unionByName(f)
 
 
@@ -82,8 +93,7 @@ def flat_locales(files: DataFrame) -> DataFrame:
     v = files.select(F.try_parse_json("value").alias("v")).where("v is not null")
     leaves, level = None, v.select(F.lit("").alias("key"), "v")
     while True:  # a level at a time, as deep as the texts go
-        level.createOrReplaceTempView("_locale_level")
-        level = level.sparkSession.sql("SELECT concat(if(l.key = '', '', concat(l.key, '.')), e.key) AS key, e.value AS v FROM _locale_level l, LATERAL variant_explode(l.v) e WHERE e.key IS NOT NULL")
+        level = level.sparkSession.sql("SELECT concat(if(l.key = '', '', concat(l.key, '.')), e.key) AS key, e.value AS v FROM {level} l, LATERAL variant_explode(l.v) e WHERE e.key IS NOT NULL", level=level)
         found = level.where("schema_of_variant(v) = 'STRING'").select("key", F.expr("variant_get(v, '$', 'string')").alias("text"))
         leaves = found if leaves is None else leaves.unionByName(found)
         level = level.where("schema_of_variant(v) like 'OBJECT%'")

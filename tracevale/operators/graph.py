@@ -30,9 +30,13 @@ def overlay(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def edges(rows: DataFrame, src_nodes: DataFrame, dst_nodes: DataFrame, *key: str) -> DataFrame:
-    """Edges (src, dst, ...) both of whose ends are nodes (by `id`), one for each src, dst and key."""
+    """Edges (src, dst, ...) both of whose ends are nodes (by `id`), one for each src, dst and key: that with the greatest properties."""
     e = rows.join(src_nodes.select(F.col("id").alias("src")), "src", "left_semi").join(dst_nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    return e.dropDuplicates(["src", "dst", *key])
+    keys = ["src", "dst", *key]
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return e.select(*keys).distinct()
+    return e.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("best")).select(*keys, "best.*").select(*rows.columns)
 
 
 def duplicate_keys(nodes: DataFrame, *key: str) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import docs, evals, graph, impact, linking, policy, report
+from ..operators import code, docs, evals, gold, graph, impact, linking, lookups, policy, report
+from ..sources import code_files
 from ..sources import pages as pg
 from ..streaming import replay
+from .records import records
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -234,4 +236,121 @@ def q36_recipe_policy(spark, sf_dir):
     return policy.decide(states, links, recipes).select("state", "element_id", "rationale", "source")
 
 
+def q37_ui_code_signals(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return linking.ui_code_signals(r["elements"], r["screens"], r["symbols"])
+
+
+def q38_findings(spark, sf_dir):
+    """Impact rows of all changes, folded into findings."""
+    f = _findings(spark, sf_dir)
+    return f.select("changed_symbol_id", F.array_join("affected_entity_ids", ",").alias("affected"), "severity", "confidence", "files")
+
+
+def _findings(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return impact.findings(impact.impact_rows(*(r[n] for n in ("changes", "symbols", "links", "elements", "screens", "interactions", "flows", "requirements"))))
+
+
+def q39_impact_rows(spark, sf_dir):
+    r = records(spark, sf_dir)
+    rows = impact.impact_rows(*(r[n] for n in ("changes", "symbols", "links", "elements", "screens", "interactions", "flows", "requirements")), pr_number=1)
+    return rows.select("change_id", "symbol_id", "element_id", "screen_id", "flow_id", "requirement_id", "mapping_confidence", "path_confidence")
+
+
+def q40_unmapped(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return impact.unmapped(r["changes"], r["symbols"], r["links"])
+
+
+def q41_missing_requirements(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return impact.absences(r["requirements"], r["links"], "run-1").select("id", "requirement_id", F.array_join("expected_evidence", ",").alias("evidence"), "confidence")
+
+
+def q42_link_verdicts(spark, sf_dir):
+    """Nations' first customers and a file as gold links, wanted or forbidden by the nation's number."""
+    r = records(spark, sf_dir)
+    gold_links = t(spark, sf_dir, "customer").selectExpr("upper(c_name) as element_name", "concat('n', c_nationkey) as screen_id", "concat('f', c_custkey % 20, '.go') as symbol_file", "c_custkey % 2 = 0 as wanted")
+    gold_links = gold_links.join(r["screens"].selectExpr("id as screen_id", "route_pattern as route"), "screen_id").select("element_name", "route", "symbol_file", "wanted")
+    return gold.link_verdicts(gold.link_triples(r["links"], r["elements"], r["screens"], r["symbols"]), gold_links.where("wanted"), gold_links.where("not wanted"))
+
+
+def q43_requirement_recall(spark, sf_dir):
+    """Parts as requirements of their brand's document; the words of each type as a wanted one's keywords."""
+    p = t(spark, sf_dir, "part")
+    req = p.selectExpr("concat('r', p_partkey) as id", "p_name as statement", "array(p_type) as acceptance_clues", "struct(p_brand as uri) as source_span")
+    wanted = p.selectExpr("concat('g', p_partkey % 97, p_brand) as id", "p_brand as source_uri", "split(p_type, ' ') as keywords").dropDuplicates(["id", "keywords"])
+    return gold.requirement_recall(req, wanted.groupBy("id", "source_uri").agg(F.max("keywords").alias("keywords")))
+
+
+def q44_affected(spark, sf_dir):
+    r = records(spark, sf_dir)
+    f = _findings(spark, sf_dir)
+    return gold.affected(f.select(F.col("changed_symbol_id").alias("id"), "affected_entity_ids"), r["elements"], r["screens"], r["flows"])
+
+
+def q45_affected_totals(spark, sf_dir):
+    r = records(spark, sf_dir)
+    labels = lookups.entity_labels({"element": r["elements"], "screen": r["screens"], "flow": r["flows"], "requirement": r["requirements"]})
+    return lookups.affected_totals(_findings(spark, sf_dir), labels)
+
+
+def q46_shown_routes(spark, sf_dir):
+    """The first routes of each finding, in the order of the ids that it affects."""
+    r = records(spark, sf_dir)
+    f = _findings(spark, sf_dir).select(F.col("changed_symbol_id").alias("id"), F.lit(None).cast("array<array<string>>").alias("path_entity_ids"), "affected_entity_ids")
+    s = lookups.shown(f, lookups.entity_labels({"screen": r["screens"]}), "screen", 5, places=False)
+    return s.select("id", F.array_join("labels", ";").alias("labels"), F.col("more").cast("long").alias("more"))
+
+
+def q47_unmapped_files(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return gold.unmapped_files(r["symbols"].where("file like '%.ts'"), r["changes"].where("id like '%7'"), r["changes"])
+
+
+def q48_changes_with_symbols(spark, sf_dir):
+    """The symbols of each change's file, in the order of their lines."""
+    r = records(spark, sf_dir)
+    s = t(spark, sf_dir, "part").selectExpr("concat('c', p_partkey) as id", "concat('f', p_partkey % 30) as file", "p_size as line_start")
+    return code_files.with_symbols(r["changes"], s).select("id", F.array_join("changed_symbol_ids", ",").alias("symbols"))
+
+
+def q49_trajectory(spark, sf_dir):
+    """Links of pages as steps of a trajectory, read back as pairs of role and name."""
+    e = _elements(spark, sf_dir).where("role = 'link'")
+    line = replay.trajectory_line(F.concat(F.lit("/"), F.col("screen")), F.lit("click"), F.col("id"), F.col("role"), F.col("name"), F.col("href"))
+    return replay.executed_pairs(e.select(line.alias("line")))
+
+
+def q50_symbol_spans(spark, sf_dir):
+    """Conversations as Go files: each turn declares a function of its own number of lines."""
+    c = t(spark, sf_dir, "conversations")
+    body = F.concat(F.lit("func t"), F.col("turn").cast("string"), F.lit("() {"), F.expr("repeat('\n', cast(turn % 3 as int) + 1)"))
+    files = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", body.alias("b")))), lambda x: x["b"]), "").alias("content"))
+    return code.symbols(files.select(F.concat(F.col("conv_id").cast("string"), F.lit(".go")).alias("path"), "content"))
+
+
+def q51_touched_spans(spark, sf_dir):
+    """Parts' sizes as spans of their orders, quantities as hunks."""
+    li, p = t(spark, sf_dir, "lineitem"), t(spark, sf_dir, "part")
+    spans = li.join(p, F.col("l_partkey") == F.col("p_partkey")).selectExpr("l_orderkey as path", "l_linenumber as n", "p_size as line_start", "p_size + 2 as line_end")
+    return code.touched(spans, li.selectExpr("l_orderkey as path", "cast(l_quantity as int) as start", "l_linenumber - 1 as count"))
+
+
+def q52_requirement_signals(spark, sf_dir):
+    """Brands as requirements: their first part's name, the start of their last one's, and a type as object."""
+    p = t(spark, sf_dir, "part")
+    req = p.groupBy("p_brand").agg(F.min("p_name").alias("a"), F.max("p_name").alias("z"), F.min("p_name").alias("object"))
+    req = req.select(F.col("p_brand").alias("id"), F.array("a", F.left("z", F.lit(4))).alias("acceptance_clues"), "object")
+    return linking.requirement_signals(req, p.select(F.concat(F.lit("e:"), "p_name").alias("id"), F.col("p_name").alias("name")).distinct())
+
+
+def q53_flow_steps(spark, sf_dir):
+    """Users' events in order as flows, and their steps."""
+    e = t(spark, sf_dir, "events")
+    flows = e.groupBy(F.col("user_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"]).alias("interaction_ids"))
+    return graph.flow_steps(flows).select("src", F.col("order").cast("long").alias("order"), "dst")
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit()}

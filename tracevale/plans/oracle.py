@@ -1,5 +1,7 @@
 """DuckDB SQL for the catalogue."""
 
+from .records import SQL as _RECORDS
+
 _PATH = r"CASE WHEN p = '/' THEN p ELSE regexp_replace(p, '/+$', '') END"
 _URL = r"SELECT page_id, regexp_extract(url, '^([A-Za-z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?', ['s', 'h', 'p', 'q']) AS u FROM pages"
 _ELEMENTS = r"""e0 AS (SELECT CAST(page_id AS VARCHAR) AS screen, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS names FROM pages),
@@ -19,11 +21,11 @@ _TRANS = "tr AS (SELECT * FROM (SELECT user_id AS flow, event_type AS source, le
 ORACLE_SQL = {
     "q01_canonical_urls": rf"""WITH x AS ({_URL}), y AS (SELECT page_id, lower(u.s) AS s, lower(u.h) AS h, u.p AS p, list_sort(list_filter(string_split(substr(u.q, 2), '&'), lambda i: i <> '' AND NOT regexp_full_match(regexp_replace(i, '^[^=]*=?', ''), '[0-9]{{10,}}|(?i:[0-9a-f]{{16,}})|[A-Za-z0-9_-]{{24,}}'))) AS q FROM x)
 SELECT page_id, s || '://' || h || {_PATH} || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END AS canonical_url FROM y""",
-    "q02_route_patterns": rf"""WITH x AS ({_URL}), y AS (SELECT page_id, u.p AS p FROM x), z AS (SELECT page_id, coalesce(nullif({_PATH}, ''), '/') AS p FROM y),
-r AS (SELECT page_id, p, NOT regexp_matches(p, '^/(user|admin|api|explore|notifications|milestones|issues|org|repo|login|assets|attachments|-)/') AS own FROM z)
+    "q02_route_patterns": rf"""WITH x AS ({_URL}), y AS (SELECT page_id, u.p AS p FROM x), z AS (SELECT page_id, coalesce(nullif({_PATH}, ''), '/') AS p, coalesce(nullif(p, ''), '/') AS raw FROM y),
+r AS (SELECT page_id, p, raw, NOT regexp_matches(p, '(?i)^/(user|admin|api|explore|notifications|milestones|issues|org|repo|login|assets|attachments|-)/') AS own FROM z)
 SELECT page_id, CASE WHEN p = '/user/login' THEN p WHEN own AND regexp_matches(p, '^/[^/]+/[^/]+/issues/new$') THEN '/{{owner}}/{{repo}}/issues/new' WHEN own AND regexp_matches(p, '^/[^/]+/[^/]+/issues/[0-9]+$') THEN '/{{owner}}/{{repo}}/issues/{{number}}'
  WHEN own AND regexp_matches(p, '^/[^/]+/[^/]+/issues$') THEN '/{{owner}}/{{repo}}/issues' WHEN own AND regexp_matches(p, '^/[^/]+/[^/]+$') THEN '/{{owner}}/{{repo}}' WHEN p = '/' THEN '/'
- ELSE array_to_string(list_transform(string_split(p, '/'), lambda s: CASE WHEN regexp_full_match(s, '[0-9]+') THEN '{{number}}' ELSE s END), '/') END AS route FROM r""",
+ ELSE array_to_string(list_transform(string_split(raw, '/'), lambda s: CASE WHEN regexp_full_match(s, '[0-9]+') THEN '{{number}}' ELSE s END), '/') END AS route FROM r""",
     "q03_page_elements": f"WITH {_ELEMENTS} SELECT screen, ord, role, name, href, 'element:' || {_ID.format('lower(trim(screen)), role, lower(trim(name))')} AS id FROM e",
     "q04_article_text": r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1) AS a FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(a, '(?is)<h([1-4])\b[^>]*>', chr(10) || 'H\1: ', 'g'), '(?is)</(?:h[1-4]|p|li|pre|div)\s*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g') AS a FROM a),
@@ -80,4 +82,35 @@ m AS (SELECT *, CASE WHEN found AND (contains(lower(name), 'the') OR contains(lo
 b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY screen ORDER BY CASE word WHEN 'the' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, coalesce(lower(trim(name)) <> word, false), ord) = 1)
 SELECT CAST(page_id AS VARCHAR) AS state, b.id AS element_id, CASE WHEN b.id IS NULL THEN 'no viable unvisited candidate' WHEN word IS NULL THEN 'first unvisited non-blocked link rule' ELSE 'recipe keyword ''' || word || ''' matched candidate ''' || b.name || '''' END AS rationale,
  CASE WHEN b.id IS NULL THEN 'stop' ELSE 'deterministic' END AS source FROM pages LEFT JOIN b ON b.screen = CAST(page_id AS VARCHAR)""",
+    "q37_ui_code_signals": f"""WITH {_RECORDS}, t AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'rendered_by' ELSE 'handled_by' END AS type FROM symbols)
+SELECT e.id AS source, t.id AS target, type AS link_type, 'text-exact' AS kind, 'text: customer#' || lpad(CAST(k AS VARCHAR), 9, '0') AS evidence, 0.65::DOUBLE AS weight FROM t JOIN elements e ON lower(trim(e.name)) = 'customer#' || lpad(CAST(k AS VARCHAR), 9, '0')
+UNION ALL SELECT e.id, t.id, type, 'href-exact', 'href:/c/' || k, 0.70::DOUBLE FROM t JOIN elements e ON e.href = '/c/' || k UNION ALL SELECT e.id, t.id, type, 'css-id', 'css:#k' || (k * 2), 0.55::DOUBLE FROM t JOIN elements e ON e.css = '#k' || (k * 2)
+UNION ALL SELECT s.id, t.id, type, 'route-exact', 'route:/' || p_brand, 0.75::DOUBLE FROM t JOIN screens s ON s.route = '/' || p_brand AND type = 'handled_by'""",
+    "q38_findings": f"WITH {_RECORDS} SELECT symbol AS changed_symbol_id, array_to_string(affected, ',') AS affected, CASE WHEN f AND confidence >= 0.8 THEN 'high' WHEN e THEN 'medium' ELSE 'low' END AS severity, confidence, files FROM found",
+    "q39_impact_rows": f"WITH {_RECORDS} SELECT change AS change_id, symbol AS symbol_id, element AS element_id, screen AS screen_id, flow AS flow_id, requirement AS requirement_id, conf AS mapping_confidence, pconf AS path_confidence FROM rows_",
+    "q40_unmapped": f"WITH {_RECORDS} SELECT file, 'modified' AS change_type, CASE WHEN bare THEN 'no symbols extracted' ELSE 'no UI link found' END AS reason FROM changes WHERE id NOT IN (SELECT change FROM seeds JOIN links ON dst = symbol AND type <> 'implements')",
+    "q41_missing_requirements": f"WITH {_RECORDS} SELECT 'absence:' || {_ID.format("id, 'run-1'")} AS id, id AS requirement_id, CASE WHEN clued THEN lower(statement) ELSE statement END AS evidence, 0.7::DOUBLE AS confidence FROM requirements WHERE id NOT IN (SELECT src FROM links WHERE viable)",
+    "q42_link_verdicts": f"""WITH {_RECORDS}, tr AS (SELECT DISTINCT lower(e.name) AS name, s.route, y.file FROM links l JOIN elements e ON e.id = l.src AND l.viable JOIN symbols y ON y.id = l.dst JOIN screens s ON s.id = e.screen_id),
+g AS (SELECT lower(c_name) AS name, s.route, 'f' || (c_custkey % 20) || '.go' AS file, c_custkey % 2 = 0 AS wanted FROM customer JOIN screens s ON s.id = 'n' || c_nationkey)
+SELECT g.name, g.route, g.file, CASE WHEN wanted THEN CASE WHEN tr.name IS NULL THEN 'missed' ELSE 'matched' END WHEN tr.name IS NULL THEN 'avoided' ELSE 'violation' END AS verdict FROM g LEFT JOIN tr USING (name, route, file)""",
+    "q43_requirement_recall": """WITH w AS (SELECT 'g' || (p_partkey % 97) || p_brand AS id, p_brand AS uri, max(string_split(p_type, ' ')) AS kw FROM part GROUP BY ALL)
+SELECT id AS gold_id, EXISTS (SELECT 1 FROM part WHERE p_brand = w.uri AND len(list_filter(w.kw, lambda x: NOT contains(lower(p_name || ' ' || p_type), lower(trim(x))))) = 0) AS recalled FROM w""",
+    "q44_affected": f"""WITH {_RECORDS}, i AS (SELECT symbol AS finding, unnest(affected) AS id FROM found)
+SELECT finding, 'route' AS kind, route AS value FROM i JOIN screens USING (id) UNION SELECT finding, 'route', route FROM i JOIN elements e USING (id) JOIN screens s ON s.id = e.screen_id UNION SELECT finding, 'goal', lower(goal) FROM i JOIN flows USING (id)""",
+    "q45_affected_totals": f"WITH {_RECORDS}, i AS (SELECT DISTINCT unnest(affected) AS id FROM found) SELECT count(*) FILTER (WHERE id[1] = 'e') AS elements, count(*) FILTER (WHERE id[1] = 'n') AS screens, count(*) FILTER (WHERE id[1] = 'w') AS flows, count(*) FILTER (WHERE id[1] = 'r') AS requirements FROM i",
+    "q46_shown_routes": f"""WITH {_RECORDS}, i AS (SELECT symbol, unnest(affected) AS id, unnest(range(len(affected))) AS pos FROM found), x AS (SELECT symbol AS id, list(route ORDER BY pos) AS r FROM i JOIN screens USING (id) GROUP BY 1)
+SELECT id, array_to_string(r[1:5], ';') AS labels, greatest(0, len(r) - 5) AS more FROM x""",
+    "q47_unmapped_files": f"WITH {_RECORDS} SELECT file FROM symbols WHERE file LIKE '%.ts' UNION SELECT file FROM changes WHERE id LIKE '%7' OR bare",
+    "q48_changes_with_symbols": f"WITH {_RECORDS} SELECT c.id, coalesce(string_agg('c' || p_partkey, ',' ORDER BY p_size, 'c' || p_partkey), '') AS symbols FROM changes c LEFT JOIN part ON 'f' || (p_partkey % 30) = c.file GROUP BY 1",
+    "q49_trajectory": rf"WITH {_ELEMENTS} SELECT DISTINCT role, lower(regexp_replace(name, ' #\d+$', '')) AS name FROM e",
+    "q50_symbol_spans": """WITH l AS (SELECT conv_id, turn, turn % 3 + 1 AS n FROM conversations), s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM l)
+SELECT conv_id || '.go' AS path, 't' || turn AS qualified_name, 'function' AS kind, CAST(e - n + 1 AS INTEGER) AS line_start, CAST(e AS INTEGER) AS line_end FROM s""",
+    "q51_touched_spans": """SELECT l_orderkey AS path, l_linenumber AS n, p_size AS line_start, p_size + 2 AS line_end FROM lineitem l JOIN part ON p_partkey = l_partkey WHERE EXISTS (SELECT 1 FROM lineitem h WHERE h.l_orderkey = l.l_orderkey
+ AND p_size <= CAST(trunc(h.l_quantity) AS INTEGER) + greatest(h.l_linenumber - 1, 1) - 1 AND CAST(trunc(h.l_quantity) AS INTEGER) <= p_size + 2)""",
+    "q52_requirement_signals": r"""WITH r AS (SELECT p_brand AS id, min(p_name) AS a, left(max(p_name), 4) AS z FROM part GROUP BY 1), n AS (SELECT DISTINCT p_name AS name FROM part), c AS (SELECT id, unnest([a, z]) AS clue FROM r),
+o AS (SELECT id, a, list_distinct(list_filter(string_split_regex(lower(trim(a)), '\s+'), lambda w: length(w) > 3)) AS w FROM r)
+SELECT id AS source, 'e:' || name AS target, 'implements' AS link_type, 'clue-element-exact' AS kind, clue AS evidence, 0.60::DOUBLE AS weight FROM c JOIN n ON lower(trim(clue)) = lower(trim(name))
+UNION ALL SELECT id, 'e:' || name, 'implements', 'clue-element-sub', clue, 0.35::DOUBLE FROM c JOIN n ON lower(trim(clue)) <> lower(trim(name)) AND contains(lower(trim(name)), lower(trim(clue)))
+UNION ALL SELECT id, 'e:' || name, 'implements', 'object-words', a, 0.30::DOUBLE FROM o JOIN n ON len(w) > 0 AND len(list_filter(w, lambda x: NOT contains(lower(trim(name)), x))) = 0""",
+    "q53_flow_steps": "SELECT user_id AS src, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS \"order\", event_id AS dst FROM events",
 }

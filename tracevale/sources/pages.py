@@ -55,5 +55,15 @@ def blocked_reason(role_: Column, name: Column, host: Column, base_host: Column,
     )
 
 
+#: What goes into a field, by its name.
+FILL_KEYS = {"user_name": "username", "password": "password", "title": "issue_title", "content": "issue_body"}
+
+
+def fill_key(attributes: Column) -> Column:
+    """What a field is filled with, by its name or by a placeholder that speaks of a title; null for other fields."""
+    by_name = F.create_map(*(F.lit(x) for pair in FILL_KEYS.items() for x in pair))[F.coalesce(attributes["name"], F.lit(""))]
+    return F.coalesce(by_name, F.when(F.lower(attributes["placeholder"]).contains("title"), "issue_title"))
+
+
 def action_kind(role_: Column, type_: Column) -> Column:
     return F.when(role_.isin("textbox", "combobox"), "fill").when((role_ == "button") & (F.coalesce(type_, F.lit("")) == "submit"), "submit").otherwise("click")
