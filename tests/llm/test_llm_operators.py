@@ -409,6 +409,13 @@ def test_html_of_wrappers_with_marked_words_in_longer_names(name):
         assert html_extract.extract(f"<body><div class='x sidebar'>menu</div><div class='{name}'><p>{words}</p><div role=navigation>menu</div></div></body>", weights) == words
 
 
+def test_html_without_labelled_pages(spark):
+    text = "a plain text that goes on for some words"
+    page = f"<body><div><a href=/>Home</a><a href=/a>About us</a></div><p>{text}</p><ul><li><a href=/b>One</a><li><a href=/c>Two more</a></ul></body>"
+    pages = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert html_extract.main_texts(pages).first().text == text
+
+
 def test_html_learns_scores_of_marked_names():
     page = "<body><div class='post-header'>three words here</div><article><p>text</p><section id=ad-free>a</section></article></body>"
     weights = html_extract.learn([page])

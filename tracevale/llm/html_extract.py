@@ -7,7 +7,8 @@ wherever they stand. An element is also one of these if its class, id or role na
 has such a word in it (has-sidebar, post-header) makes a tag of its own kind, with a score. The region's words, block by
 block, are the text.
 
-Labelled pages are pages that mark their main text with one <article> element; at most `sample` of them are used.
+Labelled pages are pages that mark their main text with one <article> element; at most `sample` of them are used. Where
+there are none, lists of links still count against a region, by default scores.
 
 Defined cases: a null or empty html, or one without words, gives an empty text; tags may be unclosed or cut off; a `<`
 that starts no tag is text; ties go to the longer region. Repeated rows give equal texts. Other columns aren't read.
@@ -34,6 +35,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MARKED = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 #: Fixed value: the score of a start tag with such a word in a longer name, if labelled pages have none of its name.
 MARKED_SCORE = -10.0
+#: Scores of tags where no page is labelled; lists of links cost more than their words bring.
+DEFAULT = {"a": -3.0, "/a": -3.0, "li": -2.0, "ul": -2.0, "option": -3.0, "td": -1.0}
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^<>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][\w:-]*)([^<>]*)(?:>|\Z)""", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PARTS = re.compile(r"[^a-z0-9]+")
@@ -71,7 +74,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
 
 def learn(pages: list[str]) -> dict[str, float]:
     """Scores of tags from labelled pages."""
-    seen, outside, most = defaultdict(int), defaultdict(int), defaultdict(int)
+    seen, outside, after = defaultdict(int), defaultdict(int), defaultdict(list)
     for page in pages:
         last, inside = "", False
         for kind, value, _ in tokens(page):
@@ -81,8 +84,10 @@ def learn(pages: list[str]) -> dict[str, float]:
                 seen[value] += 1
                 outside[value] += not inside and value != "/article"
             elif last and not inside:
-                most[last] = max(most[last], len(value.split()))
-    return {t: -round(outside[t] / n * (1 + 2 * most[t]), 3) for t, n in seen.items() if outside[t] or t.endswith(".")}
+                after[last].append(len(value.split()))
+    # so many words that few tags have more behind them; a single odd page doesn't count
+    most = {t: sorted(n)[int(0.98 * (len(n) - 1))] for t, n in after.items()}
+    return {t: -round(outside[t] / n * (1 + 2 * most.get(t, 0)), 3) for t, n in seen.items() if outside[t] or t.endswith(".")}
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
@@ -113,9 +118,10 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 
 def tag_weights(pages: DataFrame, sample: int = 400) -> dict[str, float]:
-    """Scores from at most `sample` labelled pages, taken by a hash of their html."""
+    """Scores from at most `sample` labelled pages, taken by a hash of their html; DEFAULT if there are none."""
     labelled = pages.select("html").where((F.regexp_count("html", F.lit("(?i)<article[ >]")) == 1) & (F.regexp_count("html", F.lit("(?i)</article>")) == 1))
-    return learn([r[0] for r in hash_sample(labelled, sample, "html").limit(sample).toLocalIterator()])
+    found = learn([r[0] for r in hash_sample(labelled, sample, "html").limit(sample).toLocalIterator()])
+    return found or dict(DEFAULT)
 
 
 def main_texts(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
