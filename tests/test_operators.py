@@ -128,7 +128,12 @@ def test_symbols_and_changes(spark):
 def test_anchors(spark):
     rows = spark.createDataFrame([("a.tmpl", "q", '{{ctx.Locale.Tr "repo.new"}} <a href="/x"> <a href="/{{.L}}"> id="b" id="b"'), ("routers/r.go", "q", 'm.Get("/p", f)'), ("a.ts", "q", "document.querySelector('#z')")], "path string, qualified_name string, text string")
     got = {r.path: r.anchors for r in code.anchors(rows).collect()}
-    assert got == {"a.tmpl": ["locale:repo.new", "href:/x", "css:#b"], "routers/r.go": ["route:/p"], "a.ts": ["css:#z"]}
+    assert got == {"a.tmpl": ["locale:repo.new", "href:/x", "css:#b", "template:a.tmpl"], "routers/r.go": ["route:/p"], "a.ts": ["css:#z"]}
+    texts = spark.createDataFrame([("repo.new", "New")], "key string, text string")
+    assert {r.path: r.anchors for r in code.anchors(rows, texts).collect()}["a.tmpl"][:2] == ["locale:repo.new", "text:New"]
+    many = spark.createDataFrame([("b.tmpl", "q", " ".join(f'Locale.Tr "k{i}"' for i in range(30))), ("c.go", "q", 'm.Get("/p")'), ("d.ts", "q", "x = '.a' + \"#b\"")], "path string, qualified_name string, text string")
+    got = {r.path: r.anchors for r in code.anchors(many, spark.createDataFrame([(f"k{i}", f"t{i}") for i in range(30)], "key string, text string")).collect()}
+    assert len(got["b.tmpl"]) == 40 and got["b.tmpl"][:4] == ["locale:k0", "text:t0", "locale:k1", "text:t1"] and got["c.go"] == [] and got["d.ts"] == ["css:.a", "css:#b"]
     flat = code.flat_locales(spark.createDataFrame([('{"repo": {"new": "New"}, "n": 1, "a": "b"}',), ("bad",)], "value string"))
     assert sorted(flat.collect()) == [("a", "b"), ("repo.new", "New")]
     assert ("a.tmpl", "q", "text:New") in code.resolve_locales(code.anchors(rows), flat).collect()
@@ -312,6 +317,20 @@ def test_replay_parts(spark):
     assert [x[0] for x in keys.collect()] == ["issue_title", "issue_title", None]
 
 
+def test_orders_and_checks(spark):
+    links = spark.createDataFrame([("b", "x", "t"), ("a", "y", "t"), ("a", "x", "u")], "source_entity_id string, target_entity_id string, link_type string")
+    assert [r[0] + r[1] for r in linking.in_order(links).collect()] == ["ax", "ay", "bx"]
+    rows = spark.createDataFrame([("c", "s", None, "n", None, None), ("c", "s", "e", None, None, None)], "change_id string, symbol_id string, element_id string, screen_id string, flow_id string, requirement_id string")
+    assert [r.element_id for r in impact.in_order(rows).collect()] == ["e", None]
+    checks = spark.createDataFrame([("a", 1.0, 0.8), ("b", None, 0.8), ("c", 0.1, 0.8)], "name string, value double, least double")
+    assert [r.status for r in evals.check_rows(checks).collect()] == ["passed", "skipped", "failed"]
+    assert spark.range(1).select(replay.default_run_id()).first()[0].startswith("run-2")
+    req = spark.createDataFrame([("r", "s", [])], "id string, statement string, acceptance_clues array<string>")
+    none = spark.createDataFrame([], "source_entity_id string, review_status string, link_type string")
+    a = impact.absences(req, none, "run-1").first()
+    assert a.search_scope == "crawl-run:run-1;screens+elements+links" and a.expected_evidence == ["s"]
+
+
 def test_edges_keep_one_row_by_rule(spark):
     rows = spark.createDataFrame([("a", "b", 0.1), ("a", "b", 0.9)], "src string, dst string, confidence double").repartition(2)
     nodes = spark.createDataFrame([("a",), ("b",)], "id string")

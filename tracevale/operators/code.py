@@ -64,20 +64,49 @@ def span_text(content: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(F.split(content, "\n"), start, end - start + 1), "\n")
 
 
-def anchors(spans: DataFrame) -> DataFrame:
-    """(path, qualified_name, anchors) of rows (path, qualified_name, text): distinct anchors in the order they are found."""
-    t = F.col("text")
-    all_ = lambda p, g: F.regexp_extract_all(t, F.lit(p), F.lit(g))
-    as_ = lambda prefix, found: F.transform(found, lambda x: F.concat(F.lit(f"{prefix}:"), x))
-    locale = as_("locale", all_(r"""(?:ctx|\$?\.?root|\.)?\.?[lL]ocale\.Tr(?:N)?\s+"([^"]+)""", 1))
-    href = as_("href", F.filter(all_(r"""href="(/[^"]*)""", 1), lambda x: ~x.contains("{{")))
-    ids = as_("css", F.transform(all_(r"""\bid="([^"{}]+)""", 1), lambda x: F.concat(F.lit("#"), x)))
-    route = as_("route", all_(r"""\.(?:Get|Post|Combo)\(\s*"([^"]+)""", 1))
-    template = as_("template_name", all_(r"""\btpl\w+\s*(?:templates\.TplName)?\s*=\s*"([^"]+)""", 1))
-    css = as_("css", all_(r"""querySelector(?:All)?(?:<[^>]*>)?\(\s*['"]([^'"]+)""", 1))
-    p, empty = F.col("path"), F.array().cast("array<string>")
-    found = F.when(p.endswith(".tmpl"), F.concat(locale, href, ids)).when(p.endswith(".go"), F.concat(route, template)).when(p.endswith(".ts"), css).otherwise(empty)
-    return spans.select("path", "qualified_name", F.slice(F.array_distinct(found), 1, ANCHORS_KEPT).alias("anchors"))
+#: What an anchor looks like, by the files that can hold it: prefix, pattern, group.
+ANCHORS = {
+    ".tmpl": (("locale:", r'Locale\.TrN?\s+"([\w.-]+)"', 1), ("href:", r'href="(/[^"]*)"', 1), ("css:#", r'id="([^"]+)"', 1)),
+    ".go": (("route:", r'\bm\.(?:Get|Post|Combo)\(\s*"([^"]+)"', 1), ("template_name:", r'\btemplates\.TplName\s*=\s*"([^"]+)"', 1), ("template_name:", r'\btpl\w*\b[^=\n]*=\s*"([^"]+)"', 1)),
+    ".ts": (("css:", r"""querySelector(?:All)?\(\s*(['"])([.#][^'"]*)\1\s*\)""", 2), ("css:", r"""(['"])([.#][^'"\r\n]*)\1""", 2)),
+}
+ROUTERS = "routers/"
+
+
+def _prefixed(prefix: str, found: Column) -> Column:
+    return F.transform(found, lambda x: F.concat(F.lit(prefix), x))
+
+
+def _anchors_found(path: Column, text: Column) -> Column:
+    """All anchors of a span in the order of the rules, distinct; the template's own name is the last of its anchors."""
+    empty = F.array().cast("array<string>")
+    found = empty
+    for suffix, rules in ANCHORS.items():
+        lists = [_prefixed(prefix, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) for prefix, pattern, group in rules]
+        # an address with a template's braces in it isn't known
+        own = F.filter(F.concat(*lists), lambda x: ~(x.startswith("href:") & x.contains("{{")))
+        if suffix == ".tmpl":
+            own = F.concat(own, F.array(F.concat(F.lit("template:"), path)))
+        here = path.endswith(suffix) & (path.startswith(ROUTERS) if suffix == ".go" else F.lit(True))
+        found = F.when(here, own).otherwise(found)
+    return F.array_distinct(found)
+
+
+def anchors(spans: DataFrame, locales: DataFrame | None = None) -> DataFrame:
+    """(path, qualified_name, anchors) of rows (path, qualified_name, text): the first distinct anchors, in the order they are found.
+
+    With `locales` (key, text) a locale anchor is followed by its English text, which counts among the anchors kept.
+    """
+    rows = spans.select("path", "qualified_name", _anchors_found(F.col("path"), F.col("text")).alias("anchors"))
+    if locales is None:
+        return rows.withColumn("anchors", F.slice("anchors", 1, ANCHORS_KEPT))
+    e = rows.select("path", "qualified_name", F.posexplode_outer("anchors").alias("at", "anchor"))
+    e = e.withColumn("key", F.when(F.col("anchor").startswith("locale:"), F.substring("anchor", 8, 1 << 30)))
+    known = locales.groupBy("key").agg(F.max("text").alias("english"))
+    both = F.array(F.struct("at", F.lit(0).alias("nth"), "anchor"), F.struct("at", F.lit(1).alias("nth"), F.concat(F.lit("text:"), "english").alias("anchor")))
+    e = e.join(known, "key", "left").select("path", "qualified_name", F.explode(both).alias("x"))
+    g = e.groupBy("path", "qualified_name").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return g.select("path", "qualified_name", F.slice(F.array_distinct(F.filter(F.transform("x", lambda y: y["anchor"]), lambda y: y.isNotNull())), 1, ANCHORS_KEPT).alias("anchors"))
 
 
 def resolve_locales(rows: DataFrame, locales: DataFrame) -> DataFrame:

@@ -47,6 +47,12 @@ def stability(signatures: DataFrame) -> DataFrame:
     return sets.select("category").distinct().join(pairs, "category", "left").select("category", F.coalesce("least", F.lit(1.0)).alias("stability"))
 
 
+def check_rows(checks: DataFrame) -> DataFrame:
+    """(name, status, value, least): passed, failed, or skipped where there is no value."""
+    status = F.when(F.col("value").isNull(), "skipped").when(F.col("value") >= F.col("least"), "passed").otherwise("failed")
+    return checks.select("name", status.alias("status"), "value", "least")
+
+
 def verdicts(checks: DataFrame) -> DataFrame:
     """(passed): whether no check of (name, value, least) failed; a null value is a check that was skipped."""
     return checks.agg(F.coalesce(F.every(F.coalesce(F.col("value") >= F.col("least"), F.lit(True))), F.lit(True)).alias("passed"))

@@ -67,6 +67,11 @@ def findings(rows: DataFrame) -> DataFrame:
     return g.select(stable_id("impact", F.col("symbol_id"), list_repr(F.col("affected_entity_ids"))).alias("id"), F.col("symbol_id").alias("changed_symbol_id"), "path_entity_ids", "affected_entity_ids", "severity", "confidence", "files")
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Impact rows by their ids; missing ones come last."""
+    return rows.orderBy(*(F.asc_nulls_last(c) for c in ("change_id", "symbol_id", "element_id", "screen_id", "flow_id", "requirement_id")))
+
+
 def ranked(found: DataFrame) -> DataFrame:
     return found.orderBy(F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2), "id")
 
@@ -79,11 +84,15 @@ def unmapped(changes: DataFrame, symbols: DataFrame, links: DataFrame, viable_on
     return changes.join(mapped, "id", "left_anti").select("file", "change_type", reason.alias("reason"))
 
 
+#: Fixed value: why an absence is recorded.
+ABSENT = "No accepted or review-pending trace link from this requirement to any observed screen or element in this run."
+
+
 def absences(requirements: DataFrame, links: DataFrame, crawl_run_id: str) -> DataFrame:
     """Requirements without a viable link; 0.7 is how sure a missing link is a missing feature."""
     r = requirements.join(viable(links).select(F.col("source_entity_id").alias("id")), "id", "left_anti")
     evidence = F.when(F.size("acceptance_clues") > 0, F.col("acceptance_clues")).otherwise(F.array("statement"))
-    return r.select(stable_id("absence", F.col("id"), F.lit(crawl_run_id)).alias("id"), F.col("id").alias("requirement_id"), F.lit(crawl_run_id).alias("crawl_run_id"), evidence.alias("expected_evidence"), F.lit(0.7).cast("double").alias("confidence"))
+    return r.select(stable_id("absence", F.col("id"), F.lit(crawl_run_id)).alias("id"), F.col("id").alias("requirement_id"), F.lit(crawl_run_id).alias("crawl_run_id"), F.lit(f"crawl-run:{crawl_run_id};screens+elements+links").alias("search_scope"), evidence.alias("expected_evidence"), F.lit(0.7).cast("double").alias("confidence"), F.lit(ABSENT).alias("explanation"))
 
 
 def coverage(requirements: DataFrame, links: DataFrame, missing: DataFrame) -> DataFrame:

@@ -101,5 +101,9 @@ def link_records(elements: DataFrame, screens: DataFrame, symbols: DataFrame, re
     return links.withColumn("id", stable_id("trace_link", *(F.col(k) for k in KEY))).withColumnsRenamed({"source": "source_entity_id", "target": "target_entity_id"})
 
 
+def in_order(links: DataFrame) -> DataFrame:
+    return links.orderBy("source_entity_id", "target_entity_id", "link_type")
+
+
 def status_counts(links: DataFrame) -> DataFrame:
     return links.agg(*(F.count_if(F.col("review_status") == s).alias(s) for s in ("auto_accepted", "needs_review", "unresolved")))

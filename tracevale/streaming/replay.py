@@ -44,6 +44,11 @@ def first_of_each(events: DataFrame, key: str = "event_id", late: str = "10 minu
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
+def default_run_id():
+    """A run's name by the UTC clock, when the session's time zone is UTC."""
+    return F.date_format(F.current_timestamp(), "'run-'yyyyMMdd'T'HHmmss'Z'")
+
+
 def trajectory_line(route, action, element_id, role, name, href):
     """A step in the words of a trajectory; the name without its number."""
     text = F.concat_ws(" ", F.concat(route, F.lit(":")), action, element_id)
