@@ -1,6 +1,7 @@
 """Each operator against a plain version, on small tables with nulls, empty and repeated rows, ties and clashing names."""
 
 import hashlib
+import random
 import re
 import textwrap
 import zlib
@@ -162,6 +163,17 @@ def test_components(spark):
     assert dict(components.components(e).collect()) == {3: 3, 4: 3, 5: 3, 8: 3, 9: 3, 20: 20, 21: 20}
 
 
+def test_components_with_hubs(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(500, 500 + i) for i in range(1, 60)] + [(700, 700 - i) for i in range(1, 60)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert dict(components.components(spark.createDataFrame(edges, "a long, b long"), many=3).collect()) == root
+
+
 # 3
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_VALUES", 240)
