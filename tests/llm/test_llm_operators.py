@@ -371,6 +371,24 @@ def test_line_dedup_of_many_lines(spark):
     assert sorted((r.doc_id, r.line_dedup.n_lines, r.line_dedup.n_dropped, r.line_dedup.kept) for r in got.collect()) == lines_kept(rows)
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 4, 16])
+def test_line_dedup_of_lines_repeated_inside_documents(spark, partitions):
+    """A document that holds a line often is one document, however lines are dealt."""
+    line, other = "a line of more than twenty points", "another line of more than twenty"
+    cases = [[(1, line), (2, line), (3, "\n".join([line] * 3))], [(1, line), (3, "\n".join([line] * 5)), (3, line)], [(79, f"x\n{line}"), (315, line), (659, f"{line}\ny\n{line}"), (744, "\n".join([line, other] * 4)), (None, line), (800, other)]]
+    rng = random.Random(partitions)
+    cases.append([(i, "\n".join(rng.choice([line, other, line.upper(), "short", f" {other}\t", f"{line} {rng.randrange(30)}"]) for _ in range(rng.randrange(1, 40)))) for i in range(60)])
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        for rows in cases:
+            d = spark.createDataFrame(rows, "doc_id long, text string")
+            got = line_dedup.apply_keep(d, line_dedup.keep_bitmaps(d))
+            assert sorted(((r.doc_id, r.line_dedup.n_lines, r.line_dedup.n_dropped, r.line_dedup.kept) for r in got.collect()), key=repr) == lines_kept(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 # 8
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/\n", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 70_000), (None, "u", "<p>x</p>"), (2, "v", "<p>x</p>"), (None, "w", "lone")]

@@ -37,12 +37,14 @@ def repeated_keys(lines: DataFrame, min_docs: int = 3) -> DataFrame:
     """(h1, h2, salt, keeper): keys in at least `min_docs` documents, for each salt that they occur with, and the largest of these documents.
 
     Each range holds whole (key, salt) groups, sorted by document and position; the stream through it lets the first line
-    of each of the first `min_docs` documents pass, so that few rows of a key are counted afterwards.
+    of each of the first `min_docs` documents pass, so that few rows of a key are counted afterwards. Ranks count
+    documents, however many lines of a key one document has.
     """
     ranged = lines.repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.desc("doc"), "pos")
-    order = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc("doc"), "pos")
-    first = ranged.select("h1", "h2", "salt", "doc", F.dense_rank().over(order).alias("nth"), F.lag("pos").over(order).isNull().alias("top"), F.lag("doc").over(order).alias("before"))
-    first = first.where((F.col("nth") <= min_docs) & (F.col("top") | ~F.col("doc").eqNullSafe(F.col("before"))))
+    group = Window.partitionBy("h1", "h2", "salt")
+    nth, before = F.dense_rank().over(group.orderBy(F.desc("doc"))), F.lag(F.struct("doc")).over(group.orderBy(F.desc("doc"), "pos"))
+    first = ranged.select("h1", "h2", "salt", "doc", nth.alias("nth"), before.alias("before"))
+    first = first.where((F.col("nth") <= min_docs) & (F.col("before").isNull() | ~F.col("doc").eqNullSafe(F.col("before.doc"))))
     keys = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("keeper"), F.collect_set("salt").alias("salts")).where(F.col("n_docs") >= min_docs)
     return keys.select("h1", "h2", F.explode("salts").alias("salt"), "keeper")
 
