@@ -32,13 +32,16 @@ GROUP_PIECES, SPACING = 50_000, 800_000
 
 #: Fixed value: the vocabulary's pattern without what only matters in a run of white space, which needs no look-ahead.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+#: Fixed value: runs of the pattern's white space that are encoded apart, as its look-ahead needs stack for each character.
+LONG_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 class Encoder:
     """Ids of a text as little-endian 32-bit bytes, from a vocabulary of ranks for tiktoken.
 
     `added` tokens are found inside a text, as `tokenizers` finds them; the names of others are ordinary text. A text
-    without runs of white space takes the faster pattern.
+    without runs of white space takes the faster pattern. A long run of white space is a token run of its own, but for its
+    last character where more text follows, which goes with that text.
     """
 
     def __init__(self, path: str, added: tuple[tuple[str, int], ...] = ()):
@@ -47,13 +50,30 @@ class Encoder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
-        self.added = [token for token, _ in added]
+        self.added = dict(added)
+        self.split = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})" if added else "(?!)").split
         self.runs = re.compile(r"\s\s").search
         self.fast, self.full = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens=dict(added)) for p in (PATTERN, public_tokenizers.PATTERN))
 
     def __call__(self, text: str) -> bytes:
+        if LONG_WHITE.search(text):
+            parts = (array("I", [self.added[t]]) if t in self.added else self._cut(t) for t in self.split(text))
+            return b"".join(x.tobytes() for x in parts)
+        return self._whole(text).tobytes()
+
+    def _cut(self, text: str) -> array:
+        """Ids of a text without added tokens, long runs of white space apart from the rest."""
+        out, at = array("I"), 0
+        for run in LONG_WHITE.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += self._whole(text[at : run.start()])
+            out += array("I", self.fast.encode_ordinary(text[run.start() : end]))
+            at = end
+        return out + self._whole(text[at:])
+
+    def _whole(self, text: str) -> array:
         by = self.full if self.runs(text) else self.fast
-        return array("I", by.encode(text, allowed_special="all") if any(t in text for t in self.added) else by.encode_ordinary(text)).tobytes()
+        return array("I", by.encode(text, allowed_special="all") if any(t in text for t in self.added) else by.encode_ordinary(text))
 
 
 @lru_cache(1)

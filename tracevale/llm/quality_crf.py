@@ -8,7 +8,8 @@ model fitted so far makes of them (the worst line stays bad). A document's score
 Only the text is used. The model is fitted on at most `sample` labelled documents of those that the caller lets it learn
 from, taken by a hash of their id, and at most `sample_lines` lines of them, half of each kind; a document that would go beyond
 its half is passed over, and of one that is longer than a half by itself only so many first lines are learnt from, and only if
-nothing else is there. Every document is scored on its whole text.
+nothing else is there. Every document is scored on its whole text: short ones many at a time, a long one piece by piece, with
+the messages of forward-backward carried from piece to piece, so that memory doesn't grow with a text's lines.
 
 Defined cases: a null text is an empty one, which is one empty line and gets a score like any other; rows without a doc_id
 are scored, but never learnt from; labels that are null or for unknown documents are passed over; without labels of both
@@ -17,8 +18,7 @@ kinds every score is 0.5. Repeated rows get equal scores. Other columns pass thr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from operator import eq
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import materialize, word_hashes
+
+#: Lines and bytes of a piece, and of the texts that are scored at once, but for a longer line by itself.
+LINES, BYTES = 1 << 15, 1 << 22
 CLASSES = 9
 OF_BYTE = np.full(256, 7, np.uint8)  # what is left: other punctuation
 for _i, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"!?", b"|", b"#$%&*@^~=<>+\\_{}[]")):
@@ -39,13 +43,18 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     lines = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
     whole = b"\n".join(texts)
     raw = np.frombuffer(whole, np.uint8)
-    same, distinct = [], []
-    for words in map(bytes.split, whole.split(b"\n")):
-        same.append(sum(map(eq, words, words[1:])) / (len(words) or 1))
-        distinct.append(len(set(words)) / (len(words) or 1))
     ends = np.append(np.flatnonzero(raw == 10), len(raw))
     starts = np.append(0, ends[:-1] + 1)
     size = ends - starts
+    h, first_word = word_hashes(raw, np.append(starts, len(raw)))
+    n_words = np.diff(first_word)
+    of_line = np.repeat(np.arange(len(ends)), n_words)
+    beside = of_line[1:] == of_line[:-1]
+    some = np.maximum(n_words, 1)
+    same = np.bincount(of_line[1:][beside & (h[1:] == h[:-1])], minlength=len(ends)) / some
+    order = np.lexsort((h, of_line))
+    again = beside & (h[order][1:] == h[order][:-1])  # of_line is sorted already
+    distinct = (n_words - np.bincount(of_line[1:][again], minlength=len(ends))) / some
     n = np.zeros((len(ends), CLASSES))
     step = 1 << 22
     for at in range(0, len(raw), step):
@@ -121,9 +130,90 @@ class Model:
         x, size, lines = line_features(texts)
         return marginals(x @ self.weights, self.change, lines)[0], size, lines
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def long_mean(self, text: bytes) -> float:
+        """What `document_means` gives for one text, piece by piece: forward for the messages into each piece, then back."""
+        pieces = list(line_pieces(text))
+        into, p = [], None
+        for piece in pieces:
+            into.append(p)
+            p = self._forward(self._odds(text, *piece)[0], p)[-1]
+        total = weight = 0.0
+        behind = 0.5
+        for piece, before in zip(reversed(pieces), reversed(into), strict=True):
+            good, size = self._odds(text, *piece)
+            p = np.array(self._forward(good, before))
+            b, behind = self._backward(good, behind)
+            one, none = p * b, (1 - p) * (1 - b)
+            total += float((one / (one + none)) @ size)
+            weight += float(size.sum())
+        return total / weight
+
+    def _odds(self, text: bytes, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each line's log-odds and size for the lines in [start, end], with the features of the lines beside them."""
+        left = text.rfind(b"\n", 0, start - 1) + 1 if start else 0
+        right = text.find(b"\n", end + 1) if end < len(text) else end
+        x, size, _ = line_features([text[left : right if right >= 0 else len(text)]])
+        keep = slice(int(start > 0), len(x) - int(end < len(text)))
+        return x[keep] @ self.weights, size[keep]
+
+    def _forward(self, good: np.ndarray, p: float | None) -> list[float]:
+        """P(good) of each line given the lines up to it; p: that of the line before."""
+        (m00, m01), (m10, m11) = np.exp(self.change - self.change.max()).tolist()
+        out = []
+        for zero, one in zip(np.exp(np.minimum(-good, 0)).tolist(), np.exp(np.minimum(good, 0)).tolist(), strict=True):
+            if p is not None:
+                zero, one = zero * (m00 * (1 - p) + m10 * p), one * (m01 * (1 - p) + m11 * p)
+            p = one / (zero + one)
+            out.append(p)
+        return out
+
+    def _backward(self, good: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+        """The share of `good` in what the lines behind each line say of it, and of the line before; b: that of the last line."""
+        (m00, m01), (m10, m11) = np.exp(self.change - self.change.max()).tolist()
+        out = []
+        for zero, one in zip(reversed(np.exp(np.minimum(-good, 0)).tolist()), reversed(np.exp(np.minimum(good, 0)).tolist()), strict=True):
+            out.append(b)
+            zero, one = zero * (1 - b), one * b
+            zero, one = m00 * zero + m01 * one, m10 * zero + m11 * one
+            b = one / (zero + one)
+        return np.array(out[::-1]), b
+
+    def score(self, texts: Iterable[bytes]) -> np.ndarray:
         a, b = self.scale
-        return 1 / (1 + np.exp(-(a * logit(document_means(*self.lines(texts))) + b)))
+        means, held, lines, size = [np.empty(0)], [], 0, 0
+        for text in texts:
+            n = text.count(b"\n") + 1
+            if held and (lines + n > LINES or size + len(text) > BYTES):  # means stay in the texts' order
+                means.append(document_means(*self.lines(held)))
+                held, lines, size = [], 0, 0
+            if n > LINES or len(text) > BYTES:
+                means.append(np.array([self.long_mean(text)]))
+            else:
+                held.append(text)
+                lines, size = lines + n, size + len(text)
+        if held:
+            means.append(document_means(*self.lines(held)))
+        return 1 / (1 + np.exp(-(a * logit(np.concatenate(means)) + b)))
+
+
+def line_pieces(text: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of whole lines, end at a line feed or at the text's end: LINES lines and BYTES bytes at most, but for a longer line."""
+    raw, start = np.frombuffer(text, np.uint8), 0
+    while True:
+        feeds = np.flatnonzero(raw[start : start + BYTES] == 10)
+        if len(feeds) >= LINES:
+            end = start + int(feeds[LINES - 1])
+        elif start + BYTES >= len(raw):
+            end = len(raw)
+        elif len(feeds):
+            end = start + int(feeds[-1])
+        else:
+            end = text.find(b"\n", start + BYTES)
+            end = end if end >= 0 else len(raw)
+        yield start, end
+        if end == len(raw):
+            return
+        start = end + 1
 
 
 def _ascend(x: np.ndarray, y: np.ndarray, lines: np.ndarray, w: np.ndarray, change: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,17 +268,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_lines: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text, quality in zip(*(batch.column(c) for c in ("doc_id", "text", "quality")), strict=True):
-                x, size, lines = line_features([(text.as_py() or "").encode()])
-                n = min(int(lines[0]), half)
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([n]), pa.array([n < lines[0]]), pa.array([quality.as_py()], pa.int32()), pa.array([x[:n].astype(np.float32).tobytes()]), pa.array([size[:n].tobytes()])], ["doc_id", "lines", "cut", "quality", "x", "size"])
+                raw = (text.as_py() or "").encode()
+                n = raw.count(b"\n") + 1
+                if n > half:  # the first lines, and the one behind them for its features
+                    feeds = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+                    raw = raw[: feeds[half]] if len(feeds) > half else raw
+                x, size, _ = line_features([raw])
+                kept = min(n, half)
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([kept]), pa.array([kept < n]), pa.array([quality.as_py()], pa.int32()), pa.array([x[:kept].astype(np.float32).tobytes()]), pa.array([size[:kept].tobytes()])], ["doc_id", "lines", "cut", "quality", "x", "size"])
 
     half = max(1, sample_lines // 2)
     kept = d.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(run, "doc_id long, lines long, cut boolean, quality int, x binary, size binary")
-    got, total = [], {0: 0, 1: 0}
-    for r in kept.orderBy("cut", F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(sample).toLocalIterator():
+    kept = materialize(kept.withColumn("no", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("x")))
+    chosen, total = [], {0: 0, 1: 0}
+    for r in kept.orderBy("cut", F.xxhash64("doc_id"), "doc_id", "h", "no").select("no", "lines", "quality").limit(sample).collect():  # `sample` rows of three numbers
         if total[r.quality] + r.lines <= half:
             total[r.quality] += r.lines
-            got.append(r)
+            chosen.append(r.no)
+    got = {r.no: r for r in kept.where(F.col("no").isin(chosen)).collect()} if chosen else {}
+    got = [got[i] for i in chosen]
     if not got:
         return fit_lines(np.zeros((0, 1)), np.zeros(0), np.zeros(0), np.zeros(0))
     x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, 3 * OWN + 1) for r in got]).astype(np.float64)
@@ -205,7 +303,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
+                texts = ((t.as_py() or "").encode() for t in batch.column(at))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(texts))], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
