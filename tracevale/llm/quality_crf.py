@@ -30,6 +30,8 @@ from ._shared import materialize, word_hashes
 
 #: Lines and bytes of a piece, and of the texts that are scored at once, but for a longer line by itself.
 LINES, BYTES = 1 << 15, 1 << 22
+#: Fitting cuts a longer document into chains of so many lines.
+CHAIN = 1000
 CLASSES = 9
 OF_BYTE = np.full(256, 7, np.uint8)  # what is left: other punctuation
 for _i, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"!?", b"|", b"#$%&*@^~=<>+\\_{}[]")):
@@ -291,7 +293,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_lines: in
         return fit_lines(np.zeros((0, 1)), np.zeros(0), np.zeros(0), np.zeros(0))
     x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, 3 * OWN + 1) for r in got]).astype(np.float64)
     size = np.concatenate([np.frombuffer(r["size"], np.float64) for r in got])
-    return fit_lines(x, size, np.array([r.lines for r in got]), np.array([r.quality for r in got]))
+    chains = [(min(CHAIN, r.lines - at), r.quality) for r in got for at in range(0, r.lines, CHAIN)]
+    return fit_lines(x, size, *np.array(chains).T)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
