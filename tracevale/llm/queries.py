@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, license_scan, line_dedup, ngram_join, packing, quality_crf, sql, substring_dedup, topk, warc
+from . import decontaminate, html_extract, license_scan, line_dedup, ngram_join, packing, quality_crf, sql, substring_dedup, topk, warc, whitening
 from ._shared import table
 
 
@@ -69,5 +69,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_top_k, op4_substring_dedup, op5_packing, op6_quality_classifier, op7_line_dedup, op8_warc, op9_html_extraction, op10_license_scan)}
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=256, keep=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_top_k, op4_substring_dedup, op5_packing, op6_quality_classifier, op7_line_dedup, op8_warc, op9_html_extraction, op10_license_scan, op13_embedding_whitening)}
 ORACLE_SQL = {"op1_decontamination": sql.DECONTAMINATION, "op2_ngram_jaccard_join": sql.NGRAM_JOIN, "op3_top_k": sql.TOP_K, "op4_substring_dedup": sql.SUBSTRING_DEDUP, "op7_line_dedup": sql.LINE_DEDUP, "op9_html_extraction": sql.HTML_EXTRACTION, "op10_license_scan": sql.license_scan()}
