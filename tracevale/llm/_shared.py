@@ -122,7 +122,13 @@ def slices(at: np.ndarray, most: int = 4 * PIECE) -> Iterator[tuple[int, int]]:
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of texts laid end to end, and the number of each text's first word.
+    """A 64-bit hash of each word of texts laid end to end, and the number of each text's first word."""
+    hashes, starts = word_starts(data, at, lower)
+    return hashes, np.searchsorted(starts, at)
+
+
+def word_starts(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of texts laid end to end, and the place of its first byte.
 
     Words are runs of bytes that aren't ASCII white space; `lower` takes A-Z as a-z. Work goes piece by piece, so that
     memory doesn't grow with a text beyond its words' hashes.
@@ -167,8 +173,8 @@ def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[
         starts.append(s + lo)
         lo = hi
     if not hashes:
-        return np.empty(0, np.uint64), np.zeros(len(at), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), at)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
 def _whole(data: np.ndarray, starts: list[int], ends: list[int], lower: bool) -> np.ndarray:
