@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, html_extract, license_scan, line_dedup, ngram_join, packing, quality_crf, sql, substring_dedup, topk, warc, whitening
+from . import collocations, decontaminate, html_extract, license_scan, line_dedup, minhash, ngram_join, packing, quality_crf, sql, substring_dedup, topk, warc, whitening
 from ._shared import table
 
 
@@ -69,6 +69,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=80)
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"), max_words=3, least=10, share=50, top=2000)
 
@@ -77,5 +81,5 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=256, keep=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_top_k, op4_substring_dedup, op5_packing, op6_quality_classifier, op7_line_dedup, op8_warc, op9_html_extraction, op10_license_scan, op12_phrase_collocations, op13_embedding_whitening)}
-ORACLE_SQL = {"op1_decontamination": sql.DECONTAMINATION, "op2_ngram_jaccard_join": sql.NGRAM_JOIN, "op3_top_k": sql.TOP_K, "op4_substring_dedup": sql.SUBSTRING_DEDUP, "op7_line_dedup": sql.LINE_DEDUP, "op12_phrase_collocations": sql.COLLOCATIONS, "op9_html_extraction": sql.HTML_EXTRACTION, "op10_license_scan": sql.license_scan()}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_top_k, op4_substring_dedup, op5_packing, op6_quality_classifier, op7_line_dedup, op8_warc, op9_html_extraction, op10_license_scan, op11_minhash, op12_phrase_collocations, op13_embedding_whitening)}
+ORACLE_SQL = {"op1_decontamination": sql.DECONTAMINATION, "op2_ngram_jaccard_join": sql.near_duplicates(3, 90), "op11_minhash": sql.near_duplicates(4, 80, kept=True), "op3_top_k": sql.TOP_K, "op4_substring_dedup": sql.SUBSTRING_DEDUP, "op7_line_dedup": sql.LINE_DEDUP, "op12_phrase_collocations": sql.COLLOCATIONS, "op9_html_extraction": sql.HTML_EXTRACTION, "op10_license_scan": sql.license_scan()}
