@@ -143,7 +143,7 @@ def test_segments(spark):
     body = "x" * 150
     t = f"H1: A\n{body}\nH3: B\n{body}\nH2: C\nend"
     got = docs.segments(spark.createDataFrame([("u", t)], "uri string, text string")).orderBy("ordinal").collect()
-    assert [(r.heading_path, r.start_offset) for r in got] == [(["A", "B"], 0), (["A", "C"], t.index("H2"))]
+    assert [(r.heading_path, r.text, r.start_offset, r.end_offset) for r in got] == [(["A", "B"], f"{body}\n{body}", 6, 6 + 150 + 7 + 151), (["A", "C"], "end", t.index("end"), len(t))]
     kept, rejected = docs.gate_quotes(spark.createDataFrame([("A  quote.", "a QUOTE"), ("x", ""), ("x", "y")], "text string, quote string"))
     assert (kept.count(), rejected.count()) == (1, 2)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,9 +16,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+#: What lower case leaves unlike in a full case fold, by rule: ß and ss, ς and σ, ligatures, Greek with iota and such.
+UNFOLDED = {c: c.casefold() for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))) if c.lower() == c != c.casefold()}
+
+
 def fold(c: Column) -> Column:
-    """The form in which names are compared: stripped, and lower case of every letter (not a full Unicode case fold)."""
-    return F.lower(strip(c))
+    """The form in which names are compared: stripped, and with a full Unicode case fold."""
+    low = F.lower(strip(c))
+    table = F.from_json(F.lit(json.dumps(UNFOLDED)), "map<string,string>")
+    each = F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
+    return F.when(low.rlike(f"[{''.join(UNFOLDED)}]"), F.array_join(each, "")).otherwise(low)
 
 
 def collapse(c: Column) -> Column:

@@ -1,70 +1,207 @@
-"""Documentation pages to segments, and the gate that requirements' quotes pass."""
+"""Documentation pages to articles, segments and requirements, and the gate that requirements' quotes pass.
+
+Pages are parsed and cut in Arrow batches: a page is one row, and its parser and its cuts are linear in its length. Everything
+that relates rows to one another (responses by key, first occurrences, counts) is joins and aggregates.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, fold
+from ..functions.text import collapse, fold, stable_id
+from .graph import first_wins
 
 #: A segment ends at a heading once so many characters of body are gathered.
 SEGMENT_CHARS = 200
-HEADING = r"^H([1-4]): (.*)$"
+#: Elements that end a line, elements that are left out, a heading's line, what a requirement consists of.
+BLOCKS, DROPPED = {"p", "li", "pre", "div"}, {"script", "style", "nav", "aside"}
+HEADING = re.compile(r"H([1-4]):\s*(.*)")
+REQUIREMENTS = "struct<requirements:array<struct<statement:string,actor:string,action:string,object:string,acceptance_clues:array<string>,source_quote:string>>>"
+PROMPT_FIELDS = ("uri", "heading_path", "text")
+
+
+class _Tokens(HTMLParser):
+    """What a page consists of, in order: ("<", tag), ("/", tag), ("<>", tag) and ("", text)."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, str]] = []
+        self.handle_starttag = lambda tag, _: self.found.append(("<", tag))
+        self.handle_startendtag = lambda tag, _: self.found.append(("<>", tag))
+        self.handle_endtag = lambda tag: self.found.append(("/", tag))
+        self.handle_data = lambda text: self.found.append(("", text))
+        try:
+            self.feed(html)
+            self.close()
+        except AssertionError:  # a marked section that isn't known: what stands before it counts
+            pass
+
+
+def first_article(html: str) -> str:
+    """The lines of a page's first article.
+
+    Articles may be nested; the first one ends where as many have ended as begun, or with the page. Dropped elements are
+    skipped with all that is in them. A heading is a line `Hn: title` of its own; markup in a title adds nothing to it.
+    """
+    out: list[str] = []
+    title: list[str] = []
+    articles = dropped = level = 0
+    for kind, x in _Tokens(html).found:
+        if (kind, x) == ("<", "article"):
+            articles += 1
+        elif not articles:
+            continue
+        elif dropped:
+            dropped += (x in DROPPED) * {"<": 1, "/": -1}.get(kind, 0)
+        elif kind == "<" and x in DROPPED:
+            dropped = 1
+        elif (kind, x) == ("/", "article"):
+            articles -= 1
+            if not articles:
+                break
+        elif kind == "<" and re.fullmatch("h[1-4]", x):
+            level, title = int(x[1]), []
+        elif level and kind == "/" and x == f"h{level}":
+            out.append(f"\nH{level}: {_spaced(''.join(title)).strip()}\n")
+            level = 0
+        elif kind == "<>":
+            out.append(" ")
+        elif level:
+            title += [x] * (not kind)
+        elif kind:
+            out.append("\n" if kind == "/" and x in BLOCKS else " ")
+        else:
+            out.append(x)
+    lines = (line.strip() for line in _spaced("".join(out)).splitlines())
+    return "\n".join(line for line in lines if line)
+
+
+def _spaced(text: str) -> str:
+    return re.sub(r"[^\S\n]+", " ", text)
 
 
 def article_text(html: Column) -> Column:
-    """Text of the first article of well-formed HTML: a line for each heading, paragraph, list item, preformatted text or div."""
-    a = F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*?)</article>", 1)
-    a = F.regexp_replace(a, r"(?is)<(script|style|nav|aside)\b[^>]*>.*?</\1\s*>", "")
-    a = F.regexp_replace(a, r"(?is)<h([1-4])\b[^>]*>", "\nH$1: ")
-    a = F.regexp_replace(a, r"(?is)</(?:h[1-4]|p|li|pre|div)\s*>", "\n")
-    a = F.regexp_replace(a, r"(?s)<[^>]*>", " ")
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        a = F.replace(a, F.lit(name), F.lit(sign))
-    return F.array_join(F.filter(F.transform(F.split(a, "\n"), collapse), lambda x: x != ""), "\n")
+    """The text of a page's first article, a line for each block; null for a null page."""
+    parse = F.arrow_udf(lambda pages: pa.array([None if p is None else first_article(p) for p in pages.to_pylist()], pa.string()), "string")
+    return parse(html)
 
 
-def segments(docs: DataFrame) -> DataFrame:
-    """(uri, ordinal, heading_path, text, start_offset, end_offset) of texts (uri, text), by one fold over each text's lines.
+def cut_segments(text: str) -> Iterator[tuple[list[str], str, int, int]]:
+    """(heading_path, text, start_offset, end_offset) of a text's segments.
 
-    At a heading the gathered body is emitted if it has SEGMENT_CHARS characters, else carried into the next section. A
-    heading of level n keeps the n - 1 outer headings that there are.
+    A segment ends at the first heading at which SEGMENT_CHARS characters of body have come together, which a search in the
+    body's running lengths finds, or at the text's end. Its path is that of the last heading before its end: a heading of
+    level n stands behind the outer n - 1 headings, or as many as there are.
     """
-    state = "struct<path:array<string>,lines:array<string>,body:int,start:int,at:int,out:array<struct<heading_path:array<string>,text:string,start_offset:int,end_offset:int>>>"
-    zero = F.from_json(F.lit('{"path":[],"lines":[],"body":0,"start":0,"at":0,"out":[]}'), state)
-
-    def emitted(s):
-        one = F.struct(s["path"].alias("heading_path"), F.array_join(s["lines"], "\n").alias("text"), s["start"].alias("start_offset"), F.greatest(s["at"] - 1, F.lit(0)).alias("end_offset"))
-        return F.concat(s["out"], F.array(one))
-
-    def step(s, line):
-        level = F.regexp_extract(line, HEADING, 1)
-        head, ends = level != "", (level != "") & (s["body"] >= SEGMENT_CHARS)
-        after = s["at"] + F.char_length(line) + 1
-        path = F.when(head, F.concat(F.slice(s["path"], 1, F.greatest(F.coalesce(F.nullif(level, F.lit("")).cast("int"), F.lit(1)) - 1, F.lit(0))), F.array(F.regexp_extract(line, HEADING, 2)))).otherwise(s["path"])
-        return F.struct(
-            path.alias("path"),
-            F.when(ends, F.array(line)).otherwise(F.concat(s["lines"], F.array(line))).alias("lines"),
-            F.when(ends, F.lit(0)).when(head, s["body"]).otherwise(s["body"] + F.char_length(line)).cast("int").alias("body"),
-            F.when(ends, s["at"]).otherwise(s["start"]).alias("start"),
-            after.cast("int").alias("at"),
-            F.when(ends, emitted(s)).otherwise(s["out"]).alias("out"),
-        )
-
-    folded = F.aggregate(F.split("text", "\n"), zero, step, lambda s: F.when(F.size(s["lines"]) > 0, emitted(s)).otherwise(s["out"]))
-    out = docs.where("text <> ''").select("uri", F.posexplode(folded).alias("ordinal", "s"))
-    return out.select("uri", "ordinal", "s.*")
+    lines = text.splitlines(keepends=True)
+    bare = [line.rstrip("\r\n") for line in lines]
+    start = np.cumsum([0, *map(len, lines)])
+    titles = {i: (int(m[1]), m[2].strip()) for i, line in enumerate(bare) if (m := HEADING.fullmatch(line))}
+    heads = np.array(list(titles), np.int64)
+    body = np.cumsum([0, *(0 if i in titles else len(line) for i, line in enumerate(bare))])
+    paths: list[list[str]] = [[]]
+    for level, title in titles.values():
+        paths.append([*paths[-1][: level - 1], title])
+    line = 0
+    while line < len(lines):
+        nth = int(np.searchsorted(body[heads], body[line] + SEGMENT_CHARS)) if len(heads) else 0
+        end = int(heads[nth]) if nth < len(heads) else len(lines)
+        own = [i for i in range(line, end) if bare[i] and i not in titles]
+        if own:
+            yield paths[min(nth, len(heads))], "\n".join(bare[i] for i in own), int(start[own[0]]), int(start[own[-1]]) + len(bare[own[-1]])
+        line = end
+
+
+def segments(docs: DataFrame) -> DataFrame:
+    """(uri, ordinal, heading_path, text, start_offset, end_offset) of texts (uri, text); a text without body gives none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = list(cut_segments(text.as_py() or ""))
+                columns = [pa.array([uri] * len(found), pa.string()), pa.array(range(len(found)), pa.int32())]
+                kinds = (pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32())
+                columns += [pa.array([s[k] for s in found], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(columns, ["uri", "ordinal", "heading_path", "text", "start_offset", "end_offset"])
+
+    return docs.select(F.col("uri").cast("string"), "text").mapInArrow(run, "uri string, ordinal int, heading_path array<string>, text string, start_offset int, end_offset int")
+
+
+def snapshot_segments(pages: DataFrame) -> DataFrame:
+    """Segments of snapshots (uri, html)."""
+    return segments(pages.select("uri", article_text(F.col("html")).alias("text")))
+
+
+def _quoted(items: DataFrame) -> Column:
+    q, t = fold(collapse(F.coalesce("quote", F.lit("")))), fold(collapse(F.coalesce("text", F.lit(""))))
+    return (q != "") & (F.instr(t, q) > 0)
 
 
 def gate_quotes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kept and rejected rows of (text, quote, ...): a quote must be non-empty and stand in the segment's text."""
-    q, t = fold(collapse(F.coalesce("quote", F.lit("")))), fold(collapse(F.coalesce("text", F.lit(""))))
-    ok = (q != "") & (F.instr(t, q) > 0)
+    ok = _quoted(items)
     return items.where(ok), items.where(~ok)
 
 
+def request_key(model: Column, prompt: Column, schema: Column) -> Column:
+    """The name under which a response is stored: SHA-256 of the request as JSON with sorted keys; `schema` is JSON itself."""
+
+    def key(models: pa.Array, prompts: pa.Array, schemas: pa.Array) -> pa.Array:
+        rows = zip(models.to_pylist(), prompts.to_pylist(), schemas.to_pylist(), strict=True)
+        texts = (json.dumps({"model": m, "prompt": p, "schema": json.loads(s)}, sort_keys=True) for m, p, s in rows)
+        return pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())
+
+    return F.arrow_udf(key, "string")(F.coalesce(model, F.lit("none")), F.coalesce(prompt, F.lit("")), F.coalesce(schema, F.lit("null")))
+
+
 def cached_responses(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests (model, prompt, schema) with the response stored under their key, and those without one."""
-    key = F.sha2(F.to_json(F.struct("model", "prompt", "schema")), 256)
-    r = requests.withColumn("cache_key", key)
+    r = requests.withColumn("cache_key", request_key(F.col("model"), F.col("prompt"), F.col("schema")))
     return r.join(cache, "cache_key"), r.join(cache, "cache_key", "left_anti")
+
+
+def prompts(segs: DataFrame, template: str) -> Column:
+    """A prompt for each segment: `template` with its {uri}, {heading_path} and {text}."""
+    of = {"uri": F.col("uri"), "heading_path": F.array_join("heading_path", " > "), "text": F.col("text")}
+    parts = re.split(r"\{(" + "|".join(PROMPT_FIELDS) + r")\}", template)
+    return F.concat(*(of[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)))
+
+
+def requirements(segs: DataFrame, cache: DataFrame, template: str, schema: str, model: str, run_id: str, revision: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requirement records, rejected items and segments without a stored response, of segments and stored responses (cache_key, response).
+
+    An item's quote must stand in its segment. Of items with one id, the first in the order of segments and items stays.
+    """
+    asked = segs.withColumns({"model": F.lit(model), "prompt": prompts(segs, template), "schema": F.lit(schema)})
+    answered, missing = cached_responses(asked, cache)
+    parsed, given = F.from_json("response", REQUIREMENTS), F.get_json_object("response", "$.requirements")
+    odd = F.coalesce(~F.ltrim("response").startswith("{"), F.lit(True)) | parsed.isNull() | F.coalesce(~given.startswith("["), F.lit(False))
+    answered = answered.withColumn("items", F.when(odd, F.raise_error(F.concat(F.lit("not a response: "), "cache_key"))).otherwise(parsed["requirements"]))
+    items = answered.select("uri", "ordinal", "heading_path", "text", "start_offset", "end_offset", F.posexplode("items").alias("nth", "item"))
+    kept, rejected = gate_quotes(items.withColumn("quote", F.col("item.source_quote")))
+    span = F.struct("uri", "heading_path", F.col("quote"), F.col("start_offset"), F.col("end_offset"))
+    records = kept.select(
+        stable_id("requirement", F.col("uri"), F.col("item.statement")).alias("id"), F.lit("1.0.0").alias("schema_version"), F.lit(run_id).alias("run_id"), F.lit("ingest").alias("source"), F.lit(revision).alias("source_revision"),
+        *(F.col(f"item.{c}").alias(c) for c in ("statement", "actor", "action", "object")), F.coalesce("item.acceptance_clues", F.array().cast("array<string>")).alias("acceptance_clues"), span.alias("source_span"), F.lit(True).alias("testable"),
+        "ordinal", "nth",
+    )
+    once = first_wins(records, ["id"], "ordinal", "nth").drop("ordinal", "nth")
+    return once, rejected.select("uri", F.col("heading_path").alias("segment"), F.lit("quote-not-found").alias("reason"), "item"), missing
+
+
+def ingest(pages: DataFrame, cache: DataFrame, template: str, schema: str, model: str, run_id: str, revision: str) -> tuple[DataFrame, DataFrame]:
+    """Requirement records of snapshots (uri, html), and one row of counts (segments, requirements, rejects, missing)."""
+    segs = snapshot_segments(pages)
+    records, rejects, missing = requirements(segs, cache, template, schema, model, run_id, revision)
+    named = [df.select(F.lit(n).alias("step")) for n, df in (("segments", segs), ("requirements", records), ("rejects", rejects), ("missing", missing))]
+    steps = named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
+    return records, steps.agg(*(F.count_if(F.col("step") == n).alias(n) for n in ("segments", "requirements", "rejects", "missing")))

@@ -185,9 +185,12 @@ def q26_action_safety(spark, sf_dir):
     return e.select("screen", F.col("ord").cast("long").alias("ord"), "name", F.coalesce(reason, F.lit("ok")).alias("reason"))
 
 
+def _segment_rows(d):
+    return d.select("uri", "ordinal", F.array_join("heading_path", " > ").alias("path"), "start_offset", "end_offset", F.sha2("text", 256).alias("text_sha256"))
+
+
 def q27_segments(spark, sf_dir):
-    d = t(spark, sf_dir, "pages").select(F.col("page_id").alias("uri"), docs.article_text(F.col("html")).alias("text"))
-    return docs.segments(d).select("uri", "ordinal", F.array_join("heading_path", " > ").alias("path"), "start_offset", "end_offset", F.sha2("text", 256).alias("text_sha256"))
+    return _segment_rows(docs.snapshot_segments(t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("uri"), "html")))
 
 
 def q28_graph_counts(spark, sf_dir):
@@ -353,4 +356,24 @@ def q53_flow_steps(spark, sf_dir):
     return graph.flow_steps(flows).select("src", F.col("order").cast("long").alias("order"), "dst")
 
 
+def q54_segments_of_many_headings(spark, sf_dir):
+    """Conversations as texts: a heading of one of four levels for each turn."""
+    c = t(spark, sf_dir, "conversations")
+    part = F.concat(F.lit("H"), (1 + F.col("turn") % 4).cast("string"), F.lit(": "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), text.collapse(F.col("text")))
+    parts = c.groupBy(F.col("conv_id").cast("string").alias("uri")).agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))).alias("parts"))
+    return _segment_rows(docs.segments(parts.select("uri", F.array_join(F.transform("parts", lambda x: x["part"]), "\n").alias("text"))))
+
+
+def q55_odd_articles(spark, sf_dir):
+    """Pages with nested, unclosed and split articles, references to characters, dropped elements and markup in headings."""
+    p = t(spark, sf_dir, "pages")
+    kind, html = F.col("page_id") % 4, F.col("html")
+    nested = F.replace(html, F.lit("</article>"), F.lit("</p><article>nested &eacute; &#233;<aside>gone <nav>too</nav> gone</aside></article><p>behind &amp;amp;</p></article><article>second</article>"))
+    unclosed = F.concat(F.substring_index(html, "</article>", 1), F.lit("</p><p>never closed &le;"))
+    heading = F.replace(html, F.lit("<article>"), F.lit("<article><style>h2 { x }</style><h2>a <b>b</b>\n<i></i> c</h2>"))
+    heading = F.replace(heading, F.lit("b</b>\n"), F.lit("b</b> "))
+    odd = F.when(kind == 0, nested).when(kind == 1, unclosed).when(kind == 2, heading).otherwise(F.concat(F.lit("<!-- <article>no</article> -->"), html))
+    return p.select("page_id", F.concat(F.lit("kind "), kind.cast("string"), F.lit("\n"), docs.article_text(odd)).alias("article"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit()}

@@ -18,6 +18,23 @@ links AS (SELECT source, target, 1 - list_reduce(list_prepend(1.0::DOUBLE, list_
 banded AS (SELECT *, CASE WHEN confidence >= 0.85 AND strong THEN 'auto_accepted' WHEN confidence >= 0.55 THEN 'needs_review' ELSE 'unresolved' END AS review_status FROM links)"""
 _TRANS = "tr AS (SELECT * FROM (SELECT user_id AS flow, event_type AS source, lead(event_type) OVER w AS target, row_number() OVER w AS ord FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE target IS NOT NULL)"
 
+_ARTICLE = r"""a AS (SELECT page_id, regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1) AS a FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(a, '(?is)<h([1-4])\b[^>]*>', chr(10) || 'H\1: ', 'g'), '(?is)</(?:h[1-4]|p|li|pre|div)\s*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g') AS a FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(a, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS a FROM b),
+articles AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(a, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS article FROM c)"""
+#: Segments of `docs` (uri, text): headings, the next cut behind each, chains of cuts and of paths, and the body between cuts.
+_SEGMENTS = r"""l AS (SELECT uri, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS n FROM (SELECT uri, string_split(text, chr(10)) AS ls FROM docs WHERE text <> '')),
+m AS (SELECT uri, n, line, regexp_full_match(line, 'H[1-4]:\s*.*') AS head, sum(length(line) + 1) OVER (PARTITION BY uri ORDER BY n) - length(line) - 1 AS start FROM l),
+body AS (SELECT *, coalesce(sum(CASE WHEN head THEN 0 ELSE length(line) END) OVER (PARTITION BY uri ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m),
+heads AS (SELECT uri, n, CAST(line[2] AS INTEGER) AS level, trim(regexp_extract(line, '^H[1-4]:(.*)$', 1)) AS title, before, row_number() OVER (PARTITION BY uri ORDER BY n) AS k FROM body WHERE head),
+paths AS (SELECT uri, k, n, [title] AS path FROM heads WHERE k = 1 UNION ALL SELECT h.uri, h.k, h.n, list_append(p.path[1:h.level - 1], h.title) FROM paths p JOIN heads h ON h.uri = p.uri AND h.k = p.k + 1),
+nexts AS (SELECT x.uri, x.n, min(h.n) AS nn FROM (SELECT uri, n, before FROM heads UNION ALL SELECT DISTINCT uri, 0, 0 FROM l) x JOIN heads h ON h.uri = x.uri AND h.before >= x.before + 200 GROUP BY ALL),
+cuts AS (SELECT DISTINCT uri, CAST(0 AS BIGINT) AS n FROM l UNION ALL SELECT c.uri, x.nn FROM cuts c JOIN nexts x ON x.uri = c.uri AND x.n = c.n),
+spans AS (SELECT uri, n AS lo, coalesce(lead(n) OVER (PARTITION BY uri ORDER BY n), 1000000000) AS hi FROM cuts),
+pieces AS (SELECT s.uri, lo, hi, min(start) AS a, max(start + length(line)) AS z, string_agg(line, chr(10) ORDER BY body.n) AS text FROM spans s JOIN body ON body.uri = s.uri AND NOT head AND line <> '' AND body.n > lo AND body.n < hi GROUP BY ALL),
+segments AS (SELECT p.uri, row_number() OVER (PARTITION BY p.uri ORDER BY lo) - 1 AS ordinal, (SELECT array_to_string(arg_max(path, k), ' > ') FROM paths WHERE paths.uri = p.uri AND paths.n < p.hi) AS path, a AS start_offset, z AS end_offset, sha256(p.text) AS text_sha256 FROM pieces p)"""
+_SEGMENT_ROWS = "SELECT uri, CAST(ordinal AS INTEGER) AS ordinal, coalesce(path, '') AS path, CAST(start_offset AS INTEGER) AS start_offset, CAST(end_offset AS INTEGER) AS end_offset, text_sha256 FROM segments"
+
 ORACLE_SQL = {
     "q01_canonical_urls": rf"""WITH x AS ({_URL}), y AS (SELECT page_id, lower(u.s) AS s, lower(u.h) AS h, u.p AS p, list_sort(list_filter(string_split(substr(u.q, 2), '&'), lambda i: i <> '' AND NOT regexp_full_match(regexp_replace(i, '^[^=]*=?', ''), '[0-9]{{10,}}|(?i:[0-9a-f]{{16,}})|[A-Za-z0-9_-]{{24,}}'))) AS q FROM x)
 SELECT page_id, s || '://' || h || {_PATH} || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END AS canonical_url FROM y""",
@@ -27,10 +44,7 @@ SELECT page_id, CASE WHEN p = '/user/login' THEN p WHEN own AND regexp_matches(p
  WHEN own AND regexp_matches(p, '^/[^/]+/[^/]+/issues$') THEN '/{{owner}}/{{repo}}/issues' WHEN own AND regexp_matches(p, '^/[^/]+/[^/]+$') THEN '/{{owner}}/{{repo}}' WHEN p = '/' THEN '/'
  ELSE array_to_string(list_transform(string_split(raw, '/'), lambda s: CASE WHEN regexp_full_match(s, '[0-9]+') THEN '{{number}}' ELSE s END), '/') END AS route FROM r""",
     "q03_page_elements": f"WITH {_ELEMENTS} SELECT screen, ord, role, name, href, 'element:' || {_ID.format('lower(trim(screen)), role, lower(trim(name))')} AS id FROM e",
-    "q04_article_text": r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1) AS a FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(a, '(?is)<h([1-4])\b[^>]*>', chr(10) || 'H\1: ', 'g'), '(?is)</(?:h[1-4]|p|li|pre|div)\s*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g') AS a FROM a),
-c AS (SELECT page_id, replace(replace(replace(replace(a, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS a FROM b)
-SELECT page_id, array_to_string(list_filter(list_transform(string_split(a, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS article FROM c""",
+    "q04_article_text": f"WITH {_ARTICLE} SELECT page_id, article FROM articles",
     "q05_evidence_links": f"WITH {_SIGNALS} SELECT source, target, confidence, method, evidence, review_status FROM banded",
     "q06_text_exact_links": rf"""WITH {_ELEMENTS}, d AS (SELECT lower(regexp_extract(text, '^(\S+)', 1)) AS name, min(doc_id) AS doc_id, count(*) AS n_docs FROM documents GROUP BY 1)
 SELECT DISTINCT 'element:' || {_ID.format('lower(trim(screen)), role, lower(trim(e.name))')} AS id, lower(trim(e.name)) AS name, d.doc_id, d.n_docs FROM e JOIN d ON lower(trim(e.name)) = d.name""",
@@ -113,4 +127,9 @@ SELECT id AS source, 'e:' || name AS target, 'implements' AS link_type, 'clue-el
 UNION ALL SELECT id, 'e:' || name, 'implements', 'clue-element-sub', clue, 0.35::DOUBLE FROM c JOIN n ON lower(trim(clue)) <> lower(trim(name)) AND contains(lower(trim(name)), lower(trim(clue)))
 UNION ALL SELECT id, 'e:' || name, 'implements', 'object-words', a, 0.30::DOUBLE FROM o JOIN n ON len(w) > 0 AND len(list_filter(w, lambda x: NOT contains(lower(trim(name)), x))) = 0""",
     "q53_flow_steps": "SELECT user_id AS src, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS \"order\", event_id AS dst FROM events",
+    "q27_segments": f"WITH RECURSIVE {_ARTICLE}, docs AS (SELECT CAST(page_id AS VARCHAR) AS uri, article AS text FROM articles), {_SEGMENTS} {_SEGMENT_ROWS}",
+    "q54_segments_of_many_headings": f"""WITH RECURSIVE turns AS (SELECT CAST(conv_id AS VARCHAR) AS uri, turn, 'H' || (1 + turn % 4) || ': ' || role || ' ' || turn || chr(10) || trim(regexp_replace(text, '\\s+', ' ', 'g')) AS part FROM conversations),
+docs AS (SELECT uri, string_agg(part, chr(10) ORDER BY turn) AS text FROM turns GROUP BY uri), {_SEGMENTS} {_SEGMENT_ROWS}""",
+    "q55_odd_articles": f"""WITH {_ARTICLE} SELECT page_id, 'kind ' || page_id % 4 || chr(10) || CASE page_id % 4
+  WHEN 0 THEN article || chr(10) || 'nested é é behind &amp;' WHEN 1 THEN article || chr(10) || 'never closed ≤' WHEN 2 THEN 'H2: a b c' || chr(10) || article ELSE article END AS article FROM articles""",
 }
