@@ -21,12 +21,17 @@ def first_wins(rows: DataFrame, key: list[str], *order: str) -> DataFrame:
 
 
 def overlay(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Properties of `new` over those of `old`: null properties keep the old value."""
+    """Properties of `new` over those of `old`: a null removes the old value, a column that `new` doesn't have keeps it."""
     values = list(dict.fromkeys(c for c in [*old.columns, *new.columns] if c not in key))
-    o, n = old.alias("o"), new.alias("n")
-    j = o.join(n, key, "full")
-    pick = {c: [f"n.{c}"] * (c in new.columns) + [f"o.{c}"] * (c in old.columns) for c in values}
-    return j.select(*key, *(F.coalesce(*map(F.col, pick[c])).alias(c) for c in values))
+    o, n = (df.select(F.struct(*key).alias("k"), F.struct(*df.columns).alias(name)) for df, name in ((old, "o"), (new, "n")))
+    j = o.join(n, "k", "full")
+
+    def pick(c: str):
+        if c not in new.columns:
+            return F.col("o")[c]
+        return F.when(F.col("n").isNull(), F.col("o")[c]).otherwise(F.col("n")[c]) if c in old.columns else F.col("n")[c]
+
+    return j.select(*(F.col("k")[c].alias(c) for c in key), *(pick(c).alias(c) for c in values))
 
 
 def edges(rows: DataFrame, src_nodes: DataFrame, dst_nodes: DataFrame, *key: str) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import code, docs, evals, gold, graph, impact, linking, lookups, policy, report
-from ..sources import code_files
+from ..sources import code_files, store
 from ..sources import pages as pg
-from ..streaming import replay
+from ..streaming import agent, replay
 from .records import records
 
 
@@ -376,4 +376,34 @@ def q55_odd_articles(spark, sf_dir):
     return p.select("page_id", F.concat(F.lit("kind "), kind.cast("string"), F.lit("\n"), docs.article_text(odd)).alias("article"))
 
 
+def q56_graph_merge(spark, sf_dir):
+    """Customers and orders as a stored graph, loaded thrice: a second load removes, changes and adds properties, a third repeats it."""
+    c = t(spark, sf_dir, "customer").selectExpr("cast(c_custkey as string) as id", "c_name as name", "c_mktsegment as phone", "c_acctbal as balance", "c_custkey as k")
+    o = t(spark, sf_dir, "orders").selectExpr("cast(o_orderkey as string) as id", "o_orderstatus as status", "o_custkey as k", "o_orderkey as n")
+    placed = o.selectExpr("cast(k as string) as src", "id as dst", "status", "n")
+    graph_ = store.GraphStore(spark, store.scratch(spark), 16)
+    graph_.load({"Customer": c.where("k % 10 <> 3").drop("k"), "Order": o.drop("k", "n")}, {"PLACED": store.Edges(placed.drop("n"), "Customer", "Order")})
+    second = {"Customer": c.where("k % 3 = 0").selectExpr("id", "cast(null as string) as phone", "concat('s', k % 5) as segment")}
+    changed = {"PLACED": store.Edges(placed.where("n % 2 = 0").selectExpr("src", "dst", "if(n % 4 = 0, 'X', null) as status"), "Customer", "Order")}
+    for _ in range(2):
+        version = graph_.load(second, changed)
+    nodes, edges = graph_.read("nodes", "Customer"), graph_.read("edges", "PLACED")
+    none = F.lit(None).cast("string")
+    rows = nodes.select(F.lit("Customer").alias("kind"), "id", "name", "phone", "segment", F.col("balance").cast("double").alias("balance"), none.alias("status"))
+    rows = rows.unionByName(edges.select(F.lit("PLACED").alias("kind"), F.concat_ws(">", "src", "dst").alias("id"), "status"), allowMissingColumns=True)
+    return rows.withColumn("version", F.lit(version).cast("int"))
+
+
+def q57_agent_replay(spark, sf_dir):
+    """Users' events as the steps of runs, ten a goal, under a budget of ten days."""
+    e = t(spark, sf_dir, "events")
+    path, element = F.concat(F.lit("/"), "event_type"), F.concat(F.lit("e"), F.floor("value").cast("string"))
+    steps = e.select(
+        F.col("user_id").cast("string").alias("run"), F.dayofmonth("ts").cast("string").alias("goal"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), path.alias("path"), element.alias("element_id"),
+        F.lit("link").alias("role"), F.concat(F.lit("n"), (F.col("event_id") % 7).cast("string"), F.lit(" #2")).alias("name"), (F.col("event_type") == "error").alias("outage"),
+    )
+    got = agent.replay(steps, agent.Budget(3, 20, 864_000.0))
+    return got.select(F.col("seq").alias("event_id"), "run", "goal", "taken", F.coalesce("reason", F.lit("")).alias("reason"), "fallback", "in_flow", "in_run")
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit()}

@@ -132,4 +132,16 @@ UNION ALL SELECT id, 'e:' || name, 'implements', 'object-words', a, 0.30::DOUBLE
 docs AS (SELECT uri, string_agg(part, chr(10) ORDER BY turn) AS text FROM turns GROUP BY uri), {_SEGMENTS} {_SEGMENT_ROWS}""",
     "q55_odd_articles": f"""WITH {_ARTICLE} SELECT page_id, 'kind ' || page_id % 4 || chr(10) || CASE page_id % 4
   WHEN 0 THEN article || chr(10) || 'nested é é behind &amp;' WHEN 1 THEN article || chr(10) || 'never closed ≤' WHEN 2 THEN 'H2: a b c' || chr(10) || article ELSE article END AS article FROM articles""",
+    "q56_graph_merge": """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, c_mktsegment, c_acctbal, c_custkey AS k, c_custkey % 3 = 0 AS again, c_custkey % 10 <> 3 AS before FROM customer WHERE c_custkey % 10 <> 3 OR c_custkey % 3 = 0),
+p AS (SELECT o_orderkey AS n, o_orderstatus AS status, o_custkey, c.before FROM orders JOIN c ON c.k = o_custkey)
+SELECT 'Customer' AS kind, id, CASE WHEN before THEN c_name END AS name, CASE WHEN before AND NOT again THEN c_mktsegment END AS phone, CASE WHEN again THEN 's' || k % 5 END AS segment, CASE WHEN before THEN CAST(c_acctbal AS DOUBLE) END AS balance, NULL::VARCHAR AS status, CAST(2 AS INTEGER) AS version FROM c
+UNION ALL SELECT 'PLACED', o_custkey || '>' || n, NULL, NULL, NULL, NULL, CASE WHEN n % 4 = 0 THEN 'X' WHEN n % 2 = 0 THEN NULL ELSE status END, 2 FROM p WHERE before OR n % 2 = 0""",
+    "q57_agent_replay": """WITH RECURSIVE s AS (SELECT CAST(user_id AS VARCHAR) AS run, CAST(day(ts) AS VARCHAR) AS goal, ts, event_id, '/' || event_type || '|e' || CAST(floor(value) AS BIGINT) AS pair, '/' || event_type || '|link|n' || event_id % 7 AS name, event_type = 'error' AS outage,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, ts - min(ts) OVER (PARTITION BY user_id) > INTERVAL 864000 SECOND AS late FROM events),
+r AS (SELECT run, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS goal, 0 AS in_flow, 0 AS in_run, false AS fallback, CAST([] AS VARCHAR[]) AS seen, CAST('' AS VARCHAR) AS reason FROM (SELECT DISTINCT run FROM s)
+ UNION ALL SELECT run, k, event_id, goal, n + CAST(why = '' AS INTEGER), in_run + CAST(why = '' AS INTEGER), latch, CASE WHEN why = '' THEN list_concat(had, [pair, name]) ELSE had END, why FROM (
+  SELECT *, CASE WHEN late THEN 'time' WHEN n >= 3 THEN 'flow-budget' WHEN in_run >= 20 THEN 'run-budget' WHEN list_contains(had, pair) OR list_contains(had, name) THEN 'already-executed' ELSE '' END AS why, held OR (NOT late AND n < 3 AND in_run < 20 AND outage) AS latch FROM (
+   SELECT s.run, s.k, s.event_id, s.pair, s.name, s.late, s.outage, r.in_run, CASE WHEN s.late THEN r.goal ELSE s.goal END AS goal, CASE WHEN s.late OR r.goal = s.goal THEN r.in_flow ELSE 0 END AS n,
+    CASE WHEN s.late OR r.goal = s.goal THEN r.seen ELSE CAST([] AS VARCHAR[]) END AS had, CASE WHEN s.late OR r.goal = s.goal THEN r.fallback ELSE false END AS held FROM r JOIN s ON s.run = r.run AND s.k = r.k + 1)))
+SELECT event_id, r.run, s.goal, reason = '' AS taken, reason, fallback, in_flow, in_run FROM r JOIN s USING (run, event_id) WHERE r.k > 0""",
 }
