@@ -446,6 +446,34 @@ def test_html_without_labelled_pages(spark):
     assert html_extract.main_texts(pages).first().text == text
 
 
+@pytest.mark.parametrize("weights", [{}, html_extract.DEFAULT, html_extract.learn([PAGE] * 5)])
+def test_html_of_comments_teasers_and_notices(weights):
+    words = "some words of a page's own text that go on for a while and then a little more"
+    other = "words by somebody else that are long enough to be taken for text by any count of words " * 3
+    cases = [
+        f'<body><article><p>{words}</p></article><div id="comments"><article class="comment-body"><p>{other}</p></article><article><p>{other}</p></article></div></body>',
+        f'<body><article><p>{words}</p><section id="comments"><article class="comment"><p>{other}</p></article></section></article></body>',
+        f'<body><article><p>{words}</p></article><aside><article>{other}</article></aside></body>',
+        f'<body><aside><article>{other}</article></aside><article><p>{words}</p></article></body>',
+        f'<body><div class="gdpr-consent"><p>{other}</p></div><article><p>{words}</p></article></body>',
+        f'<body><article class="teaser">{other}</article><article><p>{words}</p></article><div class="cookie-notice">{other}</div></body>',
+        f'<body><article><div class="social"><p>{words}</p></div></article></body>',
+        f'<body><article><div class="social"><a href=/>Share</a> <a href=/>Send on</a></div><p>{words}</p></article></body>',
+        f'<body><nav><a href=/>menu</a><article><p>{words}</p></article></body>',
+        f'<body><ul><li class="menu"><a href=/>x</a><li class="menu">y</ul><article><p>{words}</p></article></body>',
+    ]
+    for case in cases:
+        assert html_extract.extract(case, weights) == words, case
+
+
+def test_html_of_long_and_deep_pages(spark):
+    deep = "<article>" + "<div class='x social'>" * 300 + "deep text here" + "</div>" * 300 + "</article>"
+    long = "<article>" + "<p>word and word</p>" * 20_000 + "</article>"
+    pages = spark.createDataFrame([(1, "u", deep, 1, 2), (2, "u", long, 1, 2)], "page_id long, url string, html string, n_chars int, text int")
+    got = {r.page_id: r.text for r in html_extract.main_texts(pages).collect()}
+    assert got == {1: "deep text here", 2: "\n\n".join(["word and word"] * 20_000)}
+
+
 def test_html_learns_scores_of_marked_names():
     page = "<body><div class='post-header'>three words here</div><article><p>text</p><section id=ad-free>a</section></article></body>"
     weights = html_extract.learn([page])
