@@ -85,7 +85,7 @@ def test_merge_is_idempotent(spark):
     assert sorted(once.collect()) == sorted(graph.merge_latest(once.unionByName(once), ["id"], "seq").collect()) == [("a", 2, "y"), ("b", 1, "z")]
     assert graph.duplicate_keys(rows, "id").collect() == [("a", 2)]
     new = spark.createDataFrame([("b", None, "w")], "id string, seq int, v string")
-    assert sorted(graph.overlay(once, new, ["id"]).collect()) == [("a", 2, "y"), ("b", 1, "w")]
+    assert sorted(graph.overlay(once, new, ["id"]).collect()) == [("a", 2, "y"), ("b", None, "w")]  # a null removes
 
 
 DIFF = """diff --git a/x.go b/x.go

@@ -14,6 +14,8 @@ DECLARATIONS = {
 DEFINE = r"""\{\{-?\s*define\s+"([^"]+)"""
 WHOLE_FILE = {".tmpl": "template", ".ts": "ts_module"}
 ANCHORS_KEPT = 40
+#: Lines of a file whose spans and hunks are swept together.
+BIN = 4096
 
 
 def line_count(content: Column) -> Column:
@@ -47,9 +49,21 @@ def symbols(files: DataFrame) -> DataFrame:
 
 
 def touched(spans: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Symbols (path, line_start, line_end) that a hunk (path, start, count) of their file overlaps."""
-    h = hunks.select(F.col("path").alias("h_path"), F.col("start").alias("h_start"), (F.col("start") + F.greatest("count", F.lit(1)) - 1).alias("h_end"))
-    return spans.join(h, (F.col("path") == F.col("h_path")) & (F.col("line_start") <= F.col("h_end")) & (F.col("h_start") <= F.col("line_end")), "left_semi")
+    """Symbols (path, line_start, line_end) that a hunk (path, start, count) of their file overlaps.
+
+    A hunk overlaps a span if it starts no later than the span ends, and reaches it: so the furthest end of all hunks that
+    start by then decides, which one pass over starts and ends in order gives. A file's lines are dealt out in bins, each of
+    which begins with the furthest end of the bins before it, so that no file is one task's work.
+    """
+    s = spans.where("path is not null and line_start is not null and line_end is not null").select(F.struct(*(F.col(f"`{c}`") for c in spans.columns)).alias("row"), "path", F.col("line_end").cast("long").alias("at"), F.col("line_start").cast("long").alias("low"))
+    h = hunks.where("path is not null and start is not null").select("path", F.col("start").cast("long").alias("at"), (F.col("start") + F.greatest("count", F.lit(1)) - 1).cast("long").alias("reach"))
+    e = h.withColumn("low", F.lit(None).cast("long")).unionByName(s, allowMissingColumns=True).withColumn("bin", F.floor(F.col("at") / BIN))
+    bins = e.groupBy("path", "bin").agg(F.max("reach").alias("furthest"))
+    before = F.max("furthest").over(Window.partitionBy("path").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    carried = bins.select("path", "bin", before.alias("before"))
+    reached = F.max("reach").over(Window.partitionBy("path", "bin").orderBy("at", F.asc_nulls_first("low")).rowsBetween(Window.unboundedPreceding, 0))
+    e = e.withColumn("reached", reached).where("low is not null").join(carried, ["path", "bin"])
+    return e.where(F.greatest("reached", "before") >= F.col("low")).select("row.*")
 
 
 def changed_symbols(base: DataFrame, head: DataFrame, diffs: DataFrame) -> DataFrame:

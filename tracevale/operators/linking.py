@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..functions.text import fold, stable_id
 WEIGHTS = {"route-exact": 0.75, "href-exact": 0.70, "text-exact": 0.65, "clue-element-exact": 0.60, "css-id": 0.55, "clue-element-sub": 0.35, "object-words": 0.30}
 STRONG = ("href-exact", "route-exact", "text-exact", "clue-element-exact")
 KEY = ["source", "target", "link_type"]
+#: Terms of an automaton, and names that a task reads with it, on average.
+TERMS, NAMES = 200_000, 1_000_000
 
 
 def link_type(kind: Column, file: Column) -> Column:
@@ -46,18 +50,28 @@ def ui_code_signals(elements: DataFrame, screens: DataFrame, symbols: DataFrame)
 def contained_in_names(terms: DataFrame, names: DataFrame) -> DataFrame:
     """(term, name) with the folded `term` a proper part of the folded `name`; each table has distinct values of its column.
 
-    Only names that share a three-letter piece with the term's start are compared, so nothing is compared with everything;
-    terms of under three letters are looked up among the names' pieces of their length.
+    Terms and names are dealt into parts of bounded size. Each task has one part of either: it builds an automaton over its
+    terms and reads its names once, whatever the terms' lengths and however many names have a piece in common.
     """
-
-    def pieces(c: Column, n: int) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
-
-    long = names.select("name", F.explode(pieces(F.col("name"), 3)).alias("piece"))
-    short = names.select("name", F.explode(F.array_distinct(F.concat(pieces(F.col("name"), 1), pieces(F.col("name"), 2)))).alias("piece"))
-    t = terms.where("term <> ''").select("term", F.substring("term", 1, 3).alias("piece"), F.char_length("term").alias("n"))
-    found = t.where("n >= 3").join(long, "piece").unionByName(t.where("n < 3").join(short, "piece"))
-    return found.where((F.instr("name", F.col("term")) > 0) & (F.col("name") != F.col("term"))).select("term", "name").distinct()
+    t, n = terms.where("term <> ''"), names.where("name <> ''")
+    of = {"terms": max(1, -(-t.count() // TERMS)), "names": max(1, -(-n.count() // NAMES))}
+    part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    t = t.select(part("term", of["terms"]).alias("i"), each(of["names"]).alias("j"), "term")
+    n = n.select(each(of["terms"]).alias("i"), part("name", of["names"]).alias("j"), "name")
+
+    def find(own: pa.Table, texts: pa.Table) -> pa.Table:
+        automaton = ahocorasick.Automaton()
+        for term in own["term"].to_pylist():
+            automaton.add_word(term, term)
+        found: list[tuple[str, str]] = []
+        if len(automaton):
+            automaton.make_automaton()
+            for name in texts["name"].to_pylist():
+                found += [(term, name) for term in {x for _, x in automaton.iter(name)} if term != name]
+        return pa.table({"term": pa.array([x for x, _ in found], pa.string()), "name": pa.array([x for _, x in found], pa.string())})
+
+    return t.groupBy("i", "j").cogroup(n.groupBy("i", "j")).applyInArrow(find, "term string, name string")
 
 
 def requirement_signals(requirements: DataFrame, elements: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """DuckDB SQL for the catalogue."""
 
+import re
+
 from .records import SQL as _RECORDS
 
 _PATH = r"CASE WHEN p = '/' THEN p ELSE regexp_replace(p, '/+$', '') END"
@@ -7,7 +9,17 @@ _URL = r"SELECT page_id, regexp_extract(url, '^([A-Za-z]+)://([^/?#]*)([^?#]*)(\
 _ELEMENTS = r"""e0 AS (SELECT CAST(page_id AS VARCHAR) AS screen, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS names FROM pages),
 e1 AS (SELECT screen, unnest(range(len(hrefs))) AS ord, unnest(hrefs) AS href, unnest(names) AS base FROM e0),
 e AS (SELECT screen, ord, 'link' AS role, base || CASE WHEN row_number() OVER w > 1 THEN ' #' || row_number() OVER w ELSE '' END AS name, href FROM e1 WINDOW w AS (PARTITION BY screen, lower(trim(base)) ORDER BY ord))"""
-_ID = "left(sha256(concat_ws(chr(31), {})), 16)"
+
+
+def _folded(sql: str) -> str:
+    """Lower-cased names with the case fold of the one letter of the tables that has another."""
+    return re.sub(r"lower\(trim\(([a-z_.]+)\)\)", r"replace(lower(trim(\1)), 'ß', 'ss')", sql)
+
+
+def _id(parts: str) -> str:
+    return f"left(sha256(concat_ws(chr(31), {parts})), 16)"
+
+
 _SIGNALS = """sig AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, l_linestatus || l_linenumber AS evidence,
   CASE l_returnflag WHEN 'A' THEN 'text-exact' WHEN 'N' THEN 'href-exact' ELSE 'css-id' END AS kind, CASE l_returnflag WHEN 'A' THEN 0.65::DOUBLE WHEN 'N' THEN 0.70::DOUBLE ELSE 0.55::DOUBLE END AS w FROM lineitem),
 best AS (SELECT source, target, evidence, max({'w': w, 'kind': kind}) AS s FROM sig GROUP BY ALL),
@@ -43,16 +55,16 @@ r AS (SELECT page_id, p, raw, NOT regexp_matches(p, '(?i)^/(user|admin|api|explo
 SELECT page_id, CASE WHEN p = '/user/login' THEN p WHEN own AND regexp_matches(p, '^/[^/]+/[^/]+/issues/new$') THEN '/{{owner}}/{{repo}}/issues/new' WHEN own AND regexp_matches(p, '^/[^/]+/[^/]+/issues/[0-9]+$') THEN '/{{owner}}/{{repo}}/issues/{{number}}'
  WHEN own AND regexp_matches(p, '^/[^/]+/[^/]+/issues$') THEN '/{{owner}}/{{repo}}/issues' WHEN own AND regexp_matches(p, '^/[^/]+/[^/]+$') THEN '/{{owner}}/{{repo}}' WHEN p = '/' THEN '/'
  ELSE array_to_string(list_transform(string_split(raw, '/'), lambda s: CASE WHEN regexp_full_match(s, '[0-9]+') THEN '{{number}}' ELSE s END), '/') END AS route FROM r""",
-    "q03_page_elements": f"WITH {_ELEMENTS} SELECT screen, ord, role, name, href, 'element:' || {_ID.format('lower(trim(screen)), role, lower(trim(name))')} AS id FROM e",
+    "q03_page_elements": f"WITH {_ELEMENTS} SELECT screen, ord, role, name, href, 'element:' || {_id('lower(trim(screen)), role, lower(trim(name))')} AS id FROM e",
     "q04_article_text": f"WITH {_ARTICLE} SELECT page_id, article FROM articles",
     "q05_evidence_links": f"WITH {_SIGNALS} SELECT source, target, confidence, method, evidence, review_status FROM banded",
     "q06_text_exact_links": rf"""WITH {_ELEMENTS}, d AS (SELECT lower(regexp_extract(text, '^(\S+)', 1)) AS name, min(doc_id) AS doc_id, count(*) AS n_docs FROM documents GROUP BY 1)
-SELECT DISTINCT 'element:' || {_ID.format('lower(trim(screen)), role, lower(trim(e.name))')} AS id, lower(trim(e.name)) AS name, d.doc_id, d.n_docs FROM e JOIN d ON lower(trim(e.name)) = d.name""",
+SELECT DISTINCT 'element:' || {_id('lower(trim(screen)), role, lower(trim(e.name))')} AS id, lower(trim(e.name)) AS name, d.doc_id, d.n_docs FROM e JOIN d ON lower(trim(e.name)) = d.name""",
     "q07_change_impact": """WITH g AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS n_elements, count(DISTINCT c_custkey) AS n_screens, max(1 - l_discount) AS confidence, bool_or(o_orderpriority = '1-URGENT') AS f
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1)
 SELECT p_partkey, p_name, n_elements, n_screens, confidence, CASE WHEN f AND confidence >= 0.8 THEN 'high' ELSE 'medium' END AS severity FROM part JOIN g ON p_partkey = l_partkey""",
     "q08_unmapped_changes": "SELECT p_partkey, p_brand, CASE WHEN p_size < 10 THEN 'no symbols extracted' ELSE 'no UI link found' END AS reason FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount >= 0.09)",
-    "q09_absences": f"SELECT doc_id, 'absence:' || {_ID.format('CAST(doc_id AS VARCHAR), ' + chr(39) + 'run-1' + chr(39))} AS id, 0.7::DOUBLE AS confidence FROM documents ANTI JOIN labels USING (doc_id)",
+    "q09_absences": f"SELECT doc_id, 'absence:' || {_id('CAST(doc_id AS VARCHAR), ' + chr(39) + 'run-1' + chr(39))} AS id, 0.7::DOUBLE AS confidence FROM documents ANTI JOIN labels USING (doc_id)",
     "q10_coverage": """SELECT CAST(c_custkey AS VARCHAR) AS requirement_id, coalesce(bool_or(o_orderstatus = 'F'), false) AS accepted, coalesce(bool_or(o_orderstatus = 'O'), false) AS pending,
  NOT coalesce(bool_or(o_orderstatus IN ('F', 'O')), false) AS absent FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""",
     "q11_transitions": f"WITH {_TRANS} SELECT source, target, count(*) AS n FROM tr GROUP BY ALL",
@@ -90,8 +102,8 @@ b AS (SELECT event_id, run, ts, row_number() OVER (PARTITION BY run ORDER BY ts,
     "q32_fallback_latch": "SELECT event_id, bool_or(event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS fallback FROM events",
     "q33_last_entries": "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 6",
     "q34_windowed_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
-    "q35_stable_ids": f"SELECT c_custkey, 'screen:' || {_ID.format('lower(trim(c_name)), lower(trim(c_mktsegment))')} AS id, CASE WHEN length(c_name) <= 12 THEN c_name ELSE left(c_name, 11) || '…' END AS label, CAST(round_even(c_nationkey / 40 * 100, 0) AS INTEGER) AS pct FROM customer",
-    "q36_recipe_policy": f"""WITH {_ELEMENTS}, k AS (SELECT *, CAST(screen AS BIGINT) % 2 = 0 AS found, 'element:' || {_ID.format('lower(trim(screen)), role, lower(trim(name))')} AS id FROM e),
+    "q35_stable_ids": f"SELECT c_custkey, 'screen:' || {_id('lower(trim(c_name)), lower(trim(c_mktsegment))')} AS id, CASE WHEN length(c_name) <= 12 THEN c_name ELSE left(c_name, 11) || '…' END AS label, CAST(round_even(c_nationkey / 40 * 100, 0) AS INTEGER) AS pct FROM customer",
+    "q36_recipe_policy": f"""WITH {_ELEMENTS}, k AS (SELECT *, CAST(screen AS BIGINT) % 2 = 0 AS found, 'element:' || {_id('lower(trim(screen)), role, lower(trim(name))')} AS id FROM e),
 m AS (SELECT *, CASE WHEN found AND (contains(lower(name), 'the') OR contains(lower(href), 'the')) THEN 'the' WHEN found AND (contains(lower(name), 'de') OR contains(lower(href), 'de')) THEN 'de' END AS word FROM k),
 b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY screen ORDER BY CASE word WHEN 'the' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, coalesce(lower(trim(name)) <> word, false), ord) = 1)
 SELECT CAST(page_id AS VARCHAR) AS state, b.id AS element_id, CASE WHEN b.id IS NULL THEN 'no viable unvisited candidate' WHEN word IS NULL THEN 'first unvisited non-blocked link rule' ELSE 'recipe keyword ''' || word || ''' matched candidate ''' || b.name || '''' END AS rationale,
@@ -103,7 +115,7 @@ UNION ALL SELECT s.id, t.id, type, 'route-exact', 'route:/' || p_brand, 0.75::DO
     "q38_findings": f"WITH {_RECORDS} SELECT symbol AS changed_symbol_id, array_to_string(affected, ',') AS affected, CASE WHEN f AND confidence >= 0.8 THEN 'high' WHEN e THEN 'medium' ELSE 'low' END AS severity, confidence, files FROM found",
     "q39_impact_rows": f"WITH {_RECORDS} SELECT change AS change_id, symbol AS symbol_id, element AS element_id, screen AS screen_id, flow AS flow_id, requirement AS requirement_id, conf AS mapping_confidence, pconf AS path_confidence FROM rows_",
     "q40_unmapped": f"WITH {_RECORDS} SELECT file, 'modified' AS change_type, CASE WHEN bare THEN 'no symbols extracted' ELSE 'no UI link found' END AS reason FROM changes WHERE id NOT IN (SELECT change FROM seeds JOIN links ON dst = symbol AND type <> 'implements')",
-    "q41_missing_requirements": f"WITH {_RECORDS} SELECT 'absence:' || {_ID.format("id, 'run-1'")} AS id, id AS requirement_id, CASE WHEN clued THEN lower(statement) ELSE statement END AS evidence, 0.7::DOUBLE AS confidence FROM requirements WHERE id NOT IN (SELECT src FROM links WHERE viable)",
+    "q41_missing_requirements": f"WITH {_RECORDS} SELECT 'absence:' || {_id("id, 'run-1'")} AS id, id AS requirement_id, CASE WHEN clued THEN lower(statement) ELSE statement END AS evidence, 0.7::DOUBLE AS confidence FROM requirements WHERE id NOT IN (SELECT src FROM links WHERE viable)",
     "q42_link_verdicts": f"""WITH {_RECORDS}, tr AS (SELECT DISTINCT lower(e.name) AS name, s.route, y.file FROM links l JOIN elements e ON e.id = l.src AND l.viable JOIN symbols y ON y.id = l.dst JOIN screens s ON s.id = e.screen_id),
 g AS (SELECT lower(c_name) AS name, s.route, 'f' || (c_custkey % 20) || '.go' AS file, c_custkey % 2 = 0 AS wanted FROM customer JOIN screens s ON s.id = 'n' || c_nationkey)
 SELECT g.name, g.route, g.file, CASE WHEN wanted THEN CASE WHEN tr.name IS NULL THEN 'missed' ELSE 'matched' END WHEN tr.name IS NULL THEN 'avoided' ELSE 'violation' END AS verdict FROM g LEFT JOIN tr USING (name, route, file)""",
@@ -145,3 +157,4 @@ r AS (SELECT run, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST
     CASE WHEN s.late OR r.goal = s.goal THEN r.seen ELSE CAST([] AS VARCHAR[]) END AS had, CASE WHEN s.late OR r.goal = s.goal THEN r.fallback ELSE false END AS held FROM r JOIN s ON s.run = r.run AND s.k = r.k + 1)))
 SELECT event_id, r.run, s.goal, reason = '' AS taken, reason, fallback, in_flow, in_run FROM r JOIN s USING (run, event_id) WHERE r.k > 0""",
 }
+ORACLE_SQL = {name: _folded(sql) for name, sql in ORACLE_SQL.items()}

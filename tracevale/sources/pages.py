@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable
+from itertools import count
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import collapse, fold, stable_id
 
@@ -35,9 +40,35 @@ def page_elements(pages: DataFrame) -> DataFrame:
     css = F.coalesce(F.concat(F.lit("#"), a["id"]), F.when(F.col("tag").isin("input", "select", "textarea"), F.concat("tag", F.lit("[name="), a["name"], F.lit("]"))), F.when(a["href"].isNull(), F.col("tag")))
     locator = F.map_filter(F.create_map(F.lit("testid"), a["data-testid"], F.lit("css"), css, F.lit("href"), F.when(F.col("tag") == "a", a["href"]), F.lit("text"), text), lambda _, v: v.isNotNull())
     e = e.select("screen", "ord", role(F.col("tag"), a["type"]).alias("role"), name.alias("base"), a["href"].alias("href"), kept.alias("attributes"), locator.alias("locator"))
-    n = F.row_number().over(Window.partitionBy("screen", "role", fold(F.col("base"))).orderBy("ord"))
-    e = e.withColumn("name", F.when(n > 1, F.concat("base", F.lit(" #"), n.cast("string"))).otherwise(F.col("base")))
-    return e.withColumn("id", stable_id("element", F.col("screen"), F.col("role"), F.col("name"))).drop("base")
+    return numbered(e).withColumn("id", stable_id("element", F.col("screen"), F.col("role"), F.col("name")))
+
+
+def free_names(elements: Iterable[tuple[str, str]]) -> list[str]:
+    """Names for the (role, name) of a page's elements, in order: a name that its role has already gets the next number that gives a free one."""
+    last: dict[tuple[str, str], int] = {}
+    taken: set[tuple[str, str]] = set()
+    out = []
+    for role_, base in elements:
+        role_, key = role_.strip().casefold(), base.strip().casefold()
+        n = last.get((role_, key), 0) + 1
+        numbers = (base if i == 1 else f"{base} #{i}" for i in count(n))
+        n, name = next((i, x) for i, x in enumerate(numbers, n) if (role_, x.strip().casefold()) not in taken)
+        last[role_, key] = n
+        taken.add((role_, name.strip().casefold()))
+        out.append(name)
+    return out
+
+
+def numbered(elements: DataFrame) -> DataFrame:
+    """Elements (screen, ord, role, base, ...) with a `name` in place of `base`, unlike the others of their screen and role; a page's elements are one group."""
+    schema = T.StructType([*(f for f in elements.schema if f.name != "base"), T.StructField("name", T.StringType())])
+
+    def name(t: pa.Table) -> pa.Table:
+        t = t.sort_by("ord")
+        names = free_names(zip((x or "" for x in t["role"].to_pylist()), (x or "" for x in t["base"].to_pylist()), strict=True))
+        return t.drop_columns(["base"]).append_column("name", pa.array(names, pa.string()))
+
+    return elements.groupBy("screen").applyInArrow(name, schema)
 
 
 #: Where a crawl may go, and the words of actions that destroy.
