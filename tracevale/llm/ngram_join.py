@@ -368,21 +368,24 @@ def signatures(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links, n_copies) of every row: documents that links of at least `percent` % similarity connect.
+    """(doc_id, n_shingles, component_id, n_links, n_copies, text_hash, kept) of every row: documents that links of at least `percent` % similarity connect.
 
-    `n_links` counts the other sets that a document's set links with, `n_copies` the other rows that have the same set.
+    `n_links` counts the other sets that a document's set links with, `n_copies` the other rows that have the same set. Of
+    each component one document is kept, that with the least doc_id (none comes last) and, of rows that share it, the least
+    hash of its text; rows equal in both are kept together. Documents without shingles are kept.
     """
     rows = materialize(document_sets(docs, shingle))
     classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("member"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()))
     links = materialize(class_links(docs, classes, shingle, percent))
     reached = components(links.where("b is not null").select("a", "b"))
-    named = classes.select("id", "first").join(reached, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("component", "id").alias("component"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = classes.select("id", "first", "member").join(reached, F.col("id") == F.col("node"), "left").select("id", "first", "member", F.coalesce("component", "id").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.min("member").alias("kept"))
     both = links.where("n is null").select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n")).unionByName(links.where("b is null").select(F.col("a").alias("id"), "n"))
     degree = both.groupBy("id").agg(F.sum("n").alias("n_links"))
     of_class = classes.join(named.select("id", "component").join(least, "component"), "id").join(degree, "id", "left")
-    of_class = of_class.select("c1", "c2", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
+    of_class = of_class.select("c1", "c2", "component_id", "kept", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
     out = rows.join(of_class, ["c1", "c2"], "left")
     empty = F.col("n") == 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *(F.when(empty, 0).otherwise(F.col(c)).cast("long").alias(c) for c in ("n_links", "n_copies")))
+    kept = empty | F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & F.col("text_hash").eqNullSafe(F.col("kept.text_hash"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *(F.when(empty, 0).otherwise(F.col(c)).cast("long").alias(c) for c in ("n_links", "n_copies")), "text_hash", kept.alias("kept"))

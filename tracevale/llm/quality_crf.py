@@ -300,13 +300,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_lines: in
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All rows and columns of `docs`, and the score; a column of its name is replaced."""
     docs = docs.drop(name)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    # columns by number, as names may hold anything
+    schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)), T.StructField("score", T.DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 texts = ((t.as_py() or "").encode() for t in batch.column(at))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(texts))], [*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(texts))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*schema.names[:-1]).mapInArrow(run, schema).toDF(*docs.columns, name)

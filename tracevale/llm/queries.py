@@ -20,7 +20,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=90).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=90).select("doc_id", "n_shingles", "component_id", "n_links", "n_copies")
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +82,4 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_top_k, op4_substring_dedup, op5_packing, op6_quality_classifier, op7_line_dedup, op8_warc, op9_html_extraction, op10_license_scan, op11_minhash, op12_phrase_collocations, op13_embedding_whitening)}
-ORACLE_SQL = {"op1_decontamination": sql.DECONTAMINATION, "op2_ngram_jaccard_join": sql.near_duplicates(3, 90), "op11_minhash": sql.near_duplicates(4, 80, kept=True), "op3_top_k": sql.TOP_K, "op4_substring_dedup": sql.SUBSTRING_DEDUP, "op7_line_dedup": sql.LINE_DEDUP, "op12_phrase_collocations": sql.COLLOCATIONS, "op9_html_extraction": sql.HTML_EXTRACTION, "op10_license_scan": sql.license_scan()}
+ORACLE_SQL = {"op1_decontamination": sql.DECONTAMINATION, "op2_ngram_jaccard_join": sql.near_duplicates(3, 90, counts=True), "op11_minhash": sql.near_duplicates(4, 80, kept=True), "op3_top_k": sql.TOP_K, "op4_substring_dedup": sql.SUBSTRING_DEDUP, "op7_line_dedup": sql.LINE_DEDUP, "op12_phrase_collocations": sql.COLLOCATIONS, "op9_html_extraction": sql.HTML_EXTRACTION, "op10_license_scan": sql.license_scan()}

@@ -39,18 +39,23 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
 """
 
-def near_duplicates(shingle: int, percent: int, kept: bool = False) -> str:
+def near_duplicates(shingle: int, percent: int, kept: bool = False, counts: bool = False) -> str:
+    more = ", w.doc_id = min(r.reached) AS kept" if kept else ""
+    if counts:
+        more += """, coalesce((SELECT count(DISTINCT y.s) FROM e JOIN s x ON x.doc_id = e.u JOIN s y ON y.doc_id = e.v WHERE e.u = w.doc_id AND x.s <> y.s), 0) AS n_links,
+       coalesce((SELECT count(*) - 1 FROM s x JOIN s y ON x.s = y.s WHERE x.doc_id = w.doc_id HAVING count(*) > 0), 0) AS n_copies"""
     return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < {shingle} THEN array_to_string(w, ' ') ELSE array_to_string(w[o:o + {shingle - 1}], ' ') END AS k
       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {shingle - 1}, 1) + 1)) AS o FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+s AS (SELECT doc_id, md5(string_agg(k, chr(31) ORDER BY k)) AS s FROM g GROUP BY doc_id),
 rare AS (SELECT k FROM g GROUP BY k HAVING count(*) >= 2),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN rare USING (k) JOIN g b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
 l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
 e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS node, doc_id AS reached FROM w UNION SELECT e.v, r.reached FROM r JOIN e ON e.u = r.node)
-SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.reached) AS component_id{", w.doc_id = min(r.reached) AS kept" if kept else ""}
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.reached) AS component_id{more}
 FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.node = w.doc_id GROUP BY w.doc_id
 """
 
