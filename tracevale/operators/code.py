@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 #: Declarations by file suffix: pattern of a line, group of the name, kind (null: only ends the symbol before).
 DECLARATIONS = {
-    ".go": ((r"^func\s+\([^)]*?\*?(\w+)(?:\[[^\]]*\])?\)\s*(\w+)", 2, "method"), (r"^func\s+(\w+)", 1, "function"), (r"^type\s+(\w+)", 1, "type"), (r"^(?:var|const)\b", 0, None)),
-    ".ts": ((r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)", 1, "function"), (r"^(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>", 1, "function")),
+    ".go": ((r"(?U)^func \(\s*\w+\s+\*?(\w+)\s*\) (\w+)\(", 2, "method"), (r"(?U)^func (\w+)\(", 1, "function"), (r"(?U)^type (\w+) ", 1, "type"), (r"(?U)^(?:func|type|var|const)\b", 0, None)),
+    ".ts": ((r"(?U)^(?:export )?(?:async )?function (\w+)", 1, "function"), (r"(?U)^(?:export )?const (\w+) = (?:async )?\(", 1, "function")),
 }
-#: Fixed value: a block of a template, of which a line can hold several.
-DEFINE = r"""\{\{-?\s*define\s+"([^"]+)"""
+#: A block of a template, of which a line can hold several; what ends a line, for counting lines.
+DEFINE = r"""(?U)\{\{\s*define\s+"([^"]+)"\s*\}\}"""
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 WHOLE_FILE = {".tmpl": "template", ".ts": "ts_module"}
 ANCHORS_KEPT = 40
 #: Lines of a file whose spans and hunks are swept together.
@@ -20,12 +21,16 @@ BIN = 4096
 
 def line_count(content: Column) -> Column:
     """Lines of a text, at least 1; a line end at the text's end begins no line."""
-    n = F.size(F.split(content, "\n"))
-    return F.greatest(F.lit(1), F.when(content.endswith("\n"), n - 1).otherwise(n))
+    lines = F.split(content, LINE_END)
+    return F.greatest(F.lit(1), F.size(lines) - (F.element_at(lines, -1) == "").cast("int"))
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """(path, qualified_name, kind, line_start, line_end) of files (path, content): each declaration up to the next one."""
+    """(path, qualified_name, kind, line_start, line_end) of files (path, content): each declaration up to the next one.
+
+    A declaration that isn't a symbol (a variable, a generic function, a group of types) ends the one before it as well. A
+    block of a template ends before the line of the next block, which can be its own.
+    """
     lines = files.select("path", line_count(F.col("content")).alias("n_lines"), F.posexplode(F.split("content", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
     name, kind, known = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False)
     for suffix, rules in DECLARATIONS.items():
@@ -38,7 +43,7 @@ def symbols(files: DataFrame) -> DataFrame:
     blocks = lines.where(F.col("path").endswith(".tmpl")).select("path", "n_lines", "line", F.posexplode(F.regexp_extract_all("text", F.lit(DEFINE), F.lit(1))).alias("nth", "qualified_name"))
     d = d.unionByName(blocks.withColumn("kind", F.lit("template_block")))
     following = F.lead("line").over(Window.partitionBy("path").orderBy("line", "nth"))
-    end = F.when(following.isNull(), F.col("n_lines")).otherwise(F.greatest(following - 1, F.col("line")))
+    end = F.coalesce(following - 1, F.col("n_lines"))
     d = d.select("path", "qualified_name", "kind", F.col("line").alias("line_start"), end.alias("line_end")).where("kind is not null")
     whole = F.lit(None).cast("string")
     for suffix, k in WHOLE_FILE.items():
@@ -67,11 +72,11 @@ def touched(spans: DataFrame, hunks: DataFrame) -> DataFrame:
 
 
 def changed_symbols(base: DataFrame, head: DataFrame, diffs: DataFrame) -> DataFrame:
-    """Symbols that a diff touches: of the old file, and those new in the new file; renamed files have none."""
+    """Symbols that a diff touches, with the `side` they are of: of the old file, and those new in the new file; renamed files have none."""
     side = lambda types, s, n: diffs.where(F.col("change_type").isin(*types)).select("path", F.explode("hunks").alias("h")).select("path", F.col(f"h.{s}").alias("start"), F.col(f"h.{n}").alias("count"))
     old = touched(base, side(["modified", "deleted"], "old_start", "old_count"))
     new = touched(head, side(["modified", "added"], "new_start", "new_count"))
-    return old.unionByName(new.join(old, ["path", "qualified_name"], "left_anti").select(*old.columns))
+    return old.withColumn("side", F.lit("old")).unionByName(new.join(old, ["path", "qualified_name"], "left_anti").select(*old.columns).withColumn("side", F.lit("new")))
 
 
 def span_text(content: Column, start: Column, end: Column) -> Column:

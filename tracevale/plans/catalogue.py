@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import code, docs, evals, gold, graph, impact, linking, lookups, policy, report
-from ..sources import code_files, store
+from ..sources import code_files, diffs, store
 from ..sources import pages as pg
 from ..streaming import agent, replay
 from .records import records
@@ -406,4 +406,25 @@ def q57_agent_replay(spark, sf_dir):
     return got.select(F.col("seq").alias("event_id"), "run", "goal", "taken", F.coalesce("reason", F.lit("")).alias("reason"), "fallback", "in_flow", "in_run")
 
 
+def q58_code_index(spark, sf_dir):
+    """Conversations as source files in two versions, one function a turn: some files changed, some new, some gone; from diffs to anchors."""
+    c = t(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    route = F.concat(F.lit('\tm.Get("/c/'), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit('", f)'))
+    body = lambda line: F.concat(F.lit("func t"), F.col("turn").cast("string"), F.lit("() {\n"), line, F.lit("\n}\n"))
+    parts = c.select("conv_id", F.struct("turn", body(F.lit("\tx")).alias("old"), body(F.when(F.col("turn") % 4 == 1, route).otherwise(F.lit("\tx"))).alias("new")).alias("f"))
+    f = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list("f")).alias("f")).withColumn("path", F.concat(F.lit("routers/c"), F.col("conv_id").cast("string"), F.lit(".go")))
+    text_of = lambda v: F.concat(F.lit("package x\n"), F.array_join(F.transform("f", lambda x: x[v]), ""))
+    kind = F.col("conv_id") % 5
+    files = f.where(kind != 1).select(F.lit("b").alias("sha"), "path", text_of("old").alias("content")).unionByName(f.where(kind != 0).select(F.lit("h").alias("sha"), "path", text_of("new").alias("content")))
+    lines = (3 * F.size("f") + 1).cast("string")
+    hunks = F.array_join(F.filter(F.transform("f", lambda x, i: F.when(x["turn"] % 4 == 1, F.concat(F.lit("@@ -"), (3 * i + 3).cast("string"), F.lit(" +"), (3 * i + 3).cast("string"), F.lit(" @@\n-\tx\n+\ty\n")))), lambda h: h.isNotNull()), "")
+    section = F.when(kind == 0, F.concat(F.lit("deleted file mode 100644\n--- a/"), "path", F.lit("\n+++ /dev/null\n@@ -1,"), lines, F.lit(" +0,0 @@\n")))
+    section = section.when(kind == 1, F.concat(F.lit("new file mode 100644\n--- /dev/null\n+++ b/"), "path", F.lit("\n@@ -0,0 +1,"), lines, F.lit(" @@\n")))
+    section = section.otherwise(F.concat(F.lit("--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n"), hunks))
+    texts = f.select(F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n"), section).alias("value"))
+    none = spark.createDataFrame([], "key string, text string")
+    found = code_files.index(diffs.file_diffs(texts), files, none, "b", "h")
+    return found.withColumn("ui_anchors", F.array_join("ui_anchors", ","))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit()}

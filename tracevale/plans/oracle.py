@@ -156,5 +156,9 @@ r AS (SELECT run, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST
    SELECT s.run, s.k, s.event_id, s.pair, s.name, s.late, s.outage, r.in_run, CASE WHEN s.late THEN r.goal ELSE s.goal END AS goal, CASE WHEN s.late OR r.goal = s.goal THEN r.in_flow ELSE 0 END AS n,
     CASE WHEN s.late OR r.goal = s.goal THEN r.seen ELSE CAST([] AS VARCHAR[]) END AS had, CASE WHEN s.late OR r.goal = s.goal THEN r.fallback ELSE false END AS held FROM r JOIN s ON s.run = r.run AND s.k = r.k + 1)))
 SELECT event_id, r.run, s.goal, reason = '' AS taken, reason, fallback, in_flow, in_run FROM r JOIN s USING (run, event_id) WHERE r.k > 0""",
+    "q58_code_index": f"""WITH f AS (SELECT conv_id, turn, conv_id % 5 AS kind, 'routers/c' || conv_id || '.go' AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+g AS (SELECT *, CASE WHEN kind = 1 THEN 'h' ELSE 'b' END AS repo_sha, 't' || turn AS qualified_name FROM f WHERE kind IN (0, 1) OR turn % 4 = 1)
+SELECT 'symbol:' || {_id("repo_sha, file, qualified_name")} AS id, repo_sha, file, qualified_name, 'function' AS kind, CAST(3 * i + 2 AS INTEGER) AS line_start, CAST(3 * i + 4 AS INTEGER) AS line_end,
+  CASE WHEN kind <> 0 AND turn % 4 = 1 THEN 'route:/c/' || conv_id || '/' || turn ELSE '' END AS ui_anchors FROM g""",
 }
 ORACLE_SQL = {name: _folded(sql) for name, sql in ORACLE_SQL.items()}
