@@ -9,8 +9,9 @@ alike share none with a probability below 1e-7, and less the more alike they are
 found by 128 bits of hash, and need no band. Links are confirmed on whole sets.
 
 Only what links connect is asked for, so a bucket needs no pair within one component. Each bucket's members are first
-compared with one of them, twice with different ones, which connects a large group of copies in time linear in its size.
-What is then left apart in a bucket of up to BLOCK members is compared in pairs. In larger ones, members must share a second
+compared with one of them, which connects a large group of copies in time linear in its size. What is then left apart in a
+bucket of up to BLOCK members is compared in pairs, first by parities of the sets' hashes on a bitmap, which bound their
+difference from below, so that only pairs that can link are looked at with their sets. In larger ones, members must share a second
 band as well (documents 80 % alike don't with a probability of about 1e-6), and buckets of two bands that are still larger are
 compared block by block, those of its largest component only with the rest.
 
@@ -30,11 +31,13 @@ from pyspark.sql import functions as F
 
 from ._shared import materialize, mix, signed
 from .components import components
-from .ngram_join import BLOCK_BYTES, _of_bytes, class_names, overlaps, row_products, row_sets, sets_of
+from .ngram_join import BLOCK_BYTES, _of_bytes, class_names, differences, may_link, overlaps, row_products, row_sets, sets_of, signature
 
 #: Members of a bucket that are compared in pairs, and of a block.
 BLOCK = 256
 BANDS, ROWS = 32, 4
+#: Most 64-bit words of a set's parities.
+PARITY_WORDS = 128
 #: What makes the first permutation another one than the second, and multipliers of the second.
 SIGMA, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
@@ -71,8 +74,16 @@ def band_names(sig: np.ndarray, rows: int) -> np.ndarray:
     return signed(name)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """A set's `signature`, folded to PARITY_WORDS."""
+    x = np.frombuffer(signature(s), np.uint64)
+    while len(x) > PARITY_WORDS:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
 def document_bands(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text_hash, n, c1, c2, bands): the size and name of every row's set, and its bands."""
+    """(doc_id, text_hash, n, c1, c2, bands, parity): the size and name of every row's set, its bands and parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,9 +91,10 @@ def document_bands(docs: DataFrame, shingle: int, bands: int, rows: int) -> Data
                 n = np.diff(at)
                 of = band_names(signatures(s, at, bands * rows), rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * bands)]).astype(np.int32)), pa.array(of.ravel(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, len(n)) for i in (0, 2)), pa.array(n), *map(pa.array, class_names(s, at)), lists], ["doc_id", "text_hash", "n", "c1", "c2", "bands"])
+                parity = pa.array([parities(s[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, len(n)) for i in (0, 2)), pa.array(n), *map(pa.array, class_names(s, at)), lists, parity], ["doc_id", "text_hash", "n", "c1", "c2", "bands", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n long, c1 long, c2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n long, c1 long, c2 long, bands array<long>, parity binary")
 
 
 def buckets(entries: DataFrame) -> DataFrame:
@@ -90,30 +102,49 @@ def buckets(entries: DataFrame) -> DataFrame:
     return entries.join(entries.groupBy("s").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "s")
 
 
-def star(members: DataFrame, head, percent: int) -> DataFrame:
-    """(a, b): each row of `members` (s, id, n) with the one that `head` takes of its bucket, where sizes let them link."""
-    heads = members.groupBy("s").agg(head(F.struct("id", "n")).alias("head"))
+def star(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each row of `members` (s, id, n) with the least id of its bucket, where sizes let them link."""
+    heads = members.groupBy("s").agg(F.min(F.struct("id", "n")).alias("head"))
     pairs = members.join(heads, "s").select(F.col("id").alias("a"), "n", F.col("head.id").alias("b"), F.col("head.n").alias("m"))
     return pairs.where((F.col("a") != F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("a", "b").distinct()
 
 
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parities don't rule a link out."""
+    for x in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("id").alias(x), F.struct("n", "parity").alias(f"of_{x}")), x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (n, x), (m, y) = (batch.column(i).flatten() for i in (2, 3))
+            keep = [may_link(i.as_py() + j.as_py(), differences(_of_bytes(p), _of_bytes(q)), percent) for i, p, j, q in zip(n, x, m, y, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
 def several(members: DataFrame) -> DataFrame:
     """The rows (s, id, n, component) of buckets that hold more than one component, with their number `rows`."""
     mixed = members.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y")
     return members.select("s", "id", "n", "component").join(mixed.select("s", "rows"), "s")
 
 
-def pairs_apart(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components in the buckets (s, id, n, component), each of BLOCK rows at most."""
+def pairs_apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components in the buckets (s, id, n, component), each of BLOCK rows at most, that may link."""
 
     def pair(t: pa.Table) -> pa.Table:
-        ids, n, of = (t[c].to_numpy() for c in ("id", "n", "component"))
-        i, j = np.triu_indices(len(ids), 1)
-        fits = (of[i] != of[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-        i, j = i[fits], j[fits]
+        ids, n, of, parity = *(t[c].to_numpy() for c in ("id", "n", "component")), [_of_bytes(x) for x in t["parity"]]
+        short = min(map(len, parity))
+        folded = np.array([np.bitwise_xor.reduce(x.reshape(-1, short), axis=0) for x in parity])
+        out = []
+        for i in range(len(ids) - 1):
+            fits = (of[i + 1 :] != of[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
+            fits &= may_link(n[i + 1 :] + n[i], np.bitwise_count(folded[i + 1 :] ^ folded[i]).sum(axis=1), percent)
+            out += [(i, j) for j in (i + 1 + np.flatnonzero(fits)).tolist() if may_link(int(n[i] + n[j]), differences(parity[i], parity[j]), percent)]
+        i, j = np.array(out, np.int64).reshape(-1, 2).T
         return pa.table({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
-    return members.select("s", "id", "n", "component").groupBy("s").applyInArrow(pair, "a long, b long").distinct()
+    return members.join(classes.select("id", "parity"), "id").select("s", "id", "n", "component", "parity").groupBy("s").applyInArrow(pair, "a long, b long").distinct()
 
 
 def blocks_apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -154,9 +185,9 @@ def blocks_apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect `classes` (id, n, c1, c2, member, bands) as all links between them do."""
+    """Links (a, b) that connect `classes` (id, n, c1, c2, member, bands, parity) as all links between them do."""
     members = materialize(buckets(classes.select("id", "n", F.explode("bands").alias("s"))))
-    pairs = materialize(star(members, F.min, percent).unionByName(star(members, F.max, percent)).distinct())
+    pairs = materialize(possible(star(members, percent), classes, percent))
     sets = sets_of_ids(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), shingle)
     links = materialize(row_products(pairs, sets, percent))
     m = members.select("s", "id", "n").join(components(links).withColumnRenamed("node", "id"), "id", "left")
@@ -167,7 +198,7 @@ def class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int)
     second = second.withColumn("s2", F.explode("bands")).where("s1 <> s2").select(F.xxhash64(F.least("s1", "s2"), F.greatest("s1", "s2")).alias("s"), "id", "n", "component").distinct()
     both = materialize(left.where(F.col("rows") <= BLOCK).unionByName(several(second)))
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    few, large = materialize(pairs_apart(both.where(F.col("rows") <= BLOCK), percent).join(done, ["a", "b"], "left_anti")), both.where(F.col("rows") > BLOCK)
+    few, large = materialize(pairs_apart(both.where(F.col("rows") <= BLOCK), classes, percent).join(done, ["a", "b"], "left_anti")), both.where(F.col("rows") > BLOCK)
     needed = few.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct().join(sets.select("id"), "id", "left_anti")
     sets = sets.unionByName(sets_of_ids(docs, classes, needed, shingle))
     return links.unionByName(row_products(few, sets, percent)).unionByName(blocks_apart(large, sets, percent))
@@ -182,7 +213,7 @@ def sets_of_ids(docs: DataFrame, classes: DataFrame, ids: DataFrame, shingle: in
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: documents that links of at least `percent` % similarity connect."""
     all_rows = materialize(document_bands(docs, shingle, bands, rows))
-    classes = all_rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("member"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = all_rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("member"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()))
     reached = components(class_links(docs, classes, shingle, percent))
     named = classes.select("id", "c1", "c2", "first").join(reached, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
