@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tracevale.operators import code, linking
+from tracevale.operators import code, evals, linking
 from tracevale.sources import pages
 
 
@@ -61,3 +61,28 @@ def test_numbered_elements_of_a_page(spark):
     html = "".join(f"<a href='/{i}'>{t}</a>" for i, t in enumerate(["x", "x #2", "x", "y", "x"])) + "<button>x</button>"
     got = pages.page_elements(spark.createDataFrame([("s", html), ("t", html), ("u", None)], "screen string, html string")).orderBy("screen", "ord").collect()
     assert [r.name for r in got] == ["x", "x #2", "x #3", "y", "x #4", "x"] * 2 and len({r.id for r in got}) == 12
+
+
+def test_stability_of_many_runs(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["p", "q", None]), r, rng.choice([*range(12), None])) for r in range(7) for _ in range(rng.randrange(1, 25))] + [("one", 1, 5), ("one", 1, 6), ("bare", 1, None), ("bare", 2, None), ("bare", 3, 1)]
+    got = {r.category: r.stability for r in evals.stability(spark.createDataFrame(rows, "category string, run long, item long")).collect()}
+    for c in {r[0] for r in rows}:
+        sets = {}
+        for k, run, i in rows:
+            if k == c:
+                sets.setdefault(run, set()).update({i} - {None})
+        each = [len(x & y) / len(x | y) if x | y else 1.0 for a, x in sets.items() for b, y in sets.items() if a < b]
+        assert got[c] == pytest.approx(min(each, default=1.0)), c
+
+
+def test_stability_of_large_runs(spark):
+    rows = spark.range(2_000_000).selectExpr("'c' as category", "id % 4 as run", "if(id % 40 = 0, id, id div 4) as item")
+    assert 0.7 < evals.stability(rows).first().stability < 0.9
+
+
+def test_locales_of_ten_levels(spark):
+    text = "".join(f'{{"k{i}": ' for i in range(10)) + '"deep"' + "}" * 10
+    rows = [(text,), ('{"a": "x", "b": {"c": "y", "n": 1, "l": ["z"], "o": {}}, "e": null}',), ("[1]",), ('"s"',), (None,), ("{",), ('{"a.b": "q", "": "r"}',), ("[" * 100_000,)]
+    got = sorted(map(tuple, code.flat_locales(spark.createDataFrame(rows, "value string")).collect()))
+    assert got == [("a", "x"), ("a.b", "q"), ("b.c", "y"), (".".join(f"k{i}" for i in range(10)), "deep")]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,14 +140,29 @@ def resolve_locales(rows: DataFrame, locales: DataFrame) -> DataFrame:
     return a.unionByName(text).distinct()
 
 
+def string_leaves(text: str | None) -> list[tuple[str, str]]:
+    """(dotted path, text) of the string leaves of a JSON object, in order; none of anything else, or of what isn't JSON."""
+    try:
+        rest = [("", json.loads(text or ""))]
+    except (ValueError, RecursionError):
+        return []
+    out = []
+    while rest:
+        path, value = rest.pop()
+        if isinstance(value, dict):
+            rest += [(f"{path}.{k}" if path else k, v) for k, v in reversed(value.items())]
+        elif isinstance(value, str) and path:
+            out.append((path, value))
+    return out
+
+
 def flat_locales(files: DataFrame) -> DataFrame:
-    """(key, text) of nested JSON texts in column `value`: dotted paths of string leaves; malformed texts give none."""
-    v = files.select(F.try_parse_json("value").alias("v")).where("v is not null")
-    leaves, level = None, v.select(F.lit("").alias("key"), "v")
-    while True:  # a level at a time, as deep as the texts go
-        level = level.sparkSession.sql("SELECT concat(if(l.key = '', '', concat(l.key, '.')), e.key) AS key, e.value AS v FROM {level} l, LATERAL variant_explode(l.v) e WHERE e.key IS NOT NULL", level=level)
-        found = level.where("schema_of_variant(v) = 'STRING'").select("key", F.expr("variant_get(v, '$', 'string')").alias("text"))
-        leaves = found if leaves is None else leaves.unionByName(found)
-        level = level.where("schema_of_variant(v) like 'OBJECT%'")
-        if level.isEmpty():
-            return leaves
+    """(key, text) of nested JSON texts in column `value`: dotted paths of string leaves, however deep; malformed texts give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                found = string_leaves(text.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["key", "text"])
+
+    return files.select("value").mapInArrow(run, "key string, text string")

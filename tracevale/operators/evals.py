@@ -39,12 +39,30 @@ def pairwise_jaccard(members: DataFrame, run: str, member: str) -> DataFrame:
     return s.select("a", "b", "shared", ratio(F.col("shared"), F.col("na") + F.col("nb") - F.col("shared")).alias("jaccard"))
 
 
+def run_overlaps(signatures: DataFrame) -> DataFrame:
+    """(category, a, b, jaccard) of all pairs of runs a < b of a category, of (run, category, item) rows.
+
+    Items are only counted by which runs have them: one shuffle of the items, whatever their number, and then as many rows as
+    there are different sets of runs. Runs without a common item have index 0, runs without any item 1.
+    """
+    there = signatures.select("category", "run").where("run is not null").distinct()
+    having = signatures.where("item is not null and run is not null").groupBy("category", "item").agg(F.array_sort(F.collect_set("run")).alias("runs"))
+    counts = having.groupBy("category", "runs").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.select("category", F.explode("runs").alias("run"), "n").groupBy("category", "run").agg(F.sum("n").alias("n"))
+    sizes = there.alias("t").join(sizes.alias("s"), F.col("t.category").eqNullSafe(F.col("s.category")) & (F.col("t.run") == F.col("s.run")), "left").select("t.category", "t.run", F.coalesce("n", F.lit(0)).alias("n"))
+    pair = F.flatten(F.transform("runs", lambda a: F.transform(F.filter("runs", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    shared = counts.where(F.size("runs") > 1).select("category", "n", F.explode(pair).alias("p")).groupBy("category", "p").agg(F.sum("n").alias("both"))
+    a, b = (sizes.select(F.col("category").alias(f"c{k}"), F.col("run").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
+    pairs = a.join(b, F.col("ca").eqNullSafe(F.col("cb")) & (F.col("a") < F.col("b"))).join(shared, F.col("ca").eqNullSafe(F.col("category")) & (F.struct("a", "b") == F.col("p")), "left")
+    both = F.coalesce("both", F.lit(0))
+    return pairs.select(F.col("ca").alias("category"), "a", "b", ratio(both, F.col("na") + F.col("nb") - both).alias("jaccard"))
+
+
 def stability(signatures: DataFrame) -> DataFrame:
     """(category, stability): least Jaccard index over all pairs of runs, of (run, category, item) rows; 1 for a single run."""
-    sets = signatures.groupBy("category", "run").agg(F.collect_set("item").alias("items"))
-    a, b = (sets.select("category", F.col("run").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
-    pairs = a.join(b, "category").where("a < b").groupBy("category").agg(F.min(jaccard(F.col("items_a"), F.col("items_b"))).alias("least"))
-    return sets.select("category").distinct().join(pairs, "category", "left").select("category", F.coalesce("least", F.lit(1.0)).alias("stability"))
+    least = run_overlaps(signatures).groupBy(F.col("category").alias("c")).agg(F.min("jaccard").alias("least"))
+    found = signatures.select("category").distinct().join(least, F.col("category").eqNullSafe(F.col("c")), "left")
+    return found.select("category", F.coalesce("least", F.lit(1.0)).alias("stability"))
 
 
 def check_rows(checks: DataFrame) -> DataFrame:
