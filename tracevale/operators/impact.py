@@ -57,13 +57,14 @@ def severity(has_flow, confidence, has_element):
 def findings(rows: DataFrame) -> DataFrame:
     """One finding for each changed symbol that affects anything."""
     ids = F.array_compact(F.array("element_id", "screen_id", "flow_id", "requirement_id"))
-    g = rows.withColumn("ids", ids).groupBy("symbol_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("affected_entity_ids"), F.max("mapping_confidence").alias("confidence"),
+    affected = rows.select("symbol_id", F.explode(ids).alias("id")).distinct().groupBy("symbol_id").agg(F.array_sort(F.collect_list("id")).alias("affected_entity_ids"))
+    g = rows.groupBy("symbol_id").agg(
+        F.max("mapping_confidence").alias("confidence"),
         F.bool_or(F.col("flow_id").isNotNull()).alias("has_flow"), F.bool_or(F.col("element_id").isNotNull()).alias("has_element"),
         F.array_join(F.array_sort(F.collect_set("file")), ", ").alias("files"),
     )
     p = best_paths(rows).groupBy("symbol_id").agg(F.array_sort(F.collect_list(F.struct("element_id", "path"))).alias("p")).select("symbol_id", F.transform("p", lambda x: x["path"]).alias("path_entity_ids"))
-    g = g.where("size(affected_entity_ids) > 0").join(p, "symbol_id", "left").withColumn("severity", severity(F.col("has_flow"), F.col("confidence"), F.col("has_element")))
+    g = g.join(affected, "symbol_id").join(p, "symbol_id", "left").withColumn("severity", severity(F.col("has_flow"), F.col("confidence"), F.col("has_element")))
     return g.select(stable_id("impact", F.col("symbol_id"), list_repr(F.col("affected_entity_ids"))).alias("id"), F.col("symbol_id").alias("changed_symbol_id"), "path_entity_ids", "affected_entity_ids", "severity", "confidence", "files")
 
 

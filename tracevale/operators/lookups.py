@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import shorten
+from ..functions.text import collapse, shorten
 
 #: What stands for an entity without a name, and the column that names each kind.
 NAMES = {"element": ("name", "Unnamed element"), "screen": ("route_pattern", "Unknown route"), "flow": ("goal", "Unnamed flow"), "requirement": ("statement", "Unnamed requirement")}
@@ -40,10 +40,13 @@ def ordered_ids(paths: Column, affected: Column) -> Column:
     return F.array_distinct(F.concat(F.flatten(F.coalesce(paths, F.array().cast("array<array<string>>"))), F.coalesce(affected, empty)))
 
 
-def shown(findings: DataFrame, labels: DataFrame, kind: str, most: int, places: bool = True) -> DataFrame:
-    """(id, labels, more): a finding's labels of one kind as first met, with the number of places of those in several; `most` of them, and how many more."""
+def shown(findings: DataFrame, labels: DataFrame, kind: str, most: int, places: bool = True, width: int | None = 40) -> DataFrame:
+    """(id, labels, more): a finding's labels of one kind as first met, with the number of places of those in several; `most` of them, and how many more.
+
+    Labels are cut to `width` characters, if there is one. Findings without such labels have no row.
+    """
     e = findings.select("id", F.posexplode(ordered_ids(F.col("path_entity_ids"), F.col("affected_entity_ids"))).alias("at", "entity"))
-    label = F.coalesce(F.nullif(shorten(F.col("label")), F.lit("")), F.lit(NAMES[kind][1]))
+    label = F.coalesce(F.nullif(shorten(F.col("label"), width) if width else collapse(F.col("label")), F.lit("")), F.lit(NAMES[kind][1]))
     e = e.join(labels.where(F.col("kind") == kind).select(F.col("id").alias("entity"), label.alias("label")), "entity")
     n = e.groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     text = F.when((F.col("n") > 1) & places, F.concat("label", F.lit(" ("), F.col("n").cast("string"), F.lit(" places)"))).otherwise(F.col("label"))
