@@ -86,3 +86,12 @@ def test_locales_of_ten_levels(spark):
     rows = [(text,), ('{"a": "x", "b": {"c": "y", "n": 1, "l": ["z"], "o": {}}, "e": null}',), ("[1]",), ('"s"',), (None,), ("{",), ('{"a.b": "q", "": "r"}',), ("[" * 100_000,)]
     got = sorted(map(tuple, code.flat_locales(spark.createDataFrame(rows, "value string")).collect()))
     assert got == [("a", "x"), ("a.b", "q"), ("b.c", "y"), (".".join(f"k{i}" for i in range(10)), "deep")]
+
+
+@pytest.mark.parametrize(
+    ("href", "want"),
+    [("/a", ("h.x", "/a")), ("b/../c", ("h.x", "/r/c")), ("?q", ("h.x", "/r/s")), ("#f", ("h.x", "/r/s")), ("//o/p", ("o", "/p")), ("HTTP://O:8/", ("o", "/")), ("https://o", ("o", "/")), ("mailto:a@b", ("", "a@b")), ("../../../z", ("h.x", "/z")), ("http://[", ("", "/")), ("", None), (None, None)],
+)
+def test_targets_of_links(spark, href, want):
+    got = spark.createDataFrame([("https://h.x/r/s", href)], "b string, h string").select(pages.target(F.col("b"), F.col("h")).alias("t")).first().t
+    assert (got and tuple(got)) == want

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import code, docs, evals, gold, graph, impact, linking, lookups, policy, report
-from ..sources import code_files, diffs, store
+from ..sources import code_files, diffs, record_files, store
 from ..sources import pages as pg
 from ..streaming import agent, replay
 from .records import records
@@ -427,4 +427,35 @@ def q58_code_index(spark, sf_dir):
     return found.withColumn("ui_anchors", F.array_join("ui_anchors", ","))
 
 
+def q59_link_targets(spark, sf_dir):
+    """Pages' links, some made relative, of other hosts or without one, resolved against an address of the page's host and judged."""
+    e = _elements(spark, sf_dir).where("role = 'link'").join(t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("screen"), urls.part(F.col("url"), 3).alias("base")), "screen")
+    kinds = ("https://Elsewhere.example:80{}", "//{base}{}", "..{}", "mailto:{}", "/admin{}", "{}")
+    made = F.element_at(F.array(*(F.concat(F.lit(k.split("{}")[0].replace("{base}", "")), *([F.col("base")] if "{base}" in k else []), F.col("href")) for k in kinds)), (F.col("ord") % 6 + 1).cast("int"))
+    e = e.withColumn("to", pg.target(F.concat(F.lit("https://"), "base", F.lit("/x/y?z")), made))
+    seen = F.row_number().over(Window.partitionBy("screen", text.base_name(F.col("name"))).orderBy("ord")) > 1
+    reason = pg.blocked_reason(F.col("role"), F.col("name"), F.col("to.host"), F.lower("base"), F.col("to.path"), seen, prefixes=("/",))
+    return e.select("screen", F.col("ord").cast("long").alias("ord"), "to.host", "to.path", F.coalesce(reason, F.lit("ok")).alias("reason"))
+
+
+def q60_report(spark, sf_dir):
+    """The report of all findings and unmapped changes, block by block."""
+    r = records(spark, sf_dir)
+    labels = lookups.entity_labels({"element": r["elements"], "screen": r["screens"], "flow": r["flows"], "requirement": r["requirements"]})
+    context = {"pr": {"pr_number": 1, "files_changed": 3}, "stats": {"flows": 25, "requirements": 5}}
+    return report.blocks(_findings(spark, sf_dir), impact.unmapped(r["changes"], r["symbols"], r["links"]), labels, context)
+
+
+def q61_records_by_id(spark, sf_dir):
+    """Customers as records of elements, a file each, written twice, read back in the order of their files."""
+    root = store.scratch(spark)
+    c = t(spark, sf_dir, "customer").selectExpr(
+        "concat('element:', lpad(c_custkey, 8, '0')) as id", "'1.0.0' as schema_version", "concat('r', c_custkey % 3) as run_id", "'crawler' as source", "'v' as source_revision", "concat('screen:', c_nationkey) as screen_id",
+        "'link' as role", "c_name as name", "map('href', concat('/', c_custkey)) as locator_evidence", "map() as attributes", "cast(null as array<double>) as bounds",
+    )
+    for part in (c, c.where("run_id = 'r1'").withColumn("name", F.lit("again"))):
+        record_files.save(part, root, "elements")
+    return record_files.read(spark, root, "elements").select("id", "run_id", "screen_id", "name", F.col("locator_evidence")["href"].alias("href"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit()}

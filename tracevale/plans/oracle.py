@@ -160,5 +160,11 @@ SELECT event_id, r.run, s.goal, reason = '' AS taken, reason, fallback, in_flow,
 g AS (SELECT *, CASE WHEN kind = 1 THEN 'h' ELSE 'b' END AS repo_sha, 't' || turn AS qualified_name FROM f WHERE kind IN (0, 1) OR turn % 4 = 1)
 SELECT 'symbol:' || {_id("repo_sha, file, qualified_name")} AS id, repo_sha, file, qualified_name, 'function' AS kind, CAST(3 * i + 2 AS INTEGER) AS line_start, CAST(3 * i + 4 AS INTEGER) AS line_end,
   CASE WHEN kind <> 0 AND turn % 4 = 1 THEN 'route:/c/' || conv_id || '/' || turn ELSE '' END AS ui_anchors FROM g""",
+    "q59_link_targets": rf"""WITH {_ELEMENTS}, b AS (SELECT CAST(page_id AS VARCHAR) AS screen, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS base FROM pages),
+s AS (SELECT e.*, base, ord % 6 AS k, row_number() OVER (PARTITION BY screen, regexp_replace(name, ' #\d+$', '') ORDER BY ord) > 1 AS seen FROM e JOIN b USING (screen))
+SELECT screen, ord, CASE k WHEN 0 THEN 'elsewhere.example' WHEN 3 THEN '' ELSE base END AS host, CASE k WHEN 4 THEN '/admin' || href ELSE href END AS path,
+ CASE WHEN k IN (0, 3) THEN 'external-host' WHEN k = 4 OR regexp_matches(href, '^(/admin|/user/settings|/user/logout|/api)') THEN 'prohibited-route'
+ WHEN regexp_matches(lower(name), 'delete|remove|transfer|archive|wipe|purge') THEN 'destructive-action' WHEN seen THEN 'already-executed' ELSE 'ok' END AS reason FROM s""",
+    "q61_records_by_id": """SELECT 'element:' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS id, 'r' || c_custkey % 3 AS run_id, 'screen:' || c_nationkey AS screen_id, CASE WHEN c_custkey % 3 = 1 THEN 'again' ELSE c_name END AS name, '/' || c_custkey AS href FROM customer""",
 }
 ORACLE_SQL = {name: _folded(sql) for name, sql in ORACLE_SQL.items()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from itertools import count
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -86,6 +87,24 @@ def blocked_reason(role_: Column, name: Column, host: Column, base_host: Column,
     )
 
 
+def _target(base: str, href: str) -> dict[str, str]:
+    try:
+        to = urlsplit(urljoin(base, href))
+        return {"host": to.hostname or "", "path": to.path or "/"}
+    except ValueError:  # an address that can't be one is on no host
+        return {"host": "", "path": "/"}
+
+
+def target(base: Column, href: Column) -> Column:
+    """Struct of the host and path that an href leads to from the address `base`; null without an href. An address without a host has an empty one, which is no page's."""
+
+    def resolve(bases: pa.Array, hrefs: pa.Array) -> pa.Array:
+        found = [_target(b or "", h) if h else None for b, h in zip(bases.to_pylist(), hrefs.to_pylist(), strict=True)]
+        return pa.array(found, pa.struct([("host", pa.string()), ("path", pa.string())]))
+
+    return F.arrow_udf(resolve, "host string, path string")(base, href)
+
+
 #: What goes into a field, by its name.
 FILL_KEYS = {"user_name": "username", "password": "password", "title": "issue_title", "content": "issue_body"}
 
