@@ -61,3 +61,24 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
         record_files.save(flows(spark, [("flow:2", "r", "x"), ("a/b", "r", "x")]), root, "flows")
     assert os.listdir(f"{root}/records/flows") == ["flow_1.json"]
     assert [r.goal for r in record_files.read(spark, root, "flows").collect()] == ["kept"]
+
+
+def test_a_run_is_linked_from_its_files(spark, tmp_path):
+    from tracevale.operators import linking
+
+    base = ("1.0.0", "run", "crawler", "rev")
+    rows = {
+        "elements": [("element:1", *base, "screen:1", "button", "New Issue", {"css": "#new"}, {"href": "/new"}, None), ("element:2", *base, "screen:1", "link", "Straße", {}, {}, None)],
+        "screens": [("screen:1", *base, "http://h/", "/issues", "t", "d", "s", "v")],
+        "requirements": [("requirement:1", *base, "s", "user", "opens", "issue list", ["new issue", "strasse"], None, True)],
+        "code_symbols": [("symbol:1", *base, "sha", "a.go", "f", "function", 1, 2, ["text:NEW issue", "href:/new", "css:#new", "route:/issues"])],
+    }
+    for kind, records in rows.items():
+        record_files.save(spark.createDataFrame(records, record_files.schema(kind)), f"{tmp_path}/{'code' if kind == 'code_symbols' else 'run'}", kind)
+    counts = linking.link_run(spark, f"{tmp_path}/run", "run-2", code_root=f"{tmp_path}/code")
+    got = {(r.source_entity_id, r.target_entity_id): r for r in record_files.read(spark, f"{tmp_path}/run", "trace_links").collect()}
+    assert set(got) == {("element:1", "symbol:1"), ("screen:1", "symbol:1"), ("requirement:1", "element:1"), ("requirement:1", "element:2")}
+    link = got["element:1", "symbol:1"]
+    assert link.method == "css-id+href-exact+text-exact" and link.confidence == pytest.approx(1 - 0.3 * 0.35 * 0.45) and link.review_status == "auto_accepted"
+    assert (link.run_id, link.source, link.source_revision, link.schema_version) == ("run-2", "linking", "rev", "1.0.0")
+    assert counts == {"auto_accepted": 1, "needs_review": 3, "unresolved": 0}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import contains_all
 from .evals import ratio
 from .impact import viable
+from .linking import contained_in_names
 
 #: The fields of a gold set.
 GOLD = (
@@ -91,10 +92,16 @@ def impact_checks(reached: DataFrame, unmapped: DataFrame, n_findings: Column |
         j = wanted.select(F.col("x").alias("item")).join(found.select(F.col("value").alias("item")).distinct().withColumn("hit", F.lit(True)), "item", "left")
         return j.select(F.lit(check).alias("check"), "item", F.coalesce("hit", F.lit(False)).alias("passed"))
 
-    goals = reached.where("kind = 'goal'").agg(F.collect_set("value").alias("goals"))
-    # one row of goals; a group is covered if one goal has all its words
-    covered = F.exists("goals", lambda g: F.forall("x", lambda w: F.instr(g, F.lower(w)) > 0))
-    groups = keyword_groups.join(F.broadcast(goals)).select(F.lit("goal").alias("check"), F.array_join("x", ",").alias("item"), covered.alias("passed"))
+    # a group is covered if one goal has all its words; a group without words by any goal
+    goals = reached.where("kind = 'goal'").select(F.col("value").alias("name")).distinct()
+    g = keyword_groups.select(F.array_distinct(F.transform("x", F.lower)).alias("w"), "x")
+    g = g.select(F.array_join("x", ",").alias("item"), F.filter("w", lambda w: w != "").alias("w"))
+    words = g.select(F.explode("w").alias("term")).distinct()
+    inside = contained_in_names(words, goals).unionByName(words.join(goals, F.col("term") == F.col("name")))
+    each = g.select("item", "w", F.size("w").alias("n"), F.explode("w").alias("term")).distinct().join(inside, "term")
+    covered = each.groupBy("item", "w", "n", "name").agg(F.count(F.lit(1)).alias("found")).where("found = n").select("item", "w").distinct().withColumn("passed", F.lit(True))
+    some = goals.limit(1).agg(F.count(F.lit(1)).alias("some"))  # one row
+    groups = g.join(covered, ["item", "w"], "left").join(F.broadcast(some)).select(F.lit("goal").alias("check"), "item", F.coalesce("passed", (F.size("w") == 0) & (F.col("some") > 0)).alias("passed"))
     n = keyword_groups.sparkSession.range(1).select(F.lit("findings").alias("check"), F.lit(str(least)).alias("item"), (F.lit(n_findings) >= least).alias("passed"))
     return reduce(DataFrame.unionByName, (there(routes, reached.where("kind = 'route'"), "route"), groups, there(files, unmapped.select(F.col("file").alias("value")), "unmapped"), n))
 

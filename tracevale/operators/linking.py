@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, stable_id
@@ -110,9 +110,23 @@ def score_links(signals: DataFrame, strong: tuple[str, ...] = STRONG) -> DataFra
     return g.select(*KEY, "confidence", method.alias("method"), evidence.alias("evidence"), band.alias("review_status"))
 
 
-def link_records(elements: DataFrame, screens: DataFrame, symbols: DataFrame, requirements: DataFrame) -> DataFrame:
+def link_records(elements: DataFrame, screens: DataFrame, symbols: DataFrame, requirements: DataFrame, run_id: str = "unknown", revision: str = "unknown") -> DataFrame:
+    """Trace link records, with the columns of their kind."""
     links = score_links(ui_code_signals(elements, screens, symbols).unionByName(requirement_signals(requirements, elements)))
-    return links.withColumn("id", stable_id("trace_link", *(F.col(k) for k in KEY))).withColumnsRenamed({"source": "source_entity_id", "target": "target_entity_id"})
+    links = links.withColumn("id", stable_id("trace_link", *(F.col(k) for k in KEY))).withColumnsRenamed({"source": "source_entity_id", "target": "target_entity_id"})
+    base = {"schema_version": F.lit("1.0.0"), "run_id": F.lit(run_id), "source": F.lit("linking"), "source_revision": F.lit(revision)}
+    return links.select("id", *(c.alias(n) for n, c in base.items()), "source_entity_id", "target_entity_id", "link_type", "confidence", "method", "evidence", "review_status")
+
+
+def link_run(spark: SparkSession, root: str, run_id: str, code_root: str | None = None, docs_root: str | None = None) -> dict[str, int]:
+    """Link the records of a run's folder, with code and requirements from other folders if given; write the links there and count them by status."""
+    from ..sources import record_files
+
+    read = {kind: record_files.read(spark, at or root, kind) for kind, at in (("elements", None), ("screens", None), ("requirements", docs_root), ("code_symbols", code_root))}
+    first = (df.select("source_revision").head() for df in read.values())  # of the first record there is
+    revision = next((r.source_revision for r in first if r), "unknown")
+    record_files.save(link_records(read["elements"], read["screens"], read["code_symbols"], read["requirements"], run_id, revision), root, "trace_links")
+    return status_counts(record_files.read(spark, root, "trace_links").where(F.col("run_id") == run_id)).first().asDict()
 
 
 def in_order(links: DataFrame) -> DataFrame:
