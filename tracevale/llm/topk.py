@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from ._shared import materialize, small
 
-#: Components of the rows of a block of the index (32 MB of them), and queries of a pack, on average.
-BLOCK_VALUES, PACK_ROWS = 1 << 22, 256
+#: Components of the rows of a block of the index, and of a pack of queries at most (32 MB of them), on average.
+BLOCK_VALUES, PACK_VALUES = 1 << 22, 1 << 22
+#: Packs have at least so many queries, and are no smaller than it takes to make so many pairs of a block and a pack.
+PACK_ROWS, PAIRS = 256, 256
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -144,7 +146,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     """(query_id, rank, vec_id, score) for the rows that `is_query` selects, against all rows but the query's own."""
     rows = materialize(quantised(vectors, scale))
     sizes = rows.groupBy("n").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(is_query, 1)).alias("asked"))
-    sizes = sizes.select("n", F.ceil(F.col("rows") * F.col("n") / BLOCK_VALUES).cast("int").alias("blocks"), F.ceil(F.col("asked") / PACK_ROWS).cast("int").alias("packs")).where(F.col("packs") > 0)
+    sizes = sizes.where("asked > 0").withColumn("blocks", F.ceil(F.col("rows") * F.col("n") / BLOCK_VALUES).cast("int"))
+    # the index is copied once a pack: no more packs than keep tasks busy, or than bound their size
+    packs = F.greatest(F.ceil(F.col("asked") * F.col("n") / PACK_VALUES), F.least(F.ceil(F.col("asked") / PACK_ROWS), F.ceil(PAIRS / F.col("blocks"))))
+    sizes = sizes.select("n", "blocks", packs.cast("int").alias("packs"))
     rows = rows.join(small(materialize(sizes), 10_000), "n")
     number = lambda of: F.pmod(F.xxhash64("vec_id"), F.col(of)).cast("int")
     # every pack of queries meets every block: both are dealt out to the pairs of their numbers
