@@ -72,6 +72,14 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.phrase_matches(docs, table.where("false")).where("size(leak.hit) > 0").count() == 0
 
 
+def test_decontamination_of_many_terms(spark, docs, monkeypatch):
+    """Beyond what is broadcast, words are counted before they meet the terms."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    items = [(1, BASE[20:180]), (2, "two"), (5, "a b a b a b a b a b a b")]
+    got = decontaminate.phrase_matches(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(((r.doc_id, r.leak.n_words, r.leak.hit, r.leak.item_ids) for r in got.collect()), key=repr) == leaks(ROWS, items, 10)
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "rare1 x y rare2 z"), (2, "rare2 rare1")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "rare1 y rare2")], "item_id long, text string")

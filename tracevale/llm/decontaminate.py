@@ -46,8 +46,12 @@ def item_windows(items: DataFrame, window: int = 10) -> DataFrame:
 
 
 def term_counts(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): occurrences over all documents of each term in the table `terms`."""
-    return tokens.select(F.explode("words").alias("term")).join(small(terms, BROADCAST_ROWS), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """(term, n): occurrences over all documents of each term in the table `terms`.
+
+    Few terms are picked out where they stand; of many, all words are counted first, so that no frequent one is shuffled row by row.
+    """
+    few, words_, n = small(terms, BROADCAST_ROWS), tokens.select(F.explode("words").alias("term")), F.count(F.lit(1)).alias("n")
+    return words_.groupBy("term").agg(n).join(terms, "term") if few is terms else words_.join(few, "term").groupBy("term").agg(n)
 
 
 def postings(tokens: DataFrame, terms: DataFrame) -> DataFrame:
