@@ -60,6 +60,7 @@ ROWS = (
 @pytest.mark.parametrize(("k", "percent", "block"), [(4, 80, 256), (5, 80, 4), (2, 80, 1)])
 def test_minhash(spark, monkeypatch, k, percent, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "REFINE", 3)
     df = spark.createDataFrame(ROWS, "doc_id long, text string").select("*", *(F.lit(0).alias(c) for c in ("n", "id", "s", "bands", "first", "kept", "component"))).repartition(3)
     got = minhash.near_duplicates(df, k, percent)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]

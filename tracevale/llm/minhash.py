@@ -34,7 +34,7 @@ from .components import components
 from .ngram_join import BLOCK_BYTES, _of_bytes, class_names, differences, may_link, overlaps, row_products, row_sets, sets_of, signature
 
 #: Members of a bucket that are compared in pairs, and of a block.
-BLOCK = 256
+BLOCK, REFINE = 256, 16
 BANDS, ROWS = 32, 4
 #: Most 64-bit words of a set's parities.
 PARITY_WORDS = 128
@@ -194,9 +194,10 @@ def class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int)
     left = materialize(several(m.withColumn("component", F.coalesce("component", "id"))))
     if left.isEmpty():
         return links
-    second = left.where(F.col("rows") > BLOCK).select("id", "n", "component", F.col("s").alias("s1")).join(classes.select("id", "bands"), "id")
+    most = REFINE * BLOCK
+    second = left.where(F.col("rows") > most).select("id", "n", "component", F.col("s").alias("s1")).join(classes.select("id", "bands"), "id")
     second = second.withColumn("s2", F.explode("bands")).where("s1 <> s2").select(F.xxhash64(F.least("s1", "s2"), F.greatest("s1", "s2")).alias("s"), "id", "n", "component").distinct()
-    both = materialize(left.where(F.col("rows") <= BLOCK).unionByName(several(second)))
+    both = materialize(left.where(F.col("rows") <= most).unionByName(several(second)))
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     few, large = materialize(pairs_apart(both.where(F.col("rows") <= BLOCK), classes, percent).join(done, ["a", "b"], "left_anti")), both.where(F.col("rows") > BLOCK)
     needed = few.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct().join(sets.select("id"), "id", "left_anti")
