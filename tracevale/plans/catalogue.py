@@ -17,6 +17,13 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """A table that several branches of a plan read, written once."""
+    path = store.scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.page_elements(t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("screen"), "html"))
 
@@ -423,7 +430,7 @@ def q58_code_index(spark, sf_dir):
     section = section.otherwise(F.concat(F.lit("--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n"), hunks))
     texts = f.select(F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n"), section).alias("value"))
     none = spark.createDataFrame([], "key string, text string")
-    found = code_files.index(diffs.file_diffs(texts), files, none, "b", "h")
+    found = code_files.index(_written(diffs.file_diffs(texts)), _written(files), none, "b", "h")
     return found.withColumn("ui_anchors", F.array_join("ui_anchors", ","))
 
 
@@ -443,7 +450,8 @@ def q60_report(spark, sf_dir):
     r = records(spark, sf_dir)
     labels = lookups.entity_labels({"element": r["elements"], "screen": r["screens"], "flow": r["flows"], "requirement": r["requirements"]})
     context = {"pr": {"pr_number": 1, "files_changed": 3}, "stats": {"flows": 25, "requirements": 5}}
-    return report.blocks(_findings(spark, sf_dir), impact.unmapped(r["changes"], r["symbols"], r["links"]), labels, context)
+    found, rest, labels = (_written(x) for x in (_findings(spark, sf_dir), impact.unmapped(r["changes"], r["symbols"], r["links"]), labels))
+    return report.blocks(found, rest, labels, context)
 
 
 def q61_records_by_id(spark, sf_dir):
