@@ -5,9 +5,13 @@ import json
 import random
 import re
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tracevale import catalog
 from tracevale.functions.text import fold
 from tracevale.operators import docs
 
@@ -41,6 +45,34 @@ def test_article_column(spark):
     assert got[1] == "a" and got[2] is None and got[3] == " ".join(["x"] * 50_000)
 
 
+@pytest.mark.parametrize(
+    ("text", "read", "left"),
+    [
+        ("a &amp", "a &", "a &amp"), ("a&amp*** &lt;b&gt; &amp;lt;", "a&*** <b> &lt;", "a&amp*** <b> &lt;"), ("&eacute;&#233;&#xE9; &#233 &#xe9", "ééé é é", "ééé &#233 &#xe9"),
+        ("&amp&lt;&&amp;&", "&<&&&", "&amp<&&&"), ("&notit; &not; &unknown; &;", "¬it; ¬ &unknown; &;", "&notit; ¬ &unknown; &;"), ("\ue000&copy", "\ue000©", "\ue000&copy"),
+    ],
+)
+def test_references_without_a_semicolon(text, read, left):
+    for at in ("<article><p>{}</p></article>", "<article>{}", "<article><p>{}<nav>&amp</nav></article>"):
+        assert docs.first_article(at.format(text)) == read and docs.first_article(at.format(text), bare=False) == left
+
+
+def pages_cut_in_a_reference(folder):
+    """Pages of which one has a title that ends within a reference."""
+    body = "<article><h1>cats &amp</h1><p>dogs &amp; birds</p></article>"
+    pq.write_table(pa.table({"page_id": [1, 2, 3, 4], "url": ["https://a.example/b"] * 4, "html": [body] * 4}), f"{folder}/pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+    return duck
+
+
+@pytest.mark.parametrize("name", ["q04_article_text"])
+def test_queries_leave_a_cut_reference_as_their_sql_does(spark, tmp_path, name):
+    rel = pages_cut_in_a_reference(tmp_path).sql(catalog.ORACLE_SQL[name])
+    got = catalog.QUERIES[name](spark, str(tmp_path)).select(*rel.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(rel.fetchall())
+
+
 def plain_segments(text):
     path, held, out, at = [], [], [], 0
     for line in text.splitlines(keepends=True):
