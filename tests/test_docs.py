@@ -66,7 +66,7 @@ def pages_cut_in_a_reference(folder):
     return duck
 
 
-@pytest.mark.parametrize("name", ["q04_article_text", "q27_segments"])
+@pytest.mark.parametrize("name", ["q04_article_text", "q27_segments", "q55_odd_articles"])
 def test_queries_leave_a_cut_reference_as_their_sql_does(spark, tmp_path, name):
     rel = pages_cut_in_a_reference(tmp_path).sql(catalog.ORACLE_SQL[name])
     got = catalog.QUERIES[name](spark, str(tmp_path)).select(*rel.columns).collect()
