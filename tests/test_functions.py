@@ -1,6 +1,10 @@
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tracevale import catalog
 from tracevale.functions import text, urls
 
 
@@ -60,3 +64,16 @@ def test_percent_rounds_half_to_even(spark):
 
 def test_shorten(spark):
     assert value(spark, text.shorten(F.lit("  ab \n cd  "), 4)) == "ab …"
+
+
+def test_first_words_are_lower_cased_as_in_the_sql(spark, tmp_path):
+    """The SQL folds an element's name but not a document's word: a word with ß is no name's."""
+    html = "".join(f'<a href="/{i}">{n}</a>' for i, n in enumerate(["Straße", "GROSS", "Maß "]))
+    pq.write_table(pa.table({"page_id": [1], "url": ["https://a.example/b"], "html": [html]}), f"{tmp_path}/pages.parquet")
+    pq.write_table(pa.table({"doc_id": [1, 2, 3, 4, 5, 6], "text": ["Straße a", "STRASSE b", "groß", "Gross c", None, "mass"]}), f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    for name in ("pages", "documents"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    rel = duck.sql(catalog.ORACLE_SQL["q06_text_exact_links"])
+    got = sorted(map(tuple, catalog.QUERIES["q06_text_exact_links"](spark, str(tmp_path)).select(*rel.columns).collect()))
+    assert got == sorted(rel.fetchall()) and [r[1:] for r in sorted(got, key=lambda r: r[2])] == [("strasse", 2, 1), ("gross", 4, 1), ("mass", 6, 1)]
