@@ -1,4 +1,6 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -249,6 +251,30 @@ def test_index_of_changed_code(spark):
     assert {r.path: r.content is None for r in code_files.contents(d, files, "b", "h").collect()} == {"x.go": False, "gone.go": False, "new.ts": True}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_requirements_hold_all_keywords_of_a_wanted_one(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["a", "ab", "B", " bc ", "Straße", "STRASSE", "c", "", "zz"])
+    req = [(f"r{i}", rng.choice([None, " ".join(word() for _ in range(rng.randrange(4)))]), rng.choice([None, [], [word(), None], [word()]]), (rng.choice(["u", "v", None]),)) for i in range(60)]
+    wanted = [(f"g{i}", rng.choice(["u", "v", None, "", "w"]), rng.choice([None, [word() for _ in range(rng.randrange(4))], [word(), None]])) for i in range(80)] + [("g1", "u", ["a"]), ("g1", "u", ["a"])]
+    r = spark.createDataFrame([*req, req[0]], "id string, statement string, acceptance_clues array<string>, source_span struct<uri:string>")
+    w = spark.createDataFrame(wanted, "id string, source_uri string, keywords array<string>")
+    text = {i: " ".join([s or "", *(c for c in clues or [] if c is not None)]).strip().casefold() for i, s, clues, _ in req}
+    holds = lambda i, words: all(x is not None and x.strip().casefold() in text[i] for x in words or [])
+    want = [(g, i) for g, uri, words in wanted for i, _, _, (at,) in [*req, req[0]] if (at or "") == (uri or "") and holds(i, words)]
+    assert sorted(map(tuple, gold.requirement_matches(r, w).collect())) == sorted(want)
+    hit = {g for g, _ in want}
+    assert sorted(map(tuple, gold.requirement_recall(r, w).collect())) == sorted((g, g in hit) for g, _, _ in wanted)
+
+
+def test_recall_over_one_document_of_many_requirements(spark):
+    req = spark.range(40_000).selectExpr("concat('r', id) as id", "concat('Large item ', id % 5000, '.') as statement", "array('of STANDARD size') as acceptance_clues", "named_struct('uri', 'u') as source_span")
+    wanted = spark.range(200).selectExpr("concat('g', id) as id", "'u' as source_uri", "array('Standard', concat('item ', id * 50, '.')) as keywords")
+    began = time.time()
+    got = dict(gold.requirement_recall(req, wanted).collect())
+    assert got == {f"g{i}": i < 100 for i in range(200)} and time.time() - began < 90
+
+
 def test_gold_set(spark, tmp_path):
     (tmp_path / "gold.json").write_text(json.dumps({
         "requirements": {"must_extract": [{"id": "g1", "source_uri": "u", "keywords": ["New", "issue"]}, {"id": "g2", "source_uri": "v", "keywords": []}], "expected_absent_in_crawl": [{"gold_id": "g1"}, {"gold_id": "g2"}]},
