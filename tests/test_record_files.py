@@ -2,6 +2,8 @@
 
 import json
 import os
+import pickle
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +42,36 @@ def test_many_files_are_read_in_order_by_several_tasks(spark, tmp_path, monkeypa
         record_files.read(spark, str(tmp_path), "flows").collect()
 
 
+def test_the_driver_keeps_few_bytes_of_each_name(tmp_path, monkeypatch):
+    """Neither what tasks say of their writes nor what is planned for a read has a list of names."""
+    monkeypatch.setattr(record_files, "SAMPLE", 500)
+    rng = random.Random(3)
+    ids = [f"element:{rng.getrandbits(64):016x}" for _ in range(5_000)]
+    writer = record_files._Writer(str(tmp_path), "elements")
+    said = [writer.write(iter([{"id": i, "value": json.dumps({"id": i})} for i in part])) for part in (ids[:4_500], ids[4_500:], [])]
+    assert sum(len(pickle.dumps(x)) for x in said) < 1_000 and [x.folders for x in said] == [3, 1, 0]
+    writer.commit([*said, None])
+    assert sorted(os.listdir(tmp_path / "records" / "elements")) == sorted(record_files.file_name(i) for i in ids)
+    monkeypatch.setattr(record_files, "FILES", 100)
+    reader = record_files._Reader(str(tmp_path), "elements")
+    chunks = reader.partitions()
+    assert sum(len(pickle.dumps(c)) for c in chunks) < 20 * len(ids) and 40 <= len(chunks) <= 51 and max(len(c.names()) for c in chunks) < 400
+    assert [r[0] for c in chunks for r in reader.read(c)] == sorted(ids)
+
+
+def test_pieces_of_names(tmp_path, monkeypatch):
+    monkeypatch.setattr(record_files, "PIECE", 30)
+    names = sorted(f"é{'x' * (i % 20)} {i}\n.json" for i in range(200))
+    for name in names:
+        (tmp_path / name).touch()
+    (tmp_path / "d.json").mkdir()
+    for files, sample in ((7, 1 << 16), (7, 20), (1, 50), (1_000, 10)):
+        monkeypatch.setattr(record_files, "FILES", files)
+        monkeypatch.setattr(record_files, "SAMPLE", sample)
+        monkeypatch.setattr(record_files, "folder", lambda root, kind: (record_files.fs.LocalFileSystem(), root))
+        assert [n for c in record_files._Reader(str(tmp_path), "").partitions() for n in c.names()] == names
+
+
 @pytest.mark.parametrize("kind", ["/etc", "..", "a/../../b", "", "../flows"])
 def test_kinds_stay_within_the_records(spark, tmp_path, kind):
     with pytest.raises(ValueError):
