@@ -251,6 +251,17 @@ def test_index_of_changed_code(spark):
     assert {r.path: r.content is None for r in code_files.contents(d, files, "b", "h").collect()} == {"x.go": False, "gone.go": False, "new.ts": True}
 
 
+def test_a_files_symbols_as_one_text(spark):
+    """The text is put together before it is joined, once a file and not once a change."""
+    changes = spark.createDataFrame([("h1", "a", ["old"]), ("h2", "a", None), ("h3", "b", []), ("h4", None, [])], "id string, file string, changed_symbol_ids array<string>")
+    symbols = spark.createDataFrame([("c2", "a", 5), ("c1", "a", 5), ("c9", "a", 1), ("c9", "a", 1), ("c3", "z", 1), ("c4", None, 1)], "id string, file string, line_start int")
+    arrays, texts = code_files.with_symbols(changes, symbols), code_files.with_symbols(changes, symbols, ", ")
+    assert {r.id: r.changed_symbol_ids for r in arrays.collect()} == {"h1": ["c9", "c1", "c2"], "h2": ["c9", "c1", "c2"], "h3": [], "h4": []}
+    assert {r.id: r.changed_symbol_ids for r in texts.collect()} == {"h1": "c9, c1, c2", "h2": "c9, c1, c2", "h3": "", "h4": ""}
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("array_join(")
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_requirements_hold_all_keywords_of_a_wanted_one(spark, seed):
     rng = random.Random(seed)
