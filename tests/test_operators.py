@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import time
@@ -262,6 +263,27 @@ def test_a_files_symbols_as_one_text(spark):
     assert plan.index("Join LeftOuter") < plan.index("array_join(")
 
 
+def test_a_files_text_is_written_once(spark, tmp_path):
+    """Twelve texts of 0.3 MB, changes of all files in turn: whoever writes them with Parquet's defaults writes each text once or a few times, not once a change."""
+    files, ids, changes = 12, 40_000, 300
+    symbols = spark.range(files * ids).selectExpr("concat('c', id) as id", f"concat('f', id % {files}) as file", "1 as line_start")
+    c = spark.range(0, changes, 1, 1).selectExpr("concat('h', id) as id", f"concat('f', id % {files}) as file", "cast(null as array<string>) as changed_symbol_ids")
+    code_files.with_symbols(c, symbols, ",").select("id", "changed_symbol_ids").write.parquet(f"{tmp_path}/a")
+    assert sum(x.stat().st_size for x in (tmp_path / "a").glob("*.parquet")) < 12e6
+    got = spark.read.parquet(f"{tmp_path}/a").selectExpr("id", "md5(changed_symbol_ids) as h").collect()
+    want = {f: hashlib.md5(",".join(sorted(f"c{i}" for i in range(f, files * ids, files))).encode()).hexdigest() for f in range(files)}
+    assert {r.id: r.h for r in got} == {f"h{i}": want[i % files] for i in range(changes)} and len(got) == changes
+
+
+def test_long_texts_of_changes_are_saved_once(spark, tmp_path):
+    """A text of over 1 MB, up to which Parquet writes equal texts once by default."""
+    text = ",".join(f"c{i}" for i in range(200_000))
+    changes = spark.range(0, 300, 1, 1).select("id", F.lit(text).alias("changed_symbol_ids"))
+    sinks.save_changes(changes, f"{tmp_path}/a")
+    assert len(text) > 1 << 20 and sum(x.stat().st_size for x in (tmp_path / "a").glob("*.parquet")) < len(text)
+    assert spark.read.parquet(f"{tmp_path}/a").where(F.col("changed_symbol_ids") == text).count() == 300
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_requirements_hold_all_keywords_of_a_wanted_one(spark, seed):
     rng = random.Random(seed)

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: The fields of a flow's result.
 FLOW_RESULT = "flow_id string, key string, succeeded boolean, actions_used int"
+#: Fixed value: up to so many bytes of different texts in a task, save_changes writes each once. By Parquet's default of 1 MB, longer texts are written once a change.
+DIFFERENT = 64 << 20
 
 
 def property_text(c: Column, kind: T.DataType) -> Column:
@@ -53,6 +55,11 @@ def save_screens(screens: DataFrame, path: str) -> None:
     screens.select("id", "html", "screenshot").dropDuplicates(["id"]).write.mode("overwrite").parquet(path)
 
 
+def save_changes(changes: DataFrame, path: str) -> None:
+    """Changes with the ids of their file's symbols, as one text each: however long, a text is written once, not once a change."""
+    changes.write.mode("overwrite").option("parquet.dictionary.page.size", DIFFERENT).parquet(path)
+
+
 def fingerprint(rows: DataFrame) -> tuple:
     """Number of rows and a sum of their hashes, which don't depend on their order."""
     h = F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)).cast("decimal(38,0)")
